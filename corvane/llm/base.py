@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.scratch import materialise, scratch_dir
+
+__all__ = ["SPACES", "SPACE_CLASS", "local_or_remote", "materialise", "scratch_dir", "table", "text_of", "words_of"]
+
 #: White space that separates words, as a Java character class body and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACES = " \t\n\x0b\x0c\r"
@@ -29,22 +31,6 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+", -1))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's spark.checkpoint.dir; only where that is unset, a local one is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = tempfile.mkdtemp(prefix="corvane-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/corvane/{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write a table to the shared scratch folder and read it back: lineage ends there, and lost executors cost nothing."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def local_or_remote(path: str):
     """A pyarrow file system and the path in it, for tasks that write or read files in the shared folder."""
     from pyarrow import fs
