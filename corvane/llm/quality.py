@@ -21,9 +21,9 @@ BUCKETS = 1 << 16
 TRUSTED_DOCUMENTS = 20_000
 MIN_WORDS = 50
 #: A document whose mean score, in thousandths of a nat per n-gram, is below this is rejected.
-THRESHOLD = -120
-#: Added to each bucket's count.
-SMOOTHING = 1.0
+THRESHOLD = -82
+#: Added to each bucket's trusted count and to what the raw corpus lets expect of it, so that rare n-grams weigh little.
+SMOOTHING = 16.0
 SYMBOLS = "#*$%&|<>"
 
 
@@ -103,9 +103,8 @@ def weight_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     totals = counts.agg(F.collect_list(F.struct("bucket", "n", "t")).alias("all"), F.sum("n").alias("sum_n"), F.sum("t").alias("sum_t"))
 
     def weight(c: Column) -> Column:
-        p_t = (c["t"] + SMOOTHING) / (F.col("sum_t") + SMOOTHING * BUCKETS)
-        p_n = (c["n"] + SMOOTHING) / (F.col("sum_n") + SMOOTHING * BUCKETS)
-        return F.when(F.col("sum_t") == 0, F.lit(0)).otherwise(F.round(1000 * F.log(p_t / p_n))).cast("int")
+        expected = c["n"] * F.col("sum_t") / F.col("sum_n")
+        return F.when(F.col("sum_t") == 0, F.lit(0)).otherwise(F.round(1000 * F.log((c["t"] + SMOOTHING) / (expected + SMOOTHING)))).cast("int")
 
     return totals.select(F.transform(F.array_sort("all"), weight).alias("weights"))
 
@@ -136,6 +135,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass, with their own columns."""
+    """The documents that pass, with their own columns.
+
+    Rejected rows go by an explode of none or one element: a filter would be pushed below the columns that ``kept`` comes from
+    and compute each of them again wherever it is named.
+    """
     judged = judge(docs, table(spark, sf_dir, "labels"), *docs.columns)
-    return judged.filter("kept").select(*docs.columns)
+    once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return judged.select(*docs.columns, once.alias("_once")).select(*docs.columns)
