@@ -175,7 +175,9 @@ def top_k(rows: DataFrame, is_query: Column, column: str = "embedding", top: int
     packed = materialise(queries.mapInArrow(_pack(QUERY_BLOCK, width), shape).withColumn("query_block", F.monotonically_increasing_id()))
     query_blocks = [r[0] for r in packed.select("query_block").collect()]
     runs = max(1, min(candidates.count(), -(-4 * n // max(1, len(query_blocks)))))
-    spread = candidates.withColumn("run", (F.row_number().over(Window.orderBy(F.desc("longest"), "block")) - 1) % runs).select("run", "block", "longest", "rows", "ids", "data")
+    # Blocks are numbered by partition (high bits) and place in it, both in order of length, so neighbours go to different runs.
+    turn = F.shiftright("block", 33) + F.col("block").bitwiseAND(F.lit((1 << 33) - 1))
+    spread = candidates.withColumn("run", F.pmod(turn, F.lit(runs)).cast("int")).select("run", "block", "longest", "rows", "ids", "data")
     # Every block of queries meets every run: blocks are few (rows over QUERY_BLOCK), and each is a row of bytes.
     numbers = F.explode(F.array(*map(F.lit, query_blocks)) if query_blocks else F.array().cast("array<long>"))
     left = spread.withColumn("query_block", numbers)
