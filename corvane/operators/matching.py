@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.scratch import materialise
+
 
 def bigram_bags(df: DataFrame, key: str, text: str) -> DataFrame:
     """``key, gram, c``: the multiset of a text's word bigrams; a single word stands for itself."""
@@ -43,3 +45,26 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str]) -
     o, n = old.select(key, F.struct(*values).alias("o")), new.select(key, F.struct(*values).alias("n"))
     status: Column = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").when(F.col("o") != F.col("n"), "modified").otherwise("unchanged")
     return o.join(n, key, "full").select(key, status.alias("status"))
+
+
+def copies_of(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``first, key`` of every row: the least key among the rows of equal text (null is empty)."""
+    named = df.select(key, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_content"))
+    return named.join(named.groupBy("_content").agg(F.min(key).alias("first")), "_content").select("first", key)
+
+
+def greedy_pairs(scored: DataFrame, a: str, b: str, score: str) -> DataFrame:
+    """One-to-one pairs by falling score, ties by ``a`` then ``b``, each side used once.
+
+    A pair that is the best of both its sides is what the greedy order takes, whatever else there is; so each round takes
+    all of those and drops the pairs that touch them, until none is left.
+    """
+    left = materialise(scored.select(a, b, score).filter(f"{a} IS NOT NULL AND {b} IS NOT NULL AND {score} IS NOT NULL").distinct())
+    taken = None
+    while not left.isEmpty():
+        ranked = left.withColumn("_k", F.struct((-F.col(score)).alias("s"), F.col(a).alias("a"), F.col(b).alias("b")))
+        of_a, of_b = ranked.groupBy(a).agg(F.min("_k").alias("_k")), ranked.groupBy(b).agg(F.min("_k").alias("_k"))
+        both = materialise(ranked.join(of_a, [a, "_k"]).join(of_b, [b, "_k"]).select(a, b, score))
+        taken = both if taken is None else taken.unionByName(both)
+        left = materialise(left.join(both.select(a), a, "left_anti").join(both.select(b), b, "left_anti").select(a, b, score))
+    return left if taken is None else taken

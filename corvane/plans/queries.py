@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.operators.graph import connected_components
-from corvane.operators.matching import bigram_bags, dice_pairs, snapshot_diff
+from corvane.operators.graph import closure, connected_components
+from corvane.operators.matching import bigram_bags, copies_of, dice_pairs, greedy_pairs, snapshot_diff
 from corvane.operators.ranking import as_of, keep_best, runs, top_k
 from corvane.operators.scoring import level, rolled_up, weighted_score
+from corvane.operators.sequences import edit_scripts, hunks
+from corvane.scratch import materialise
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -36,13 +38,26 @@ _BAGS = """bags(id, gram, c) AS (SELECT id, gram, count(*) FROM (SELECT id, unne
   sizes AS (SELECT id, sum(c) AS n FROM bags GROUP BY id)"""
 
 
-@query(f"""WITH words AS (SELECT doc_id AS id, list_filter(string_split(text, ' '), lambda x: x <> '') AS w FROM documents), {_BAGS},
+@query(f"""WITH firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS id FROM documents GROUP BY 1),
+  words AS (SELECT id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM firsts), {_BAGS},
   m AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS m FROM bags a JOIN bags b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
   SELECT a AS doc_a, b AS doc_b, round(CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE), 6) AS dice FROM m JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
-  WHERE CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE) >= 0.85""")
+  WHERE CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE) >= 0.85
+  UNION ALL SELECT id, doc_id, CAST(1 AS DOUBLE) FROM documents JOIN firsts ON coalesce(text, '') = t WHERE doc_id > id""")
 def near_dup_bag_dice(spark, d):
-    bags = bigram_bags(read(spark, d, "documents"), "doc_id", "text")
-    return dice_pairs(bags.withColumnRenamed("doc_id", "doc_a"), bags.withColumnRenamed("doc_id", "doc_b"), "doc_a", "doc_b", 0.85, distinct=True)
+    """Pairs of different texts, by their first documents, and each further copy of a text with its first document."""
+    docs = read(spark, d, "documents").select("doc_id", "text")
+    copies = materialise(copies_of(docs, "doc_id", "text"))
+    firsts = docs.join(copies.filter("first = doc_id").select("doc_id"), "doc_id", "left_semi")
+    bags = materialise(bigram_bags(firsts, "doc_id", "text"))
+    pairs = dice_pairs(bags.withColumnRenamed("doc_id", "doc_a"), bags.withColumnRenamed("doc_id", "doc_b"), "doc_a", "doc_b", 0.85, distinct=True)
+    return pairs.unionByName(copies.filter("doc_id > first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("dice")))
+
+
+@query()
+def greedy_match(spark, d):
+    """Documents of similar texts, one to one: the most similar first."""
+    return greedy_pairs(near_dup_bag_dice(spark, d), "doc_a", "doc_b", "dice")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
@@ -192,3 +207,30 @@ def search_substring(spark, d):
 def seen_stale(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.lit(True).alias("seen"))
     return read(spark, d, "labels").join(docs, "doc_id", "left").select("doc_id", F.col("seen").isNull().alias("stale"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier WHERE s_suppkey >= 3),
+  r AS (SELECT a AS id, b AS reached, 1 AS depth FROM e UNION ALL SELECT r.id, e.b, r.depth + 1 FROM r JOIN e ON r.reached = e.a)
+  SELECT id, reached, CAST(depth AS INTEGER) AS depth FROM r""")
+def closure_with_depth(spark, d):
+    edges = read(spark, d, "supplier").filter("s_suppkey >= 3").select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey div 3").alias("b"))
+    return closure(edges)
+
+
+@query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+  c AS (SELECT user_id, pos, CASE WHEN pos - 3 <= lag(pos) OVER w + 4 THEN 0 ELSE 1 END AS x FROM p WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY pos)),
+  r AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hunk FROM c)
+  SELECT user_id, CAST(hunk AS BIGINT) AS hunk, CAST(greatest(1, min(pos) - 3) AS BIGINT) AS first, CAST(max(pos) + 3 AS BIGINT) AS last, CAST(count(*) AS BIGINT) AS changes FROM r GROUP BY user_id, hunk""")
+def hunks_with_context(spark, d):
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return hunks(read(spark, d, "events").select("user_id", "event_type", place.alias("pos")), ["user_id"], "pos", F.col("event_type") == "purchase")
+
+
+@query()
+def turn_edits(spark, d):
+    """Words that each turn of a conversation keeps, drops and adds against the turn before it."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
+    turns = read(spark, d, "conversations").select("conv_id", "turn", words.alias("new"), F.lag(words).over(w).alias("old"))
+    kinds = edit_scripts(turns, {"conv_id": "long", "turn": "int"}, "old", "new").groupBy("conv_id", "turn")
+    return kinds.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("same", "del", "add")])
