@@ -2,8 +2,8 @@
 
 Documents are range partitioned and sorted by id; each task cuts its stream of ids (each document's, then the end id) into
 rows of ``row_length`` ids and writes them as Arrow file batches, the last row padded and masked. A row's place in a file
-follows from its number, so a reader maps the file and slices any sequence without copying. Beside each file lies an index
-of its documents. Only file names and counts return to Spark; a prefix sum over files gives every document its global start.
+follows from its number, so a reader maps the file and slices any sequence without copying. Ids take two bytes where the
+vocabulary has no more than 65,536, else four; a mask takes a bit for each id. Beside each file lies an index of its documents. Only file names and counts return to Spark; a prefix sum over files gives every document its global start.
 
 Cases: null texts are empty (they still hold the end id); equal ids are ordered by text; an empty table gives no file and no
 row; other columns are ignored. A task that runs again writes a new file; names of files come from the task that succeeded.
@@ -33,8 +33,8 @@ FILES = "shard int, part int, path string, n_docs long, n_ids long"
 DOCS = "shard int, part int, doc_id long, local_start long, n_tokens long, ids_crc32 long"
 
 
-def file_schema(row_length: int) -> pa.Schema:
-    return pa.schema([("input_ids", pa.list_(pa.field("item", pa.uint32(), False), row_length)), ("mask", pa.list_(pa.field("item", pa.uint8(), False), row_length))])
+def file_schema(row_length: int, id_type: pa.DataType) -> pa.Schema:
+    return pa.schema([("input_ids", pa.list_(pa.field("item", id_type, False), row_length)), ("mask", pa.list_(pa.field("item", pa.bool_(), False), row_length))])
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -43,35 +43,33 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 class _File:
     """One data file and its index, written batch by batch."""
 
-    def __init__(self, folder: str, stem: str, row_length: int):
+    def __init__(self, folder: str, stem: str, row_length: int, vocabulary_size: int):
         self.fs, inner = local_or_remote(folder)
         self.fs.create_dir(inner, recursive=True)
         self.path, self.inner, self.row = f"{folder}/{stem}.arrow", f"{inner}/{stem}.arrow", row_length
+        self.kind = np.dtype("<u2" if vocabulary_size <= 1 << 16 else "<u4")
+        self.schema = file_schema(row_length, pa.from_numpy_dtype(self.kind))
         self.sink = self.fs.open_output_stream(self.inner)
-        self.writer = pa.ipc.new_file(self.sink, file_schema(row_length))
+        self.writer = pa.ipc.new_file(self.sink, self.schema)
         self.buffer, self.ids, self.docs = bytearray(), 0, []
 
     def add(self, doc_id: int, ids: bytes) -> None:
         self.docs.append((doc_id, self.ids, len(ids) // 4))
         self.ids += len(ids) // 4
-        self.buffer += ids
-        step = BATCH_ROWS * self.row * 4
+        self.buffer += np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
+        step = BATCH_ROWS * self.row * self.kind.itemsize
         while len(self.buffer) >= step:
             self._batch(bytes(self.buffer[:step]))
             del self.buffer[:step]
 
     def _batch(self, ids: bytes) -> None:
-        n = len(ids) // 4
+        n = len(ids) // self.kind.itemsize
         rows = -(-n // self.row)
-        padded = np.zeros(rows * self.row, "<u4")
-        padded[:n] = np.frombuffer(ids, "<u4")
-        mask = np.zeros(rows * self.row, "u1")
-        mask[:n] = 1
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=kind.type) for x, kind in zip((padded, mask), self.writer_schema(), strict=True)]
-        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.writer_schema()))
-
-    def writer_schema(self) -> pa.Schema:
-        return file_schema(self.row)
+        padded = np.zeros(rows * self.row, self.kind)
+        padded[:n] = np.frombuffer(ids, self.kind)
+        mask = np.arange(rows * self.row) < n
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), type=kind.type) for x, kind in zip((padded, mask), self.schema, strict=True)]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> dict:
         if self.buffer:
@@ -89,14 +87,15 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, row_length:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        encode, end = encoder(vocabulary).encode, np.array([END_ID], "<u4").tobytes()
+        known, end = encoder(vocabulary), np.array([END_ID], "<u4").tobytes()
+        encode, kinds_of_ids = known.encode, known.tokenizer.get_vocab_size()
         file, part, done = None, 0, []
         for batch in slices(batches, "text"):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 if file is not None and file.ids >= FILE_IDS:
                     done.append(file.close() | {"shard": shard, "part": part})
                     file, part = None, part + 1
-                file = file or _File(folder, f"{shard:06d}-{part:04d}-{uuid.uuid4().hex}", row_length)
+                file = file or _File(folder, f"{shard:06d}-{part:04d}-{uuid.uuid4().hex}", row_length, kinds_of_ids)
                 file.add(doc_id, encode(text) + end)
         if file is not None:
             done.append(file.close() | {"shard": shard, "part": part})
@@ -110,7 +109,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, row_length:
 
 
 class TokenFile:
-    """A written file, mapped: ``ids(i)`` gives document i's ids as slices of the map, ``row(i)`` a sequence and its mask."""
+    """A written file, mapped: ``slices(i)`` gives a sequence and its mask as Arrow slices of the map, ``row(i)`` as numpy arrays
+    (the mask's bits unpacked), ``pieces`` a stretch of ids as slices of the map."""
 
     def __init__(self, path: str):
         fs, inner = local_or_remote(path)
@@ -127,10 +127,13 @@ class TokenFile:
             self._batch = number, self.reader.get_batch(number)
         return self._batch[1].column(0).flatten().to_numpy(zero_copy_only=True)
 
-    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def slices(self, i: int) -> tuple[pa.Array, pa.Array]:
         batch = self.reader.get_batch(i // BATCH_ROWS)
-        at = slice((i % BATCH_ROWS) * self.row_length, (i % BATCH_ROWS + 1) * self.row_length)
-        return tuple(c.flatten().to_numpy(zero_copy_only=True)[at] for c in batch.columns)
+        return tuple(c.flatten().slice((i % BATCH_ROWS) * self.row_length, self.row_length) for c in batch.columns)
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        ids, mask = self.slices(i)
+        return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
     def pieces(self, start: int, length: int) -> Iterator[np.ndarray]:
         step = BATCH_ROWS * self.row_length
@@ -155,7 +158,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 for doc_id, start, n in file.documents():
                     crc = 0
                     for piece in file.pieces(start, n):
-                        crc = zlib.crc32(piece.view("u1"), crc)
+                        crc = zlib.crc32(piece.astype("<u4").view("u1"), crc)
                     found.append((doc_id, start, n, crc & 0xFFFFFFFF))
                 names = ["shard", "part", "doc_id", "local_start", "n_tokens", "ids_crc32"]
                 kinds = [pa.int32(), pa.int32()] + [pa.int64()] * 4
