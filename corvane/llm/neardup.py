@@ -191,7 +191,8 @@ def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + columns, names=[*names, "hashes", "counts"])
 
     texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
-    bags = texts.join(placed, "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(cut, "id long, cluster long, block int, blocks int, hashes binary, counts binary")
+    # Members grow with the corpus, so they are never broadcast: the plan is one and the same at every size.
+    bags = texts.join(placed.hint("merge"), "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(cut, "id long, cluster long, block int, blocks int, hashes binary, counts binary")
     # Block x of a cluster takes part in the tasks (x, y) and (y, x) for every y; the task of a pair is (less, more).
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = bags.select("*", other).select("id", "cluster", "block", "hashes", "counts", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
