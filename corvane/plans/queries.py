@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,26 +10,9 @@ from corvane.operators.matching import bigram_bags, copies_of, dice_pairs, greed
 from corvane.operators.ranking import as_of, keep_best, runs, top_k
 from corvane.operators.scoring import level, rolled_up, weighted_score
 from corvane.operators.sequences import edit_scripts, hunks
+from corvane.plans.registry import query, read
 from corvane.scratch import materialise
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _BAGS = """bags(id, gram, c) AS (SELECT id, gram, count(*) FROM (SELECT id, unnest(CASE WHEN len(w) = 1 THEN w
     ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS gram FROM words) GROUP BY ALL),
   sizes AS (SELECT id, sum(c) AS n FROM bags GROUP BY id)"""

@@ -3,7 +3,8 @@
 import duckdb
 import pytest
 
-from corvane.plans.queries import ORACLES, QUERIES
+from corvane.plans import matching_queries, queries  # noqa: F401  (they register their queries)
+from corvane.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
