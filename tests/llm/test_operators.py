@@ -180,6 +180,16 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_keep_one_keeps_each_class_once(spark, docs, none):
+    kept = neardup.keep_one(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    by_id = {r[0]: r for r in DOCS}
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 3, 6, 7, 8]
+    assert all(tuple(r) == by_id[r.doc_id] for r in rows)
+    assert neardup.keep_one(spark, none, DATA).count() == 0
+
+
 def test_probability_jaccard_by_definition():
     rng = np.random.default_rng(0)
     for _ in range(50):
