@@ -4,7 +4,8 @@ A document is its 5-word shingles, weighted by how often they occur. Two are nea
 sum over i of 1 / sum over j of max(v_j / v_i, w_j / w_i), is 0.8 or more (for texts without repeated shingles this is plain
 Jaccard). Steps, each a Spark stage over all documents:
 
-1. Exact copies: documents of equal text share one row from here on, that of the least id. Signatures: each shingle is a
+1. Exact copies: documents of equal text share one row from here on, under a number of its own; ids play no part until the
+   end, so neither null ids nor ids with several texts join or lose anything. Signatures: each shingle is a
    Poisson process whose rate is its weight; an arrival falls into a random one of ``REGISTERS`` and a register keeps its
    first. Arrivals are drawn in rounds, shingles leaving once their next one is later than the latest register.
 2. Bands of ``ROWS`` registers; texts that share a band with the least one there are joined into coarse clusters, by
@@ -15,9 +16,9 @@ Jaccard). Steps, each a Spark stage over all documents:
    spanning forest of its links, not the links.
 4. Connected components of the forests are the classes.
 
-Result: ``doc_id, class_id`` (the least id in the class) for every document. Cases: a null text is empty; texts of under
-five words have no shingles and match equal texts only; rows alike in id stay rows; an empty table gives no rows; other
-columns are ignored.
+Result: ``doc_id, class_id`` (the least id in the class, null if it has none) for every document. Cases: a null text is
+empty; texts of under five words have no shingles and match equal texts only; rows alike in id stay rows, and their texts
+are classed apart unless they are alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,7 +177,7 @@ def clusters(texts: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links ``a, b`` that connect each cluster's near copies; ``members``: ``id, cluster, n_shingles`` of distinct texts."""
+    """Links ``a, b`` that connect each cluster's near copies; ``members``: ``id, content, cluster, n_shingles`` of distinct texts."""
     members = materialise(members)
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     blocks = F.greatest(F.when(F.col("n") <= 2 * BLOCK_TEXTS, 1).otherwise(F.ceil(F.col("n") / BLOCK_TEXTS)), F.when(F.col("m") <= 2 * BLOCK_SHINGLES, 1).otherwise(F.ceil(F.col("m") / BLOCK_SHINGLES)))
@@ -190,9 +191,10 @@ def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> Dat
             columns = [pa.array([x.astype(kind).tobytes() for x in col], pa.binary()) for col, kind in ((tuple(h for h, _ in bags), "<u8"), (tuple(c for _, c in bags), "<u4"))]
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + columns, names=[*names, "hashes", "counts"])
 
-    texts = docs.select(F.col("doc_id").alias("id"), text_of().alias("text"))
+    # Copies collapse before they are shuffled, and the join finds the texts dealt by content already.
+    texts = docs.select(F.md5(text_of()).alias("content"), text_of().alias("text")).groupBy("content").agg(F.first("text").alias("text"))
     # Members grow with the corpus, so they are never broadcast: the plan is one and the same at every size.
-    bags = texts.join(placed.hint("merge"), "id").select("id", "cluster", "block", "blocks", "text").mapInArrow(cut, "id long, cluster long, block int, blocks int, hashes binary, counts binary")
+    bags = texts.join(placed.hint("merge"), "content").select("id", "cluster", "block", "blocks", "text").mapInArrow(cut, "id long, cluster long, block int, blocks int, hashes binary, counts binary")
     # Block x of a cluster takes part in the tasks (x, y) and (y, x) for every y; the task of a pair is (less, more).
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     tasks = bags.select("*", other).select("id", "cluster", "block", "hashes", "counts", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -211,13 +213,16 @@ def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> Dat
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """``doc_id, content, class_id`` of every document."""
+    """``doc_id, content, component, class_id`` of every document; a class is a component, whatever ids its rows have."""
     signed = materialise(sign(docs))
-    texts = materialise(signed.groupBy("content").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
-    members = clusters(texts.select("id", "bands").filter(F.size("bands") > 0)).join(texts.select("id", "n_shingles"), "id")
+    texts = signed.groupBy("content").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    # Written once, so that each content keeps its number.
+    texts = materialise(texts.withColumn("id", F.monotonically_increasing_id()))
+    members = clusters(texts.select("id", "bands").filter(F.size("bands") > 0)).join(texts.select("id", "content", "n_shingles"), "id")
     classes = connected_components(links(docs, members, least))
-    named = texts.select("content", "id").join(classes, "id", "left").select("content", F.coalesce("component", "id").alias("class_id"))
-    return signed.select("doc_id", "content").join(named, "content")
+    named = materialise(texts.select("content", "id", "least_id").join(classes, "id", "left").select("content", "least_id", F.coalesce("component", "id").alias("component")))
+    ids = named.groupBy("component").agg(F.min("least_id").alias("class_id"))
+    return signed.select("doc_id", "content").join(named.join(ids, "component").select("content", "component", "class_id"), "content")
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,9 +230,10 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without near copies: of each class the row of the least id, of rows alike in id the first by text."""
-    found = near_duplicates(docs).filter("doc_id = class_id").select("doc_id", "content").distinct()
-    least = found.groupBy("doc_id").agg(F.min("content").alias("content"))
-    names = docs.columns
-    kept = docs.withColumn("_content", F.md5(text_of())).join(least.select(F.col("doc_id").alias("_id"), F.col("content").alias("_content")), ["_content"]).filter("doc_id = _id")
-    return kept.dropDuplicates(["doc_id"]).select(*names)
+    """The documents without near copies: of each class one row, the first by id (null last), then by text."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "content")).alias("f")
+    least = near_duplicates(docs).groupBy("component").agg(first).select(F.col("f.id").alias("_id"), F.col("f.content").alias("_content"))
+    rows = docs.withColumn("_content", F.md5(text_of()))
+    # Ids take part in the join, so that the copies of a text are dealt out.
+    kept = rows.alias("d").join(least.alias("l"), (F.col("d._content") == F.col("l._content")) & F.col("d.doc_id").eqNullSafe(F.col("l._id"))).select("d.*")
+    return kept.dropDuplicates(["_content"]).select(*docs.columns)

@@ -190,6 +190,21 @@ def test_keep_one_keeps_each_class_once(spark, docs, none):
     assert neardup.keep_one(spark, none, DATA).count() == 0
 
 
+def test_near_duplicates_class_texts_not_ids(spark):
+    near, lone, other = COPY.replace("w59", "near"), " ".join(f"x{k}" for k in range(60)), " ".join(f"y{k}" for k in range(60))
+    alike = [(20, near), (None, COPY), (None, COPY)]  # of the null ids, two are copies
+    twice = [(5, lone), (5, other), (3, other.replace("y59", "z")), (9, lone)]  # one id, two texts
+    nulls = [(None, " ".join(f"n{k}" for k in range(60))), (None, " ".join(f"n{k}" for k in range(59))), (None, None), (7, "")]
+    rows = spark.createDataFrame(alike + twice + nulls, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id) for r in neardup.near_duplicates(rows).collect())
+    assert got == Counter({(20, 20): 1, (None, 20): 2, (5, 5): 1, (5, 3): 1, (3, 3): 1, (9, 5): 1, (None, None): 2, (None, 7): 1, (7, 7): 1})
+    kept = neardup.keep_one(spark, rows, DATA).collect()
+    first = min(nulls[:2], key=lambda r: hashlib.md5(r[1].encode()).hexdigest())
+    assert Counter(map(tuple, kept)) == Counter([(20, near), (5, lone), (3, twice[2][1]), first, (7, "")])
+    alone = neardup.keep_one(spark, spark.createDataFrame(nulls[:2], "doc_id long, text string"), DATA)
+    assert [tuple(r) for r in alone.collect()] == [first]
+
+
 def test_probability_jaccard_by_definition():
     rng = np.random.default_rng(0)
     for _ in range(50):
