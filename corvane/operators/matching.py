@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from corvane.scratch import materialise
 
 
-def bigram_bags(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, gram, c``: the multiset of a text's word bigrams; a single word stands for itself."""
+def bigrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys, gram``: a text's word bigrams as they occur; a single word stands for itself."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda w: w != "")
     pairs = F.when(F.size("w") == 1, F.col("w")).otherwise(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
-    return df.select(key, words.alias("w")).select(key, F.explode(pairs).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+    return df.select(*keys, words.alias("w")).select(*keys, F.explode(pairs).alias("gram"))
+
+
+def bigram_bags(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, gram, c``: the multiset of a text's word bigrams; a single word stands for itself."""
+    return bigrams(df, [key], text).groupBy(key, "gram").agg(F.count("*").alias("c"))
 
 
 def dice_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float, distinct: bool = False) -> DataFrame:
@@ -40,6 +45,23 @@ def dice_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float,
     return common.withColumn("dice", 2 * F.col("m") / (F.col("n1") + F.col("n2"))).filter(F.col("dice") >= least).select(a, b, F.round("dice", 6).alias("dice"))
 
 
+def contained_bags(docs: DataFrame, items: DataFrame, a: str, b: str, least: float) -> DataFrame:
+    """``a, b, share`` where a document has ``least`` or more of an item's occurrences: sum of least counts / item's size.
+
+    ``docs`` has ``a, gram, c`` and ``items`` has ``b, gram, c``. An item's rarest size - ceil(size * least) + 1 occurrences
+    can't all be missing, so pairs meet on those only and are then summed exactly; a document's length plays no part.
+    """
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(b)
+    rows = items.join(docs.groupBy("gram").agg(F.count("*").alias("f")), "gram", "left").fillna(0, ["f"]).withColumn("n", F.sum("c").over(w))
+    before = F.coalesce(F.sum("c").over(w.orderBy("f", "gram").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    prefix = rows.filter(F.col("n") > 0).withColumn("before", before).filter(F.col("before") < F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    met = docs.select(a, "gram").join(prefix.select("gram", b, "n"), "gram").select(a, b, "n").distinct()
+    common = met.join(docs.withColumnRenamed("c", "c1"), a).join(items.withColumnRenamed("c", "c2"), [b, "gram"]).groupBy(a, b, "n").agg(F.sum(F.least("c1", "c2")).alias("m"))
+    return common.withColumn("share", F.col("m") / F.col("n")).filter(F.col("share") >= least).select(a, b, F.round("share", 6).alias("share"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str]) -> DataFrame:
     """``key, status``: added, removed, modified or unchanged between two snapshots with one row per key."""
     o, n = old.select(key, F.struct(*values).alias("o")), new.select(key, F.struct(*values).alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.operators.matching import bigram_bags, copies_of, dice_pairs
+from corvane.operators.matching import bigram_bags, bigrams, contained_bags, copies_of, dice_pairs
 from corvane.operators.ranking import keep_best
 from corvane.plans.registry import query, read
 from corvane.scratch import materialise
@@ -29,6 +29,28 @@ def contamination_bag_overlap(spark, d):
     return dice_pairs(bags("documents", "doc_id"), bags("benchmark", "item_id"), "doc_id", "item_id", 0.5)
 
 
+@query("""WITH texts AS (SELECT DISTINCT 'd' AS side, coalesce(text, '') AS t FROM documents UNION ALL SELECT DISTINCT 'b', coalesce(text, '') FROM benchmark),
+  words AS (SELECT side, t, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM texts),
+  bags AS (SELECT side, t, gram, count(*) AS c FROM (SELECT side, t, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS gram FROM words) GROUP BY ALL),
+  sizes AS (SELECT t, sum(c) AS n FROM bags WHERE side = 'b' GROUP BY t),
+  m AS (SELECT a.t AS a, b.t AS b, sum(least(a.c, b.c)) AS m FROM bags a JOIN bags b ON a.gram = b.gram AND a.side = 'd' AND b.side = 'b' GROUP BY ALL)
+  SELECT doc_id, item_id, round(CAST(m AS DOUBLE) / CAST(n AS DOUBLE), 6) AS share FROM m JOIN sizes ON sizes.t = m.b JOIN documents d ON coalesce(d.text, '') = m.a JOIN benchmark i ON coalesce(i.text, '') = m.b
+  WHERE CAST(m AS DOUBLE) / CAST(n AS DOUBLE) >= 0.5""")
+def contamination_item_share(spark, d):
+    """Every document that has half or more of a benchmark item's word bigrams, however long the document is.
+
+    Rows are numbered, so null or repeated ids neither join nor lose texts. The items' grams are broadcast (a benchmark
+    doesn't grow with the corpus): documents keep only those, and no text is shuffled.
+    """
+    items = read(spark, d, "benchmark").select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    items = materialise(bigrams(items, ["item", "item_id"], "text").groupBy("item", "item_id", "gram").agg(F.count("*").alias("c")))
+    docs = read(spark, d, "documents").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text")
+    hits = bigrams(docs, ["doc", "doc_id"], "text").join(F.broadcast(items.select("gram").distinct()), "gram", "left_semi")
+    docs = materialise(hits.groupBy("doc", "doc_id", "gram").agg(F.count("*").alias("c")))
+    found = contained_bags(docs.select("doc", "gram", "c"), items.select("item", "gram", "c"), "doc", "item", 0.5)
+    return found.join(docs.select("doc", "doc_id").distinct(), "doc").join(items.select("item", "item_id").distinct(), "item").select("doc_id", "item_id", "share")
+
+
 @query("""WITH o AS (SELECT o_custkey, floor(o_totalprice / 1000) AS k, o_orderkey FROM orders WHERE o_orderstatus = 'O'), f AS (SELECT o_custkey, floor(o_totalprice / 1000) AS k, o_orderkey FROM orders WHERE o_orderstatus = 'F'),
   u AS (SELECT o_custkey, k, min(o_orderkey) AS old_key FROM o GROUP BY ALL HAVING count(*) = 1), v AS (SELECT o_custkey, k, min(o_orderkey) AS new_key FROM f GROUP BY ALL HAVING count(*) = 1)
   SELECT old_key, new_key FROM u JOIN v USING (o_custkey, k)""")
