@@ -105,6 +105,18 @@ def hop_neighbourhood(spark, d):
     return e.join(e.filter("part <= 3").select("s").distinct(), "s", "left_semi").groupBy("part").agg(F.count("*").alias("ways"))
 
 
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), b AS (SELECT DISTINCT p_brand AS brand, s FROM e JOIN part ON p = p_partkey)
+  SELECT brand, p AS part, CAST(count(*) AS BIGINT) AS ways FROM e JOIN b USING (s) GROUP BY ALL""")
+def hop_neighbourhood_by_brand(spark, d):
+    """Parts two steps from each brand's parts over all links, and by how many suppliers each is reached.
+
+    A brand's seeds are merged at the suppliers first, so a hub gives a row per part and brand, not per pair of parts.
+    """
+    e = read(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s")).distinct()
+    brands = read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
+    return e.join(e.join(brands, "part").select("brand", "s").distinct(), "s").groupBy("brand", "part").agg(F.count("*").alias("ways"))
+
+
 @query("""WITH e AS (SELECT 'c' || o_custkey AS source, 'n' || c_nationkey AS target, 'customer' AS kind, 1 AS p FROM orders JOIN customer ON o_custkey = c_custkey
     UNION ALL SELECT 's' || l_suppkey, 'n' || s_nationkey, CASE WHEN l_returnflag = 'R' THEN 'return' ELSE 'supply' END, CASE WHEN l_returnflag = 'R' THEN 2 ELSE 3 END FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
   SELECT source, target, arg_min(kind, p) AS kind, CAST(count(*) AS BIGINT) AS n FROM e GROUP BY source, target""")
