@@ -30,9 +30,10 @@ class FMIndex:
     Each level of the wavelet matrix keeps one bit a symbol and a count for every 64: about 1.5 bits a symbol and level.
     """
 
-    def __init__(self, words: np.ndarray, ends: np.ndarray):
-        """``words``: all sequences end to end; ``ends``: where each ends."""
+    def __init__(self, words: np.ndarray, ends: np.ndarray, weights: np.ndarray):
+        """``words``: all sequences end to end; ``ends``: where each ends; ``weights``: how often each counts."""
         self.alphabet, codes = np.unique(words, return_inverse=True)
+        self.texts = codes + 1  # the sequences in the index's own symbols
         n = len(words) + len(ends)
         gaps = ends + np.arange(len(ends))
         mark = np.zeros(n, bool)
@@ -41,6 +42,8 @@ class FMIndex:
         symbols[mark] = np.arange(len(ends))  # each separator sorts apart, so doubling ends with the longest sequence
         symbols[~mark] = codes + len(ends)
         order = suffix_array(symbols)
+        each = np.repeat(weights, np.diff(np.concatenate(([0], ends))) + 1)
+        self.weight = np.concatenate(([0], np.cumsum(each[order])))  # of the suffixes before each place in order
         plain = np.where(symbols < len(ends), 0, symbols - len(ends) + 1)
         last = plain[order - 1]  # the symbol before each suffix
         counts = np.bincount(plain, minlength=len(self.alphabet) + 1)
@@ -57,11 +60,6 @@ class FMIndex:
             last = np.concatenate((last[bit == 0], last[bit == 1]))
         self.origin = self._down(np.arange(len(self.alphabet) + 1), np.zeros(len(self.alphabet) + 1, np.int64))
 
-    def codes(self, words: np.ndarray) -> np.ndarray:
-        """Symbols of words, 0 for a word that the index doesn't hold."""
-        at = np.minimum(np.searchsorted(self.alphabet, words), len(self.alphabet) - 1)
-        return np.where(self.alphabet[at] == words, at + 1, 0)
-
     def _down(self, code: np.ndarray, at: np.ndarray) -> np.ndarray:
         for k, (packed, before, zeros) in zip(range(self.bits - 1, -1, -1), self.levels, strict=True):
             block = at >> 6
@@ -76,9 +74,9 @@ class FMIndex:
 
 
 def repeated_windows(index: FMIndex, codes: np.ndarray, begins: np.ndarray, sizes: np.ndarray, window: int) -> np.ndarray:
-    """For each place in ``codes``, whether the window that begins there occurs twice or more in the index.
+    """For each place in ``codes``, whether the window that begins there occurs in the index with weight 2 or more.
 
-    Sequences (``begins``, ``sizes``) are streamed side by side: each tests a stretch from its cursor by backward search
+    That is, where the matching statistic reaches ``window``. Sequences (``begins``, ``sizes``), in the index's symbols, are streamed side by side: each tests a stretch from its cursor by backward search
     from the stretch's end, one word a round. A stretch that reaches the cursor clears all its windows and the next is
     longer. A longer one that fails is halved; where a bare window fails at some place, no window with that place and the
     window's end can occur twice, so the cursor moves past it.
@@ -92,7 +90,7 @@ def repeated_windows(index: FMIndex, codes: np.ndarray, begins: np.ndarray, size
     while len(who):
         at = at - 1
         low, high = index.extend(codes[begins[who] + at], low, high)
-        failed = (high - low < 2) | (codes[begins[who] + at] == 0)
+        failed = index.weight[high] - index.weight[low] < 2
         reached = ~failed & (at == cursor[who])
         if not (failed | reached).any():
             continue

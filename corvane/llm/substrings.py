@@ -4,17 +4,21 @@ The least hash of 8-word anchors in a window is a function of the window's words
 consecutive windows with one anchor form a segment of some 50 words. Only anchors that occur twice can hold repeats.
 
 1. Anchors are counted; segments of anchors that occur once go. What is left is small where the corpus repeats little.
-2. Segments are counted by content. All windows of one that occurs twice are repeats. One that occurs once may share
-   windows with other segments of its anchor: those are sharded by anchor, each shard builds an FM-index of its distinct
-   segments, and such segments are streamed through it by backward search, which reports the stretches that occur twice.
-3. An anchor with over ``HOT_KINDS`` distinct segments (a line that many documents share) would fill a shard by itself: its
-   segments are dealt again as single windows, each by its own content, and counted there.
-4. Every document loses the words of its repeated windows.
-
-Texts pass one shuffle whole, and those with candidates a second time. Result of ``drop_repeats``: ``doc_id, n_words,
-n_removed, kept_sha256, kept_text``. Cases: a null text has no words; texts under ``WINDOW`` words lose nothing; rows alike
-in id and text are two documents and repeat each other; an empty table gives no rows; other columns are ignored. Words are
-compared as 64-bit hashes, windows thus by 35 of them.
+2. Segments of equal content collapse into one, weighed by how often it occurs (2 stands for any more).
+3. Segments are sharded by anchor. Each shard builds a compressed FM-index of all its distinct segments and streams them
+   through it: backward search tells where the matching statistic, among occurrences of total weight 2 or more, reaches
+   ``WINDOW``, and reports those stretches.
+4. An anchor with over ``MOST_KINDS`` distinct segments (a line that many documents share, each time with other words around
+   it) would fill a shard by itself. Its segments are parted again by longer anchors (``ANCHORS``), each part with the weight of
+   its segment: words beside the line then take part in the anchor, so that parts spread over shards or occur once and go. The
+   last anchor is the whole window, of which no anchor has two kinds; so no window is left out, and all go through an index.
+5. Every document loses the words of its repeated windows.
+
+Texts pass one shuffle whole, and those with candidates a second time. Joins on anchors and contents are of written tables, so
+that Spark can split a hot one. Result of ``drop_repeats``: ``doc_id, n_words, n_removed, kept_sha256, kept_text``. Cases: a
+null text has no words; texts under ``WINDOW`` words lose nothing; rows alike in id and text are two documents and repeat each
+other; very long texts are one row and a long list of stretches; an empty table gives no rows; other columns are ignored.
+Words are compared as 64-bit hashes, windows thus by 35 of them.
 """
 
 from __future__ import annotations
@@ -34,15 +38,17 @@ from .fm_index import FMIndex, repeated_windows
 from .hashing import _BASE, _tables, mix64, window_hashes, word_hashes
 from .tokens import slices
 
-WINDOW, ANCHOR = 35, 8
-HOT_KINDS = 256
-SHARD_SEGMENTS = 4096
+WINDOW = 35
+#: Words of an anchor, and of the longer ones by which segments of hot anchors are parted again.
+ANCHORS = (8, 20, 30, WINDOW)
+#: Distinct segments of one anchor that a shard takes, and of all its anchors on average.
+MOST_KINDS, SHARD_SEGMENTS = 256, 4096
 BATCH_BYTES = 2_000_000
-#: What a segment is for: its content occurs twice; a query of its shard; only in the index; dealt as windows.
-WHOLE, QUERY, INDEX, WINDOWS = 1, 2, 4, 8
+SEGMENT = "start:int,size:int,anchor:long,content:long,weight:int,hot:boolean"
+STRETCHES = "anchor long, content long, start int, end int"
 
 
-def segments(words: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int = ANCHOR) -> tuple[np.ndarray, ...]:
+def segments(words: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int = ANCHORS[0]) -> tuple[np.ndarray, ...]:
     """From words' hashes and texts' first words: text number, first word in the text, size, anchor and content of segments."""
     hashes = window_hashes(words, anchor)
     width = window - anchor + 1
@@ -82,23 +88,22 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "content", "key", "start", "size"])
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``key, start, size, anchor, role``: segments that may hold repeated windows. ``docs``: ``key, doc_id, text``."""
-    repeated = docs.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
-    found = materialise(docs.select("key", "text").mapInArrow(_segments, "anchor long, content long, key long, start int, size int").join(repeated, "anchor"))
-    contents = materialise(found.groupBy("anchor", "content").agg(F.count("*").alias("c"), F.min("key").alias("one")))
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("c").alias("least"))
-    told = contents.join(kinds, "anchor")
-    rows = found.join(told, ["anchor", "content"])
-    lone, stands = F.col("c") == 1, F.col("key") == F.col("one")
-    hot, shared = F.col("kinds") > HOT_KINDS, (F.col("kinds") > 1) & (F.col("least") == 1)
-    role = (
-        F.when(~lone, WHOLE).otherwise(0)
-        + F.when(shared & ~hot & lone, QUERY).otherwise(0)
-        + F.when(shared & ~hot & ~lone & stands, INDEX).otherwise(0)
-        + F.when(shared & hot & (lone | stands), WINDOWS).otherwise(0)
-    )
-    return rows.select("key", "start", "size", "anchor", role.alias("role")).filter("role > 0")
+def found_segments(docs: DataFrame) -> DataFrame:
+    """``anchor, content, key, start, size`` of every segment whose anchor occurs twice or more. ``docs``: ``key, doc_id, text``."""
+    anchors = docs.select("text").mapInArrow(_anchors, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = materialise(anchors.select("anchor"))
+    rows = docs.select("key", "text").mapInArrow(_segments, "anchor long, content long, key long, start int, size int")
+    return materialise(rows.join(repeated.hint("merge"), "anchor"))
+
+
+def kinds_of(found: DataFrame) -> tuple[DataFrame, int, int]:
+    """One row for each distinct segment, with its weight and a place of it; how many belong to usual and to hot anchors."""
+    one = F.min(F.struct("key", "start", "size"))
+    kinds = materialise(found.groupBy("anchor", "content").agg(F.least(F.count("*"), F.lit(2)).cast("int").alias("weight"), one.alias("one")))
+    hot = materialise(kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > MOST_KINDS).withColumn("hot", F.lit(True)))
+    n_hot = hot.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = kinds.join(hot.select("anchor", "hot").hint("merge"), "anchor", "left") if n_hot else kinds.withColumn("hot", F.lit(None).cast("boolean"))
+    return told.select("anchor", "content", "weight", F.coalesce("hot", F.lit(False)).alias("hot"), "one.*"), kinds.count() - n_hot, n_hot
 
 
 def _cut(text: bytes, covered: list[tuple[int, int]]) -> tuple[int, int, bytes]:
@@ -117,7 +122,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _finish(with_text: bool):
-    """Arrow function: texts and their covered stretches to results; without stretches to look at, ``roles`` is null."""
+    """Arrow function: texts and their covered stretches to results; ``covered`` is null where there are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
@@ -133,62 +138,89 @@ def _finish(with_text: bool):
     return run
 
 
-def _contents(roles: int, as_windows: bool):
-    """Arrow function: the words of a text's segments with one of these roles, whole or cut into windows' hashes."""
+def _rows(columns: dict[str, tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for values, kind in columns.values()], names=list(columns))
+
+
+def _contents(hot: bool):
+    """Arrow function: the words of the segments listed with a text, of hot anchors or of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", BATCH_BYTES):
             words, at = word_hashes(batch.column("text"))
-            out = []
-            windows = window_hashes(words, WINDOW) if as_windows else None
-            for i, (key, some) in enumerate(zip(batch.column("key").to_pylist(), batch.column("segments").to_pylist(), strict=True)):
-                for s in some:
-                    if not s["role"] & roles:
-                        continue
-                    a = at[i] + s["start"]
-                    if as_windows:
-                        weight = 2 if s["role"] & WHOLE else 1
-                        out += [(key, s["start"] + k, int(h), weight) for k, h in enumerate(windows[a : a + s["size"] - WINDOW + 1].view(np.int64).tolist())]
-                    else:
-                        out.append((key, s["start"], s["anchor"], bool(s["role"] & QUERY), words[a : a + s["size"]].tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32()] if as_windows else [pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()]
-            names = ["key", "start", "hash", "weight"] if as_windows else ["key", "start", "anchor", "query", "words"]
-            columns = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            some = [(at[i] + s["start"], s) for i, listed in enumerate(batch.column("segments").to_pylist()) for s in listed if s["hot"] == hot]
+            column = lambda name: [s[name] for _, s in some]
+            yield _rows({"anchor": (column("anchor"), pa.int64()), "content": (column("content"), pa.int64()), "weight": (column("weight"), pa.int32()), "words": ([words[a : a + s["size"]].tobytes() for a, s in some], pa.binary())})
+
+    return run
+
+
+def _parts(anchor: int):
+    """Arrow function: segments, given by their words, parted by longer anchors; ``first`` is a part's place in its segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [np.frombuffer(w, np.uint64) for w in batch.column("words").to_pylist()]
+            if not pieces:
+                continue
+            words, at = np.concatenate(pieces), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+            number, first, size, anchors, contents = segments(words, at, WINDOW, anchor)
+            begin = at[number] + first
+            whole = {name: (np.asarray(batch.column(old))[number], kind) for name, old, kind in (("whole_anchor", "anchor", pa.int64()), ("whole", "content", pa.int64()), ("weight", "weight", pa.int32()))}
+            yield _rows(whole | {"first": (first, pa.int32()), "anchor": (anchors, pa.int64()), "content": (contents, pa.int64()), "words": ([words[a : a + n].tobytes() for a, n in zip(begin, size, strict=True)], pa.binary())})
 
     return run
 
 
 def search_shard(frame: pd.DataFrame) -> pd.DataFrame:
-    """Index a shard's segments, stream its queries through, and give the stretches found: ``key, start, end``."""
+    """Index a shard's segments (``anchor, content, weight, words``), stream them through, and give the stretches found."""
     pieces = [np.frombuffer(w, np.uint64) for w in frame["words"]]
     sizes = np.array([len(p) for p in pieces])
     ends = np.cumsum(sizes)
-    index = FMIndex(np.concatenate(pieces), ends)
-    queries = frame["query"].to_numpy(bool)
-    words = np.concatenate([p for p, q in zip(pieces, queries, strict=True) if q]) if queries.any() else np.zeros(0, np.uint64)
-    sizes = sizes[queries]
-    begins = np.cumsum(sizes) - sizes
-    found = repeated_windows(index, index.codes(words), begins, sizes, WINDOW)
+    begins = ends - sizes
+    index = FMIndex(np.concatenate(pieces), ends, frame["weight"].to_numpy())
+    found = repeated_windows(index, index.texts, begins, sizes, WINDOW)
     number = np.repeat(np.arange(len(sizes)), sizes)
-    first = found.copy()
+    first, final = found.copy(), found.copy()
     first[1:] &= ~(found[:-1] & (number[1:] == number[:-1]))
-    final = found.copy()
     final[:-1] &= ~(found[1:] & (number[1:] == number[:-1]))
     a, b = np.flatnonzero(first), np.flatnonzero(final)
-    keys, starts = frame["key"].to_numpy()[queries], frame["start"].to_numpy()[queries]
-    base = starts[number[a]] - begins[number[a]]
-    return pd.DataFrame({"key": keys[number[a]], "start": (a + base).astype("int32"), "end": (b + base + WINDOW).astype("int32")})
+    text = number[a]
+    return pd.DataFrame({"anchor": frame["anchor"].to_numpy()[text], "content": frame["content"].to_numpy()[text], "start": (a - begins[text]).astype("int32"), "end": (b - begins[text] + WINDOW).astype("int32")})
+
+
+def search(kinds: DataFrame, n: int) -> DataFrame:
+    """``anchor, content, start, end``: repeated stretches of n distinct segments, given with their words."""
+    shards = max(1, -(-n // SHARD_SEGMENTS))
+    return kinds.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(search_shard, STRETCHES)
+
+
+def search_parts(kinds: DataFrame, anchors: tuple[int, ...]) -> DataFrame:
+    """As ``search``, for segments of hot anchors: their parts are searched, those of anchors still hot after parting again."""
+    shape = "whole_anchor long, whole long, weight int, first int, anchor long, content long, words binary"
+    parts = materialise(kinds.mapInArrow(_parts(anchors[0]), shape))
+    alike = materialise(parts.groupBy("anchor", "content").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), F.first("words").alias("words")))
+    live = alike.groupBy("anchor").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).filter("w > 1")
+    live = materialise(live.select("anchor", "n", (F.col("n") > MOST_KINDS).alias("hot")))
+    counts = {r.hot: r.n for r in live.groupBy("hot").agg(F.sum("n").alias("n")).collect()}
+    told = alike.join(live.select("anchor", "hot").hint("merge"), "anchor").select("anchor", "content", "weight", "words", "hot")
+    found = search(told.filter("NOT hot").drop("hot"), counts.get(False, 0))
+    if counts.get(True):
+        found = found.unionByName(search_parts(told.filter("hot").drop("hot"), anchors[1:]))
+    back = parts.drop("words").join(found.hint("merge"), ["anchor", "content"])
+    return back.select(F.col("whole_anchor").alias("anchor"), F.col("whole").alias("content"), (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
 
 
 def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Every document without the words of repeated windows."""
     result = RESULT + (", kept_text string" if with_text else "")
     keyed = _keyed(docs)
-    some = candidates(keyed)
-    listed = some.groupBy("key").agg(F.collect_list(F.struct("start", "size", "anchor", "role")).alias("segments"))
-    joined = keyed.join(listed, "key", "left")
-    state = "key long, doc_id long, text string, segments array<struct<start:int,size:int,anchor:long,role:int>>, " + RESULT.split(", ", 1)[1] + (", kept_text string" if with_text else "")
+    found = found_segments(keyed)
+    kinds, n_usual, n_hot = kinds_of(found)
+    # Every document with a segment waits; those that stand for a distinct segment also list it.
+    listed = found.select("key").distinct().withColumn("s", F.lit(None).cast(f"struct<{SEGMENT}>")).unionByName(kinds.select("key", F.struct("start", "size", "anchor", "content", "weight", "hot").alias("s")))
+    joined = keyed.join(listed.groupBy("key").agg(F.collect_list("s").alias("segments")).hint("merge"), "key", "left")
+    state = f"key long, doc_id long, text string, segments array<struct<{SEGMENT}>>, " + RESULT.split(", ", 1)[1] + (", kept_text string" if with_text else "")
     finish = _finish(with_text)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,22 +234,17 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
             if rest.num_rows:
                 yield pa.RecordBatch.from_arrays([rest.column(n).cast(kinds[n]) if n in rest.schema.names else pa.nulls(rest.num_rows, kinds[n]) for n in kinds], schema=pa.schema(kinds))
 
-    segment = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("role", pa.int32())])
+    segment = pa.struct([("start", pa.int32()), ("size", pa.int32()), ("anchor", pa.int64()), ("content", pa.int64()), ("weight", pa.int32()), ("hot", pa.bool_())])
     kinds = {"key": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "segments": pa.list_(segment), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     passed = materialise(joined.select("key", "doc_id", "text", "segments").mapInArrow(first_pass, state))
-    waiting = passed.filter("segments IS NOT NULL").select("key", "doc_id", "text", "segments")
-    has = lambda roles: F.exists("segments", lambda s: s["role"].bitwiseAND(roles) > 0)
-    count = waiting.select(F.coalesce(F.sum(F.size(F.filter("segments", lambda s: s["role"].bitwiseAND(QUERY + INDEX) > 0))), F.lit(0))).first()[0]
-    shards = max(1, -(-count // SHARD_SEGMENTS))
-    dealt = waiting.filter(has(QUERY + INDEX)).select("key", "text", "segments").mapInArrow(_contents(QUERY + INDEX, False), "key long, start int, anchor long, query boolean, words binary")
-    searched = dealt.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(search_shard, "key long, start int, end int")
-    windows = materialise(waiting.filter(has(WINDOWS)).select("key", "text", "segments").mapInArrow(_contents(WINDOWS, True), "key long, start int, hash long, weight int"))
-    often = windows.groupBy("hash").agg(F.sum("weight").alias("n")).filter("n > 1").select("hash")
-    counted = windows.join(often, "hash").select("key", "start", (F.col("start") + WINDOW).cast("int").alias("end"))
-    covered = searched.unionByName(counted).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("more"))
-    whole = F.transform(F.filter("segments", lambda s: s["role"].bitwiseAND(WHOLE) > 0), lambda s: F.struct(s["start"].alias("start"), (s["start"] + s["size"]).alias("end")))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    last = waiting.join(covered, "key", "left").select("doc_id", "text", F.concat(whole, F.coalesce("more", none)).alias("covered"))
+    waiting = passed.filter("segments IS NOT NULL")
+    words = lambda hot: waiting.filter(F.exists("segments", lambda s: s["hot"] == hot)).select("text", "segments").mapInArrow(_contents(hot), "anchor long, content long, weight int, words binary")
+    stretches = search(words(False), n_usual)
+    if n_hot:
+        stretches = stretches.unionByName(search_parts(words(True), ANCHORS[1:]))
+    placed = found.select("anchor", "content", "key", F.col("start").alias("at")).join(stretches.hint("merge"), ["anchor", "content"])
+    covered = placed.groupBy("key").agg(F.collect_set(F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))).alias("covered"))
+    last = waiting.select("key", "doc_id", "text").join(covered.hint("merge"), "key", "left").select("doc_id", "text", "covered")
     names = [c.split()[0] for c in result.split(", ")]
     return passed.filter("segments IS NULL").select(*names).unionByName(last.mapInArrow(finish, result))
 

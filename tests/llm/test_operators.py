@@ -229,23 +229,34 @@ def test_large_clusters_in_blocks_lose_no_link(spark, monkeypatch):
 
 def test_substrings_edges(docs, none):
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.drop_repeats(docs).collect())
-    windows = Counter(tuple(w[i : i + 35]) for w in (WORD.findall(d[1] or "") for d in DOCS) for i in range(len(w) - 34))
-    want = []
-    for doc_id, text, *_ in DOCS:
-        w = WORD.findall(text or "")
+    assert got == brute_repeats(DOCS)
+    assert substrings.drop_repeats(none).count() == 0
+
+
+def brute_repeats(rows):
+    """(doc_id, n_words, n_removed, kept_sha256) of rows by definition."""
+    words = [WORD.findall(text or "") for _, text, *_ in rows]
+    windows = Counter(tuple(w[i : i + 35]) for w in words for i in range(len(w) - 34))
+    out = []
+    for (doc_id, *_), w in zip(rows, words, strict=True):
         gone = {i + j for i in range(len(w) - 34) if windows[tuple(w[i : i + 35])] > 1 for j in range(35)}
         kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        want.append((doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
-    assert got == sorted(want)
-    assert substrings.drop_repeats(none).count() == 0
+        out.append((doc_id, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
 
 
-def test_hot_anchors_are_dealt_as_windows(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT_KINDS", 2)
-    line = " ".join(f"l{k}" for k in range(40))
-    rows = [(k, " ".join(f"a{k}_{j}" for j in range(30)) + " " + line + f" z{k}" * 20) for k in range(12)]
+@pytest.mark.parametrize("seed", range(3))
+def test_segments_of_hot_anchors_are_parted_again(spark, monkeypatch, seed):
+    """A line among words of a small vocabulary: repeats reach beyond it by some words, and every level of anchors has work."""
+    monkeypatch.setattr(substrings, "MOST_KINDS", 2)
+    monkeypatch.setattr(substrings, "SHARD_SEGMENTS", 16)
+    rng = np.random.default_rng(seed)
+    line = [f"l{k}" for k in range(40)]
+    few = lambda n: [f"v{k}" for k in rng.integers(0, 3, n)]
+    rows = [(k, " ".join([*few(30), *line, *few(30)])) for k in range(30)]
+    rows += [(k, rows[k - 30][1]) for k in range(30, 34)] + [(None, rows[0][1]), (None, rows[0][1]), (40, "x " * 90), (41, None)]
     got = substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.n_words, r.n_removed) for r in got} == {(90, 40)}
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows)
 
 
 def test_top_k_edges(spark):
