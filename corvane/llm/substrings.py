@@ -43,7 +43,7 @@ WINDOW = 35
 ANCHORS = (8, 20, 30, WINDOW)
 #: Distinct segments of one anchor that a shard takes, and of all its anchors on average.
 MOST_KINDS, SHARD_SEGMENTS = 256, 4096
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 500_000
 SEGMENT = "start:int,size:int,anchor:long,content:long,weight:int,hot:boolean"
 STRETCHES = "anchor long, content long, start int, end int"
 
