@@ -1,17 +1,23 @@
 """HTML extraction (operator 8): consensus host paths.
 
-Each page is cut once into blocks of text with the path of their container: names and classes of the open container
-elements, digits and order of classes taken out, so that pages of one template agree. Containers score the text of their
-own blocks less twice its links, their parents half of that; a page votes for its best container, lifted to the article or main
-element around it if there is one. Votes are counted per host in Spark, and every page is extracted again by its host's
-winning paths, in order of votes; where none occurs with text, the page's own choice counts.
-
-Menus, headers, footers, sidebars, notices, adverts, forms and comments are known by element, role, class or id and carry no
-text, wherever they stand; scripts, styles, markup comments and the head neither. A header inside an article is part of it.
+Each page is cut once into blocks of text, each in a chain of open elements. A container's path is the names and classes of
+the containers around it, digits and order of classes taken out, so that pages of one template agree. A page chooses the
+container of its article: an article element if one holds a fair share of the text, else the deepest container, from a main
+element or the root down, that holds two thirds of it (text in links counts against it), and its heading. Spark counts per
+host how many pages chose a path and how many have it at all; every page is extracted again by the path, of those it has, that
+most of the pages which have it chose. Paths of less than ``LEAST_SHARE`` of a host's pages, or one page, don't win: pages
+without a winning path keep their own choice.
+
+What isn't article: by element (menus, headers outside an article, footers, asides, scripts, styles, buttons, the head), by
+role, or by name: a whole class or id with a word such as sidebar in it, not one that says of a page that it has a sidebar.
+What is only named so, and forms, count as article if they hold most of the page's text and its heading, few links and few
+fields; reader comments never do. Elements that HTML closes by itself (p, li, dd, dt, td, tr, option) are closed.
+
 Line breaks end a block; character references are decoded; white space in a block becomes one space.
 
-Cases: a null or empty page gives an empty text; pages cut short are read to their end; a null or odd url is a host by itself
-(''); repeated rows are extracted one by one; an empty table gives no rows; other columns are ignored.
+Cases: a null or empty page gives an empty text; pages cut short are read to their end; very long pages are read whole; a null
+or odd url is a host by itself (''); repeated rows are extracted one by one; an empty table gives no rows; other columns are
+kept, but for ``host``, ``text`` and ``paths``, which the result's own replace.
 """
 
 from __future__ import annotations
@@ -20,48 +26,80 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .base import materialise, table
 from .tokens import slices
 
-#: Winning paths kept for a host: a template or two, and the long tail votes for itself.
-PATHS_OF_HOST = 3
+#: A path wins in a host if so large a share of its pages, and two at least, chose it.
+LEAST_SHARE = 0.002
 
 CONTAINERS = frozenset("html body div section article main header footer nav aside form table tbody thead tfoot tr td th ul ol dl figure fieldset details blockquote".split())
 #: Elements that end the block of text before them and begin another.
 BREAKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address hr br caption figcaption summary legend option title".split())
-SILENT = frozenset("nav footer aside form script style noscript template iframe svg math object select option button textarea head title canvas audio video dialog menu fieldset".split())
+SILENT = frozenset("nav footer aside script style noscript template iframe svg object select option button textarea head title canvas audio video dialog menu fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert".split())
-#: Words of a class or id that mark what isn't the article.
-NOISE = frozenset(
-    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion promotions banner banners cookie cookies consent gdpr notice notices alert popup modal overlay"
-    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail widget widgets footer foot header masthead topbar toolbar related recommended recommendations"
-    " comment comments commentlist disqus respond reply replies discussion share sharing social subscribe subscription newsletter signup login search pagination pager tags toc skip hidden".split()
-)
+#: Words of a class or id that mark what isn't the article; adverts may be inline; comments are never the article.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertisements adsense adsbygoogle sponsor sponsored promo promotion promotions".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies discussion".split())
+NOISE = ADVERTS | COMMENTS | frozenset(
+    "banner banners cookie cookies consent gdpr notice notices alert popup modal overlay"
+    " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail footer foot header masthead topbar toolbar related recommended recommendations"
+    " share sharing social subscribe subscription newsletter signup login search pagination pager tags toc skip".split()
+)
+#: A name with one of these before the word, or one of those at its end, speaks of the page.
+BEFORE = frozenset("has have with without no not non is".split())
+AT_END = frozenset("layout page free template theme enabled article story post".split())
+#: Words that count as a whole name only, and those before "header" that make it an article's.
+WHOLE = frozenset("widget widgets hidden".split())
+OF_ARTICLE = frozenset("post entry article story content".split())
 VOID = frozenset("br hr img meta link input area base col embed source track wbr param".split())
-_RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|title|canvas|object|audio|video"
+FIELDS = frozenset("input select textarea button".split())
+#: What an opening element closes: those elements, unless one of the others lies between.
+_TABLE = frozenset("table".split())
+CLOSES = {tag: (frozenset(["p"]), frozenset("td th table button".split())) for tag in BREAKS - frozenset("br td th tr tbody thead tfoot option title summary legend caption html body".split())}
+CLOSES |= {
+    "li": (frozenset(["li"]), frozenset("ul ol table".split())), "dt": (frozenset("dt dd".split()), frozenset("dl table".split())), "dd": (frozenset("dt dd".split()), frozenset("dl table".split())), "option": (frozenset(["option"]), frozenset(["select"])),
+    "td": (frozenset("td th".split()), frozenset("tr table".split())), "th": (frozenset("td th".split()), frozenset("tr table".split())), "tr": (frozenset(["tr"]), _TABLE), "tbody": (frozenset("thead tbody tfoot tr".split()), _TABLE), "tfoot": (frozenset("thead tbody tr".split()), _TABLE),
+}
+_RAW = "script|style|noscript|template|iframe|svg|textarea|select|title|canvas|object|audio|video"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|</(?P<end>[a-z][a-z0-9:-]*)[^>]*(?:>|\Z)"
     r"|<(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[a-z/!?][^>]*(?:>|\Z)",
     re.I | re.S,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?![\w-])(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: Shares of a page's text: of an article or main element to be chosen, of a container to be entered, of one with its heading.
+SEMANTIC, ENTERED, WITH_HEADING = 0.25, 2 / 3, 0.8
+#: Least characters for each field of a form that counts as article; of a container named otherwise that does, and its share of
+#: the page's text where an article, main element or first heading lies elsewhere.
+FIELD_CHARS, LIFTED_CHARS, ALONE = 100, 200, 0.9
+PLAIN, NAMED, FORM, ADVERT, COMMENT, NEVER = range(6)
+
+
+class Element(NamedTuple):
+    tag: str
+    path: str
+    kind: int
+    parent: int
 
 
 class Page:
-    """Blocks of a page in order, as (path of the container, text, characters in links), noise left out."""
+    """Blocks of a page in order, as (path of the container, text, characters in links, whether a heading), the article's alone."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, int]] = []
-        self.stack: list[tuple[str, str, bool]] = []  # of containers: tag, path, whether it is noise
+        self.elements: list[Element] = []
+        self.stack: list[int] = []
+        self.fields: Counter[int] = Counter()
+        self.raw: list[tuple[int, str, int, bool]] = []
         self.parts: list[str] = []
-        self.links = self.open_links = 0
+        self.links = 0
+        self.in_link = self.in_heading = False
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -71,98 +109,200 @@ class Page:
                 self._open(tag.lower(), m["attrs"] or "")
             elif end := m["end"]:
                 self._close(end.lower())
+            elif (m["raw"] or "").lower() in FIELDS:
+                self._field()
         if at < len(source):
             self._text(source[at:])
         self._flush()
+        self._sift()
 
     def _text(self, raw: str) -> None:
-        if self.stack and self.stack[-1][2]:
+        if self.stack and self.elements[self.stack[-1]].kind == NEVER:
             return
         self.parts.append(raw)
-        if self.open_links:
+        if self.in_link:
             self.links += len(raw)
 
     def _flush(self) -> None:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append((self.stack[-1][1] if self.stack else "", text, self.links))
+                self.raw.append((self.stack[-1] if self.stack else -1, text, self.links, self.in_heading))
         self.parts, self.links = [], 0
 
+    def _field(self) -> None:
+        self.fields.update(k for k in self.stack if self.elements[k].kind == FORM)
+
+    def _push(self, tag: str, path: str, kind: int) -> None:
+        parent = self.stack[-1] if self.stack else -1
+        if parent >= 0 and self.elements[parent].kind == NEVER:
+            kind = NEVER
+        self.elements.append(Element(tag, path, kind, parent))
+        self.stack.append(len(self.elements) - 1)
+
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "a":
-            self.open_links = 1
+            self.in_link = True
+        if tag in FIELDS:
+            self._field()
+        here = self.elements[self.stack[-1]].path if self.stack else ""
         if tag not in BREAKS and tag not in SILENT:
+            # Inline: an advert's text is cut out of its block.
+            if attributes and tag not in VOID and self._kind(tag, attributes, ADVERTS) != PLAIN:
+                self._push(tag, here, NEVER)
             return
         self._flush()
-        if tag not in CONTAINERS and tag not in SILENT:
-            if not attributes or tag in VOID or not self._noise(tag, attributes):
-                return
-            self.stack.append((tag, self._path(tag, ""), True))
-            return
+        if rule := CLOSES.get(tag):
+            self._close_open(*rule)
+            here = self.elements[self.stack[-1]].path if self.stack else ""
         if tag in VOID:
             return
-        self.open_links = 0
-        noise = bool(self.stack) and self.stack[-1][2]
-        classes = ""
-        if not noise:
-            noise = self._noise(tag, attributes)
-            classes = ".".join(sorted({w.lower() for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() == "class" for w in re.findall(r"[^\W\d]+", a or b or c)}))
-        self.stack.append((tag, self._path(tag, classes), noise))
-
-    def _path(self, tag: str, classes: str) -> str:
-        own = f"{tag}.{classes}" if classes else tag
-        return f"{self.stack[-1][1]}>{own}" if self.stack else own
-
-    def _noise(self, tag: str, attributes: str) -> bool:
-        if tag in SILENT:
-            return True
-        if tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack):
-            return True
+        self.in_heading = tag == "h1"
+        kind = self._kind(tag, attributes, NOISE)
+        if tag in CONTAINERS or tag in SILENT:
+            self.in_link = False
+            classes = ".".join(sorted({w.lower() for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() == "class" for w in re.findall(r"[^\W\d]+", a or b or c)})) if attributes else ""
+            own = f"{tag}.{classes}" if classes else tag
+            here = f"{here}>{own}" if here else own
+        self._push(tag, here, kind)
+
+    def _inside(self, *tags: str) -> bool:
+        return any(self.elements[k].tag in tags for k in self.stack)
+
+    def _kind(self, tag: str, attributes: str, words: frozenset) -> int:
+        if tag in SILENT or (tag == "header" and not self._inside("article", "main")):
+            return NEVER
+        found = FORM if tag == "form" else PLAIN
         for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), a or b or c
-            if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                return True
-            if name == "role" and value.lower() in ROLES:
-                return True
-            if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                inside = any(t in ("article", "main") for t, _, _ in self.stack)
-                for word in _WORD.findall(value):
-                    if word.lower() in NOISE and not (inside and word.lower() in ("header", "tags")):
-                        return True
-        return False
+            if words is ADVERTS and name not in ("class", "id"):
+                continue
+            if name == "role":
+                if value.lower() in ROLES and tag not in ("html", "body"):
+                    found = max(found, FORM if value.lower() == "form" else NEVER)
+            elif name in ("hidden", "aria-hidden"):
+                if name == "hidden" or value.lower() == "true":
+                    found = max(found, NAMED)
+            elif tag not in ("html", "body", "main"):
+                allowed = words
+                if tag == "article":
+                    allowed = COMMENTS
+                elif words is NOISE and self._inside("article", "main"):
+                    allowed = NOISE - {"header", "tags"}
+                for token in value.split():
+                    found = max(found, named(token, allowed))
+        return found
+
+    def _close_open(self, tags: frozenset, until: frozenset) -> None:
+        for k in range(len(self.stack) - 1, -1, -1):
+            tag = self.elements[self.stack[k]].tag
+            if tag in tags:
+                del self.stack[k:]
+                return
+            if tag in until:
+                return
 
     def _close(self, tag: str) -> None:
         if tag == "a":
-            self.open_links = 0
-        if tag not in BREAKS and tag not in SILENT:
-            return
-        self._flush()
+            self.in_link = False
+        if tag in BREAKS or tag in SILENT:
+            self._flush()
+            self.in_heading = False
         for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
+            found = self.elements[self.stack[k]].tag
+            if found == tag:
                 del self.stack[k:]
                 return
+            if found in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
+                return
 
-    def choice(self) -> str:
-        """The path of the best container, '' for a page without text."""
-        scores: Counter[str] = Counter()
-        for path, text, links in self.blocks:
-            worth = max(0, len(text) - 2 * links)
-            scores[path] += 2 * worth
-            scores[path.rpartition(">")[0]] += worth
-        if not scores:
+    def _sift(self) -> None:
+        """Leave out the blocks that aren't article: of elements that never are, and of those named so that don't hold the page's text."""
+        chars, links, marked = Counter(), Counter(), Counter()
+        for at, text, linked, heading in self.raw:
+            chain = list(self._chain(at))
+            if any(self.elements[k].kind in (COMMENT, NEVER) for k in chain):
+                continue
+            marks = sum(self.elements[k].tag in ("article", "main") for k in chain) + heading
+            for k in (-1, *chain):
+                chars[k] += len(text)
+                links[k] += linked
+                marked[k] += marks
+
+        def holds_article(k: int, kind: int) -> bool:
+            if 2 * links[k] >= chars[k] or chars[k] < FIELD_CHARS * self.fields[k]:
+                return False
+            if marked[k]:
+                return 2 * chars[k] > chars[-1]
+            return kind != ADVERT and chars[k] >= LIFTED_CHARS and chars[k] > (ALONE if marked[-1] else 0.5) * chars[-1]
+
+        silent: list[bool] = []
+        for k, e in enumerate(self.elements):
+            out = e.kind in (COMMENT, NEVER) or (e.kind != PLAIN and not holds_article(k, e.kind))
+            silent.append(out or (e.parent >= 0 and silent[e.parent]))
+        self.blocks = [(self.elements[at].path if at >= 0 else "", text, linked, heading) for at, text, linked, heading in self.raw if at < 0 or not silent[at]]
+
+    def _chain(self, at: int) -> Iterator[int]:
+        while at >= 0:
+            yield at
+            at = self.elements[at].parent
+
+    def worths(self) -> Counter[str]:
+        """Characters of the text in the containers with a path, those in links counted against it; '' is the page."""
+        out: Counter[str] = Counter()
+        for path, text, links, _ in self.blocks:
+            worth = max(1, len(text) - 2 * links)
+            out[""] += worth
+            steps = path.split(">") if path else []
+            for n in range(1, len(steps) + 1):
+                out[">".join(steps[:n])] += worth
+        return out
+
+    def choice(self, worth: Counter[str] | None = None) -> str:
+        """The path of the article's container, '' for the page as a whole."""
+        worth = self.worths() if worth is None else worth
+        if not worth:
             return ""
-        best = max(scores.items(), key=lambda x: (x[1], x[0]))[0]
-        steps = best.split(">")
-        for k, step in enumerate(steps):
-            if step.split(".")[0] in ("article", "main"):
-                return ">".join(steps[: k + 1])
+        tag = lambda p: p.rpartition(">")[2].split(".")[0]
+        top = ""
+        for name in ("article", "main"):
+            some = [p for p in worth if tag(p) == name and worth[p] >= SEMANTIC * worth[""]]
+            if some:
+                top = max(some, key=lambda p: (worth[p], -len(p), p))
+                if name == "article":
+                    return top
+                break
+        best, least = top, ENTERED * worth[top]
+        while inner := [p for p in worth if p and p != best and p.rpartition(">")[0] == best and worth[p] >= least]:
+            best = max(inner, key=lambda p: (worth[p], p))
+        heading = next((p for p, _, _, h in self.blocks if h), None)
+        if heading is not None:
+            wider = best
+            while wider != top and not (heading == wider or heading.startswith(wider + ">")):
+                wider = wider.rpartition(">")[0]
+            if worth[best] >= WITH_HEADING * worth[wider]:
+                best = wider
         return best
 
     def text(self, path: str) -> str:
         """The blocks of the containers with this path, and of those inside them."""
         inner = path + ">"
-        return "\n".join(t for p, t, _ in self.blocks if not path or p == path or p.startswith(inner))
+        return "\n".join(t for p, t, _, _ in self.blocks if not path or p == path or p.startswith(inner))
+
+
+def named(token: str, words: frozenset) -> int:
+    """What a class or id says of its element: PLAIN, NAMED, ADVERT or COMMENT."""
+    if token.lower() in WHOLE and words is not ADVERTS:
+        return NAMED
+    parts = [w.lower() for w in _WORD.findall(token)]
+    for k, part in enumerate(parts):
+        if part in words:
+            if part in COMMENTS:
+                return COMMENT if not BEFORE & set(parts[:k]) else PLAIN
+            if BEFORE & set(parts[:k]) or (parts[-1] in AT_END and k < len(parts) - 1) or (part == "header" and OF_ARTICLE & set(parts[:k])):
+                return PLAIN
+            return ADVERT if part in ADVERTS else NAMED
+    return PLAIN
 
 
 def host(url: Column) -> Column:
@@ -171,41 +311,52 @@ def host(url: Column) -> Column:
 
 
 def votes(pages: DataFrame) -> DataFrame:
-    """``host, path, n``: how many pages of a host chose a path, from ``host, html``."""
+    """``host, path, n, seen``: how many pages of a host chose a path, and how many have it, from ``host, html``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
-            count: Counter[tuple[str, str]] = Counter()
+            chosen: Counter[tuple[str, str]] = Counter()
+            seen: Counter[tuple[str, str]] = Counter()
             for name, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if chosen := Page(source).choice():
-                    count[name, chosen] += 1
-            rows = list(count.items())
-            yield pa.RecordBatch.from_arrays([pa.array([h for (h, _), _ in rows], pa.string()), pa.array([p for (_, p), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["host", "path", "n"])
+                page = Page(source)
+                worth = page.worths()
+                seen.update((name, p) for p in worth)
+                if worth:
+                    chosen[name, page.choice(worth)] += 1
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in keys], pa.string()), pa.array([p for _, p in keys], pa.string()), pa.array([chosen[k] for k in keys], pa.int64()), pa.array([seen[k] for k in keys], pa.int64())], names=["host", "path", "n", "seen"])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, path string, n long, seen long").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
+
 
-    return pages.select("host", "html").mapInArrow(run, "host string, path string, n long").groupBy("host", "path").agg(F.sum("n").alias("n"))
+def winners(pages: DataFrame) -> DataFrame:
+    """``host, paths``: a host's winning paths, those first that most of the pages which have them chose."""
+    counted = materialise(votes(pages).filter("n > 0"))
+    all_votes = counted.groupBy("host").agg(F.sum("n").alias("all_n"))
+    won = counted.join(all_votes, "host").filter((F.col("n") > 1) & (F.col("n") >= LEAST_SHARE * F.col("all_n")))
+    order = F.struct((-F.col("n") / F.col("seen")).alias("share"), (-F.col("n")).alias("n"), "path")
+    # A share of LEAST_SHARE bounds a host's paths by its inverse.
+    return won.groupBy("host").agg(F.array_sort(F.collect_list(order)).alias("paths")).select("host", F.transform("paths", lambda p: p["path"]).alias("paths"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """The pages' columns and ``text``. Hosts' winners are written first, so Spark knows their size when it joins them."""
-    names = pages.columns
-    named = pages.select("*", F.coalesce(host(F.col("url")), F.lit("")).alias("host"))
-    named = named.withColumn("html", F.coalesce("html", F.lit("")))
-    order = Window.partitionBy("host").orderBy(F.desc("n"), "path")
-    winners = votes(named).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PATHS_OF_HOST)
-    paths = materialise(winners.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("r", "path"))).alias("paths")).select("host", F.transform("paths", lambda p: p["path"]).alias("paths")))
+    own = [f for f in pages.schema.fields if f.name not in ("html", "host", "text", "paths")]
+    named_pages = pages.select(*[f.name for f in own], F.coalesce(host(F.col("url")), F.lit("")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
+    paths = materialise(winners(named_pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "html"):
             texts = []
             for source, some in zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist(), strict=True):
                 page = Page(source)
-                text = next((t for t in map(page.text, some or ()) if t), None)
-                texts.append(page.text(page.choice()) if text is None else text)
+                worth = page.worths()
+                path = next((p for p in some or () if p in worth), None)
+                texts.append(page.text(page.choice(worth) if path is None else path))
             columns = [batch.column(n) for n in batch.schema.names if n not in ("html", "paths")]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string())], names=[*(n for n in batch.schema.names if n not in ("html", "paths")), "text"])
 
-    own = [f for f in pages.schema.fields if f.name not in ("html", "host", "text", "paths")]
-    joined = named.join(paths, "host", "left").select(*[f.name for f in own], "html", "paths")
+    joined = named_pages.join(paths, "host", "left").select(*[f.name for f in own], "html", "paths")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", text string"
     return joined.mapInArrow(run, schema)
 

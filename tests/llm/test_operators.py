@@ -266,8 +266,90 @@ def test_top_k_edges(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 3, 131072), (2, 1, 65536), (3, 2, 65536), (4, 8, -65536)]
 
 
+def html_rows(spark, rows, columns="page_id long, url string, html string"):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, columns)).collect()}
+
+
 def test_html(spark):
     page = '<html><body><header>x</header><nav>m</nav><article class="post-12"><h1>T &amp; U</h1><p>One<br>two\n three<p>Four &lt;b&gt;<div class="comments"><p>c</p></div></article><footer>f</footer>'
-    rows = [(1, "http://a.example/1", page), (2, None, None), (3, "http://a.example/2", ""), (4, "HTTP://A.example/3", page)]
-    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    got = html_rows(spark, [(1, "http://a.example/1", page), (2, None, None), (3, "http://a.example/2", ""), (4, "HTTP://A.example/3", page), (4, "HTTP://A.example/3", page)])
     assert got == {1: "T & U\nOne\ntwo three\nFour <b>", 2: "", 3: "", 4: "T & U\nOne\ntwo three\nFour <b>"}
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    clash = spark.createDataFrame([(1, "u", "<p>a", "h", "t", ["p"], 5)], "page_id long, url string, html string, host string, text string, paths array<string>, n long")
+    assert [(r.page_id, r.text, r.n) for r in html_text.extract(clash).collect()] == [(1, "a", 5)]
+
+
+LONG = " ".join(f"word{k}" for k in range(60))
+ARTICLES = {
+    f'<div class="content has-sidebar"><h1>T</h1><p>{LONG}</p></div><div class="sidebar">x y</div>': f"T\n{LONG}",
+    f'<div id="page-with-header"><h1>T</h1><p>{LONG}</p></div>': f"T\n{LONG}",
+    f'<form action="x"><input type="hidden"><h1>T</h1><p>{LONG}</p></form>': f"T\n{LONG}",
+    '<article><p class="ad">Buy<p>First para<p>Second</article>': "First para\nSecond",
+    '<article><ul><li class="share">Share<li>Item</ul><p>Text</article>': "Item\nText",
+    f'<div class="post"><div class="post-header"><h1>T</h1></div><div class="body"><p>{LONG}</div></div><div class="comments">{"<p>said so" * 90}</div>': f"T\n{LONG}",
+    '<article><h1>T</h1><p>a <span class="ad">buy</span> b</p><article class="comment">hi</article></article>': "T\na b",
+    '<div class="ad">An advert that is longer than the text</div><article><p>Short</article>': "Short",
+    f'<form><label>Name</label><input><input><input></form><div class="main-text">{LONG}</div>': LONG,
+    f'<article><p>{LONG}<form><p>Write to us<input></form><p>End</article>': f"{LONG}\nEnd",
+    "<article><table><tr><td>a<td>b<tr><td class=sidebar>c<td>d</table></article>": "a\nb\nd",
+    f"<article>{'<p>x' * 30_000}</article>": "\n".join(["x"] * 30_000),
+    f'<article><p hidden>secret<p>{LONG}': LONG,
+}
+
+
+@pytest.mark.parametrize("source", ARTICLES, ids=range(len(ARTICLES)))
+def test_html_articles(source):
+    page = html_text.Page(f"<html><body><nav>menu</nav>{source}<footer>f</footer></body></html>")
+    assert page.text(page.choice()) == ARTICLES[source]
+
+
+def test_html_hosts_with_several_templates(spark):
+    """Pages without an article element; a page of little text follows its host, each template its own path."""
+    side = "<div class='box'>" + "filler " * 40 + "</div>"
+    a = lambda t: f"<body><div class='wrap'><div class='story'><p>{t}</div>{side}</div>"
+    b = lambda t: f"<body><div class='wrap'><div class='col'><div class='text'><p>{t}</div></div>{side}</div>"
+    c = lambda t: f"<body><div class='page c{len(t)}'><p>{t}</div>"
+    big = " ".join(["lorem"] * 300)
+    texts = {k: f"{big} {k}" for k in range(60)} | {100: "tiny", 101: "small"}
+    pages = [(k, "http://h.example/x", (a, b, c)[k % 3](t)) for k, t in texts.items() if k < 100] + [(100, "http://h.example/y", a("tiny")), (101, "http://h.example/z", b("small"))]
+    assert html_rows(spark, pages) == texts
+
+
+def test_html_of_all_pages_is_their_article():
+    """Against a plain reader of the given template: the blocks in the article element."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.skip, self.blocks, self.parts = 0, [], [], []
+
+        def flush(self):
+            text = " ".join("".join(self.parts).split())
+            self.blocks += [text] if text else []
+            self.parts = []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.BREAKS:
+                self.flush()
+            self.inside += tag == "article"
+            if self.skip or tag in ("script", "style", "form", "aside", "nav") or (tag == "div" and dict(attrs).get("class")):
+                self.skip += [tag] if tag not in html_text.VOID else []
+
+        def handle_endtag(self, tag):
+            if tag in html_text.BREAKS:
+                self.flush()
+            if self.skip and tag == self.skip[-1]:
+                self.skip.pop()
+            self.inside -= tag == "article"
+
+        def handle_data(self, data):
+            if self.inside and not self.skip:
+                self.parts.append(data)
+
+    for source in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html:
+        reader = Reader()
+        reader.feed(source)
+        reader.flush()
+        page = html_text.Page(source)
+        assert page.text(page.choice()) == "\n".join(reader.blocks)
