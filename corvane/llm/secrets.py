@@ -1,20 +1,25 @@
 """Secret scans (operator 1), in DataFrame functions only: fixed patterns, then character Markov models.
 
 The patterns give spans by kind (assign, access, hex), leftmost and non-overlapping in each. Candidates of the models are
-runs of token characters of ``MIN_RUN`` or more that touch no pattern span. Two first-order Markov chains over folded
-characters are trained from labelled samples in the same corpus: random strings are the values the patterns found, ordinary
-identifiers are candidate runs made of letters, with separators, alone. A candidate is a secret if its log-likelihood ratio
-reaches ``MIN_TOTAL`` and ``MIN_MEAN`` a transition; in whole thousandths of a nat, so that sums don't depend on their order.
+runs of ``MIN_RUN`` or more token characters, a letter among them, that touch no pattern span. Two first-order Markov chains
+over characters, upper and lower case apart, are trained from labelled samples. Random: ``RANDOM_STRINGS`` digests of numbers
+written in each of several alphabets, as keys and tokens are, and the values that the patterns found in the corpus. Ordinary:
+words and identifiers of letters in at most ``ORDINARY_DOCUMENTS`` documents, those with the least hash of their text, as they
+stand and joined to identifiers. A candidate is a secret if its log-likelihood ratio reaches ``MIN_TOTAL`` and ``MIN_MEAN`` a
+transition; in whole thousandths of a nat, so that sums don't depend on their order.
 
 Places are code points, ends exclusive. They come from the pieces between matches: the pattern splits the text, and a match
-begins where the pieces and matches before it end.
+begins where the pieces and matches before it end. Running sums go by blocks, so that a text of many spans stays cheap.
 
-Cases: a null text is empty and has no spans; texts without either sample leave the models alike, so they add nothing;
-repeated rows are scanned one by one; an empty table gives no rows; columns of other names are ignored.
+Cases: a null text is empty and has no spans; a corpus without words leaves the ordinary chain even; very long texts are one
+row, and each span of one is found; repeated rows are scanned one by one; an empty table gives no rows; columns of other names
+are kept or ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,77 +32,120 @@ HEX = r"[0-9a-f]+"
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 8, 16, 32
 KINDS = ("assign", "access", "hex", "random")
 
-MIN_RUN = 20
+MIN_RUN = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
-ORDINARY = r"^[A-Za-z]+([_-][A-Za-z]+)*$"
-#: Characters of the chains after folding; any other is the last state.
-ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+ORDINARY = r"[A-Za-z]{4,}(?:[_-][A-Za-z]+)*"
+#: Bounds of the labelled samples.
+RANDOM_STRINGS, ORDINARY_DOCUMENTS = 2_000, 5_000
+#: States of the chains; any other character is the last state.
+ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
-MIN_TOTAL, MIN_MEAN = 10_000, 500
+MIN_TOTAL, MIN_MEAN = 12_000, 700
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array of ints under an associative ``merge`` (a sum, a maximum): blocks of the root of its size."""
+    n = F.size(values)
+    step = F.ceil(F.sqrt(n)).cast("int")
+
+    def scan(block: Column) -> Column:
+        first = F.slice(block, 1, 1)
+        return F.aggregate(F.slice(block, 2, n), first, lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+
+    blocks = F.transform(F.sequence(F.lit(1), n, step), lambda s: scan(F.slice(values, s, step)))
+    ends = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
+    # Each block goes on from the end of the one before it.
+    moved = F.zip_with(blocks, F.concat(F.array(F.lit(None).cast("int")), ends), lambda b, before: F.when(before.isNull(), b).otherwise(F.transform(b, lambda x: merge(before, x))))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.filter(moved, lambda b: b.isNotNull())))
+
+
 def matches(text: Column, pattern: str, least: int, rank: int, group: int = 0) -> Column:
     """Spans of a pattern's matches whose group has ``least`` characters or more, as structs (start, rank, end, value)."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    sizes = F.zip_with(F.split(text, pattern, -1), found, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+    ends = running(steps, lambda a, b: a + b)
+    sized = F.zip_with(found, values, lambda m, v: F.struct(F.length(m).alias("size"), v.alias("value")))
+    spans = F.zip_with(ends, sized, lambda end, x: F.struct((end - x["size"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value")))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
+    return F.when(text.rlike(pattern), F.filter(spans, lambda x: F.length(x["value"]) >= least)).otherwise(none)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.coalesce(x["size"], F.lit(0))
-        return F.struct(end.alias("at"), F.when(x["size"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct(start.alias("start"), end.alias("end"))))).alias("spans"))
 
-    spans = F.aggregate(sizes, zero, step, lambda acc: acc["spans"])
-    whole = F.zip_with(spans, values, lambda s, v: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), v.alias("value")))
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), F.filter(whole, lambda x: F.length(x["value"]) >= least)).otherwise(none)
+def apart(runs: Column, base: Column) -> Column:
+    """The runs that overlap no base span; both ascend by their start, and runs don't overlap each other."""
+    far = 2**31 - 1
+    every = F.sort_array(F.concat(runs, base))
+    inner = lambda order, of: F.transform(order, lambda s: F.when(s["rank"] == 3, -far).otherwise(of(s)))
+    most = lambda a, b: F.greatest(a, b)
+    # The farthest end of base spans that begin no later than a run, and the least start of those that begin after it.
+    upto = running(inner(every, lambda s: s["end"]), most)
+    after = F.reverse(running(inner(F.reverse(every), lambda s: -s["start"]), most))
+    told = F.zip_with(every, F.arrays_zip(upto.alias("upto"), after.alias("after")), lambda s, x: F.struct(s.alias("s"), ((x["upto"] <= s["start"]) & (-x["after"] >= s["end"])).alias("free")))
+    kept = F.transform(F.filter(told, lambda x: (x["s"]["rank"] == 3) & x["free"]), lambda x: x["s"])
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(kept)
 
 
 def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
-    """Beside the columns kept: ``base``, the patterns' spans in order, and ``candidates``, runs that touch none of them."""
+    """Beside the columns kept: ``_base``, the patterns' spans in order, and ``_runs``, runs that touch none of them."""
     text = F.col("_text")
     parts = [
         matches(text, ASSIGN, MIN_VALUE, 0, 2),
         matches(text, ACCESS, MIN_ACCESS, 1),
         matches(text, HEX.replace("+", f"{{{MIN_HEX},}}"), MIN_HEX, 2),  # the same runs: a match takes the whole of one
     ]
-    step = docs.select(*keep, text_of().alias("_text")).select(*keep, F.sort_array(F.concat(*parts)).alias("base"), matches(text, CANDIDATE, MIN_RUN, 3).alias("runs"))
-    apart = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    return step.select(*keep, "base", apart.alias("candidates"))
+    runs = F.filter(matches(text, CANDIDATE, MIN_RUN, 3), lambda r: r["value"].rlike("[A-Za-z]"))
+    step = docs.select(*keep, text_of().alias("_text")).select(*keep, F.sort_array(F.concat(*parts)).alias("_base"), runs.alias("_runs"))
+    return step.select(*keep, "_base", apart(F.col("_runs"), F.col("_base")).alias("_runs"))
 
 
 def transitions(value: Column) -> Column:
-    """Numbers of the transitions between neighbouring characters, case folded."""
-    states = F.transform(F.split(F.lower(value), ""), lambda c: F.when(c == "", STATES - 1).otherwise(F.pmod(F.instr(F.lit(ALPHABET), c) - 1, F.lit(STATES))))
+    """Numbers of the transitions between neighbouring characters."""
+    states = F.transform(F.split(value, ""), lambda c: F.when(c == "", STATES - 1).otherwise(F.pmod(F.instr(F.lit(ALPHABET), c) - 1, F.lit(STATES))))
     pairs = F.zip_with(states, F.slice(states, 2, F.size(states)), lambda a, b: a * STATES + b)
     return F.filter(pairs, lambda x: x.isNotNull())
 
 
-def weight_table(spans: DataFrame) -> DataFrame:
-    """One row: for each transition, ln p_random - ln p_ordinary in thousandths, from all the corpus's labelled samples."""
-    random = spans.select(F.explode("base").alias("s")).select(F.col("s.value").alias("value"), F.lit(1).alias("random"))
-    ordinary = spans.select(F.explode("candidates").alias("s")).select(F.col("s.value").alias("value"), F.lit(0).alias("random"))
-    samples = random.union(ordinary.filter(F.col("value").rlike(ORDINARY)))
+def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
+    """``value``: digests of numbers, written as keys and tokens are: hexadecimal, base 64 and its forms, letters and digits."""
+    digest = F.unhex(F.sha2(F.col("id").cast("string"), 256))
+    base = F.base64(digest)
+    plain = F.regexp_replace(base, "[+/=]", "")
+    forms = [F.substring(F.lower(F.hex(digest)), 1, 40), base, F.translate(base, "+/", "-_"), plain, F.lower(plain), F.upper(plain)]
+    return spark.range(n).select(F.explode(F.array(*forms)).alias("value"))
+
+
+def ordinary_strings(docs: DataFrame, n: int = ORDINARY_DOCUMENTS) -> DataFrame:
+    """``value``: words and identifiers of n documents, each also as two words joined by capitals and by a low line."""
+    some = docs.select(text_of().alias("t")).orderBy(F.xxhash64("t"), "t").limit(n)
+    words = F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))
+    joined = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(b.isNotNull(), F.array(F.concat(F.lower(a), F.initcap(b)), F.concat_ws("_", a, b))))
+    listed = some.select(words.alias("w")).select(F.explode(F.concat("w", F.flatten(F.filter(joined, lambda x: x.isNotNull())))).alias("value"))
+    return listed.groupBy("value").agg(F.lit(1).alias("one")).select("value")
+
+
+def weight_table(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row: for each transition, ln p_random - ln p_ordinary in thousandths, from the labelled samples."""
+    hits = found.select(F.explode("_base").alias("s")).select("s.value").union(random_strings(found.sparkSession))
+    samples = hits.withColumn("random", F.lit(1)).union(ordinary_strings(docs).withColumn("random", F.lit(0)))
     steps = samples.select("random", F.explode(transitions(F.col("value"))).alias("step"))
     counts = steps.groupBy("step").agg(F.sum("random").alias("r"), F.sum(1 - F.col("random")).alias("o"))
-    cells = spans.sparkSession.range(STATES * STATES).select(F.col("id").cast("int").alias("step"))
+    cells = found.sparkSession.range(STATES * STATES).select(F.col("id").cast("int").alias("step"))
     full = cells.join(counts, "step", "left").select("step", F.floor(F.col("step") / STATES).cast("int").alias("state"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
     states = full.groupBy("state").agg(F.sum("r").alias("all_r"), F.sum("o").alias("all_o"))
-    seen = full.join(states, "state").agg(F.collect_list(F.struct("step", "r", "o", "all_r", "all_o")).alias("all"), F.sum("r").alias("n_r"), F.sum("o").alias("n_o"))
+    seen = full.join(states, "state").agg(F.collect_list(F.struct("step", "r", "o", "all_r", "all_o")).alias("all"))
     ratio = lambda c: F.log((c["r"] + 1) / (c["all_r"] + STATES)) - F.log((c["o"] + 1) / (c["all_o"] + STATES))
-    weight = lambda c: F.when((F.col("n_r") == 0) | (F.col("n_o") == 0), 0).otherwise(F.round(1000 * ratio(c))).cast("int")
-    return seen.select(F.transform(F.array_sort("all"), weight).alias("weights"))
+    return seen.select(F.transform(F.array_sort("all"), lambda c: F.round(1000 * ratio(c)).cast("int")).alias("weights"))
 
 
 def find_secrets(docs: DataFrame, *keep: str) -> DataFrame:
-    """Beside the columns kept: ``spans``, an array of structs (start, rank, end) in order; ranks number ``KINDS``.
+    """Beside the columns kept: ``_spans``, an array of structs (start, rank, end) in order; ranks number ``KINDS``.
 
-    The models need the whole corpus's samples first, so spans and candidates are written once, and weighed from there.
+    The models need the whole corpus's samples first, so spans and candidates are written once, and weighed from there. The
+    weights are as many numbers as there are pairs of states.
     """
     found = materialise(base_spans(docs, *keep))
-    numbers = weight_table(found).first()[0]
+    numbers = weight_table(found, docs).first()[0]
     weights = F.split(F.lit(",".join(map(str, numbers))), ",", -1).cast("array<int>")
 
     def secret(r: Column) -> Column:
@@ -105,8 +153,8 @@ def find_secrets(docs: DataFrame, *keep: str) -> DataFrame:
         total = F.aggregate(steps, F.lit(0), lambda acc, x: acc + F.get(weights, x))
         return (total >= MIN_TOTAL) & (total >= MIN_MEAN * F.size(steps))
 
-    spans = F.sort_array(F.concat("base", F.filter("candidates", secret)))
-    return found.select(*keep, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))).alias("spans"))
+    spans = F.sort_array(F.concat("_base", F.filter("_runs", secret)))
+    return found.select(*keep, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"))).alias("_spans"))
 
 
 def listed(spans: Column) -> Column:
@@ -115,28 +163,49 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", kind(s), s["start"], s["end"])), ",")
 
 
+def base_digest(docs: DataFrame) -> DataFrame:
+    """The patterns' part of the result: numbers of spans by kind, and the hash of their list."""
+    of = lambda rank: F.size(F.filter("_spans", lambda s: s["rank"] == rank)).cast("long")
+    return docs.select("*", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(listed(F.filter("_spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"))
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_secrets(table(spark, sf_dir, "documents"), "doc_id")
-    of = lambda rank: F.size(F.filter("spans", lambda s: s["rank"] == rank)).cast("long")
-    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(listed(F.filter("spans", lambda s: s["rank"] < 3)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    found = base_digest(find_secrets(table(spark, sf_dir, "documents"), "doc_id"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", listed(F.col("_spans")).alias("spans"))
 
 
 #: What stands in a text for a secret.
 MASK = "[secret]"
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each stretch of overlapping spans replaced by ``MASK``.
+
+    A text is cut into sections at every so many spans first, so that no piece is looked for from the text's beginning.
+    """
+    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+    step = F.ceil(F.sqrt(F.size(spans))).cast("int")
+    cuts = F.zip_with(spans, F.arrays_zip(before.alias("before"), ends.alias("end")), lambda s, x: F.struct(x["before"].alias("before"), s["start"].alias("start"), x["end"].alias("end")))
+
+    def section(k: Column) -> Column:
+        some = F.slice(cuts, k, step)
+        begin, end = F.element_at(some, 1)["before"], F.element_at(some, -1)["end"]
+        part = F.array(F.substring(text, begin + 1, end - begin))
+        # The section is an element of an array, so that it is cut out once.
+        return F.element_at(F.transform(part, lambda t: F.array_join(F.transform(some, lambda c: F.when(c["start"] >= c["before"], F.concat(F.substring(t, c["before"] - begin + 1, c["start"] - c["before"]), F.lit(MASK))).otherwise("")), "")), 1)
+
+    sections = F.transform(F.sequence(F.lit(1), F.size(spans), step), section)
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(sections, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text))))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with each stretch of overlapping spans replaced by ``MASK``, and their number of characters."""
-    names = docs.columns
-    text = F.col("text")
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    masked = F.aggregate("spans", state, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = find_secrets(docs, *names).withColumn("_text", F.when(F.size("spans") == 0, text).otherwise(masked))
-    put = {"text": F.col("_text"), "n_chars": F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("_text").cast("long"))}
-    return rows.select(*[put[c].alias(c) if c in put else F.col(c) for c in names])
+    """The documents with each stretch of overlapping spans replaced by ``MASK``, and their number of characters.
+
+    A row's own columns travel in one struct, so none of their names can clash.
+    """
+    rows = find_secrets(docs.select(F.struct("*").alias("_row"), "text"), "_row")
+    own = lambda c: F.col("_row").getField(c)
+    rows = rows.withColumn("_masked", masked(own("text"), F.col("_spans")))
+    put = {"text": F.col("_masked"), "n_chars": F.when(F.size("_spans") == 0, own("n_chars") if "n_chars" in docs.columns else None).otherwise(F.length("_masked").cast("long"))}
+    return rows.select(*[(put[c] if c in put else own(c)).alias(c) for c in docs.columns])
