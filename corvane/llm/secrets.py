@@ -5,7 +5,7 @@ runs of ``MIN_RUN`` or more token characters, a letter among them, that touch no
 over characters, upper and lower case apart, are trained from labelled samples. Random: ``RANDOM_STRINGS`` digests of numbers
 written in each of several alphabets, as keys and tokens are, and the values that the patterns found in the corpus. Ordinary:
 words and identifiers of letters in at most ``ORDINARY_DOCUMENTS`` documents, those with the least hash of their text, as they
-stand and joined to identifiers. A candidate is a secret if its log-likelihood ratio reaches ``MIN_TOTAL`` and ``MIN_MEAN`` a
+stand, joined to identifiers and in capitals. A candidate is a secret if its log-likelihood ratio reaches ``MIN_TOTAL`` and ``MIN_MEAN`` a
 transition; in whole thousandths of a nat, so that sums don't depend on their order.
 
 Places are code points, ends exclusive. They come from the pieces between matches: the pattern splits the text, and a match
@@ -36,7 +36,7 @@ MIN_RUN = 16
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
 ORDINARY = r"[A-Za-z]{4,}(?:[_-][A-Za-z]+)*"
 #: Bounds of the labelled samples.
-RANDOM_STRINGS, ORDINARY_DOCUMENTS = 2_000, 5_000
+RANDOM_STRINGS, ORDINARY_DOCUMENTS = 1_000, 500
 #: States of the chains; any other character is the last state.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
@@ -44,46 +44,59 @@ MIN_TOTAL, MIN_MEAN = 12_000, 700
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
     """Running totals of an array of ints under an associative ``merge`` (a sum, a maximum): blocks of the root of its size."""
-    n = F.size(values)
-    step = F.ceil(F.sqrt(n)).cast("int")
 
     def scan(block: Column) -> Column:
-        first = F.slice(block, 1, 1)
-        return F.aggregate(F.slice(block, 2, n), first, lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+        return F.aggregate(F.slice(block, 2, F.size(block)), F.slice(block, 1, 1), lambda acc, x: F.concat(acc, F.array(merge(F.element_at(acc, -1), x))))
+
+    def in_blocks(all_values: Column) -> Column:
+        step = F.ceil(F.sqrt(F.size(all_values))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(all_values), step), lambda s: scan(F.slice(all_values, s, step)))
+
+        def joined(done: Column) -> Column:
+            # Each block goes on from the end of those before it.
+            ends = scan(F.transform(done, lambda b: F.element_at(b, -1)))
+            pairs = F.arrays_zip(done.alias("own"), F.concat(F.array(F.lit(None).cast("int")), F.slice(ends, 1, F.size(ends) - 1)).alias("before"))
+            return F.flatten(F.transform(pairs, lambda p: F.when(p["before"].isNull(), p["own"]).otherwise(F.transform(p["own"], lambda x: merge(p["before"], x)))))
 
-    blocks = F.transform(F.sequence(F.lit(1), n, step), lambda s: scan(F.slice(values, s, step)))
-    ends = scan(F.transform(blocks, lambda b: F.element_at(b, -1)))
-    # Each block goes on from the end of the one before it.
-    moved = F.zip_with(blocks, F.concat(F.array(F.lit(None).cast("int")), ends), lambda b, before: F.when(before.isNull(), b).otherwise(F.transform(b, lambda x: merge(before, x))))
-    return F.when(n == 0, F.array().cast("array<int>")).otherwise(F.flatten(F.filter(moved, lambda b: b.isNotNull())))
+        return F.when(F.size(all_values) == 0, F.array().cast("array<int>")).otherwise(let(blocks, joined))
+
+    return let(values, in_blocks)
 
 
 def matches(text: Column, pattern: str, least: int, rank: int, group: int = 0) -> Column:
     """Spans of a pattern's matches whose group has ``least`` characters or more, as structs (start, rank, end, value)."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
-    ends = running(steps, lambda a, b: a + b)
-    sized = F.zip_with(found, values, lambda m, v: F.struct(F.length(m).alias("size"), v.alias("value")))
-    spans = F.zip_with(ends, sized, lambda end, x: F.struct((end - x["size"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value")))
+
+    def spans(found: Column) -> Column:
+        values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        steps = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(found)), found, lambda gap, m: F.length(gap) + F.length(m))
+        sized = F.zip_with(found, values, lambda m, v: F.struct(F.length(m).alias("size"), v.alias("value")))
+        return F.zip_with(running(steps, lambda a, b: a + b), sized, lambda end, x: F.struct((end - x["size"]).alias("start"), F.lit(rank).alias("rank"), end.alias("end"), x["value"].alias("value")))
+
     none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), F.filter(spans, lambda x: F.length(x["value"]) >= least)).otherwise(none)
+    return F.when(text.rlike(pattern), F.filter(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans), lambda x: F.length(x["value"]) >= least)).otherwise(none)
 
 
 def apart(runs: Column, base: Column) -> Column:
     """The runs that overlap no base span; both ascend by their start, and runs don't overlap each other."""
     far = 2**31 - 1
-    every = F.sort_array(F.concat(runs, base))
     inner = lambda order, of: F.transform(order, lambda s: F.when(s["rank"] == 3, -far).otherwise(of(s)))
     most = lambda a, b: F.greatest(a, b)
-    # The farthest end of base spans that begin no later than a run, and the least start of those that begin after it.
-    upto = running(inner(every, lambda s: s["end"]), most)
-    after = F.reverse(running(inner(F.reverse(every), lambda s: -s["start"]), most))
-    told = F.zip_with(every, F.arrays_zip(upto.alias("upto"), after.alias("after")), lambda s, x: F.struct(s.alias("s"), ((x["upto"] <= s["start"]) & (-x["after"] >= s["end"])).alias("free")))
-    kept = F.transform(F.filter(told, lambda x: (x["s"]["rank"] == 3) & x["free"]), lambda x: x["s"])
-    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(kept)
+
+    def free(every: Column) -> Column:
+        # The farthest end of base spans that begin no later than a run, and the least start of those that begin after it.
+        upto = running(inner(every, lambda s: s["end"]), most)
+        after = F.reverse(running(inner(F.reverse(every), lambda s: -s["start"]), most))
+        told = F.zip_with(every, F.arrays_zip(upto.alias("upto"), after.alias("after")), lambda s, x: F.struct(s.alias("s"), ((x["upto"] <= s["start"]) & (-x["after"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(told, lambda x: (x["s"]["rank"] == 3) & x["free"]), lambda x: x["s"])
+
+    return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(let(F.sort_array(F.concat(runs, base)), free))
 
 
 def base_spans(docs: DataFrame, *keep: str) -> DataFrame:
@@ -116,10 +129,10 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, n: int = ORDINARY_DOCUMENTS) -> DataFrame:
-    """``value``: words and identifiers of n documents, each also as two words joined by capitals and by a low line."""
+    """``value``: words and identifiers of n documents, each also as two words joined by a capital, by a low line, and in capitals."""
     some = docs.select(text_of().alias("t")).orderBy(F.xxhash64("t"), "t").limit(n)
     words = F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))
-    joined = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(b.isNotNull(), F.array(F.concat(F.lower(a), F.initcap(b)), F.concat_ws("_", a, b))))
+    joined = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(b.isNotNull(), F.array(F.concat(F.lower(a), F.initcap(b)), F.concat_ws("_", a, b), F.upper(F.concat(a, b)))))
     listed = some.select(words.alias("w")).select(F.explode(F.concat("w", F.flatten(F.filter(joined, lambda x: x.isNotNull())))).alias("value"))
     return listed.groupBy("value").agg(F.lit(1).alias("one")).select("value")
 
@@ -183,20 +196,21 @@ def masked(text: Column, spans: Column) -> Column:
 
     A text is cut into sections at every so many spans first, so that no piece is looked for from the text's beginning.
     """
-    ends = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
-    before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
-    step = F.ceil(F.sqrt(F.size(spans))).cast("int")
-    cuts = F.zip_with(spans, F.arrays_zip(before.alias("before"), ends.alias("end")), lambda s, x: F.struct(x["before"].alias("before"), s["start"].alias("start"), x["end"].alias("end")))
-
-    def section(k: Column) -> Column:
-        some = F.slice(cuts, k, step)
-        begin, end = F.element_at(some, 1)["before"], F.element_at(some, -1)["end"]
-        part = F.array(F.substring(text, begin + 1, end - begin))
-        # The section is an element of an array, so that it is cut out once.
-        return F.element_at(F.transform(part, lambda t: F.array_join(F.transform(some, lambda c: F.when(c["start"] >= c["before"], F.concat(F.substring(t, c["before"] - begin + 1, c["start"] - c["before"]), F.lit(MASK))).otherwise("")), "")), 1)
-
-    sections = F.transform(F.sequence(F.lit(1), F.size(spans), step), section)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(sections, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text))))
+
+    def cut(ends: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1))
+        step = F.ceil(F.sqrt(F.size(spans))).cast("int")
+        pieces = F.zip_with(spans, F.arrays_zip(before.alias("before"), ends.alias("end")), lambda s, x: F.struct(x["before"].alias("before"), s["start"].alias("start"), x["end"].alias("end")))
+
+        def section(some: Column) -> Column:
+            begin, end = F.element_at(some, 1)["before"], F.element_at(some, -1)["end"]
+            piece = lambda t, c: F.when(c["start"] >= c["before"], F.concat(F.substring(t, c["before"] - begin + 1, c["start"] - c["before"]), F.lit(MASK))).otherwise("")
+            return let(F.substring(text, begin + 1, end - begin), lambda t: F.array_join(F.transform(some, lambda c: piece(t, c)), ""))
+
+        sections = let(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), step), lambda k: let(F.slice(p, k, step), section)))
+        return F.concat(F.array_join(sections, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(let(running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), cut))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
