@@ -8,17 +8,22 @@ loses nothing); each is a small aggregation. Steps
 are taken on the logarithm of the tokens, and one that leaves its bracket
 is replaced by bisection; tokens at points inside the bracket, summed by the same pass, narrow it.
 
-Rates become whole copies by systematic rounding: over sizes in order, then over hash buckets in a size, a running sum of
-expected copies is cut at whole numbers, and inside a bucket the documents with the lowest hash take the one left over. So a
-source's tokens miss the target by about one of its largest documents, copies are 0 to MAX_RATE, and reruns agree. Buckets
-hold about ``BUCKET_ROWS`` rows, however many documents share a source and a size.
+Rates become whole copies by systematic rounding: over sizes in order, a running sum of expected copies is cut at whole
+numbers. Tokens then miss the target by up to a large document; what is missing or too much is made up by copies of the
+largest size that fits into it, then of smaller ones, so that in the end a source misses by less than the smallest of its
+documents that can still give or take a copy. A size's copies are dealt to hash buckets in the same way, through as many
+levels of at most ``FAN_OUT`` buckets as leave about ``BUCKET_ROWS`` rows in the last, however many documents share a source
+and a size; inside a bucket the documents with the lowest hash take what is left over. Copies are 0 to MAX_RATE, reruns agree.
 
 Cases: a null text has size 0 and is never taken; a null source is a source of its own, the last; repeated ids are mixed
-each for itself, ties in their hash by text; an empty table gives no rows; columns of other names are ignored.
+each for itself, ties in their hash by text; very long texts are counted whole; an empty table gives no rows; columns of other
+names are kept or ignored.
 """
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,7 +37,7 @@ MAX_RATE = 2.0
 ITERATIONS, PRECISION = 60, 1e-5
 #: Points at which each iteration also looks for the sign of the gap, to narrow the bracket around the solution.
 POINTS = 15
-BUCKET_ROWS = 128
+BUCKET_ROWS, FAN_OUT = 128, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -97,6 +102,25 @@ def tilts(sizes: DataFrame) -> DataFrame:
     return state.select("key", "tilt")
 
 
+def made_up(sizes: DataFrame) -> DataFrame:
+    """From ``key, size, n, target, size_copies``: ``key, size, more``, the copies by which sizes make up for rounding.
+
+    A source's sizes are folded from the largest down. A source has at most as many as its longest document has words, and the
+    fold keeps the few sizes that change.
+    """
+    top = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "size", F.col("size_copies").alias("has"), (MAX_RATE * F.col("n")).cast("long").alias("most"))))
+    gap = F.first("target") - F.sum(F.col("size") * F.col("size_copies"))
+    rows = sizes.filter("size > 0").groupBy("key").agg(gap.alias("gap"), top.alias("sizes"))
+    start = F.struct(F.col("gap"), F.array().cast("array<struct<size:bigint,more:bigint>>").alias("moved"))
+
+    def step(acc: Column, s: Column) -> Column:
+        whole = F.floor(F.abs(acc["gap"]) / s["size"])
+        more = F.when(acc["gap"] >= 0, F.least(whole, s["most"] - s["has"])).otherwise(-F.least(whole, s["has"]))
+        return F.when(more == 0, acc).otherwise(F.struct((acc["gap"] - more * s["size"]).alias("gap"), F.concat(acc["moved"], F.array(F.struct(s["size"].alias("size"), more.alias("more")))).alias("moved")))
+
+    return rows.select("key", F.explode(F.aggregate("sizes", start, step)["moved"]).alias("m")).select("key", "m.size", "m.more")
+
+
 def mix_sizes(sized: DataFrame) -> DataFrame:
     """From rows with ``doc_id, key, size, tie``: the same rows with ``source_size, target, copies``.
 
@@ -119,14 +143,25 @@ def mix_sizes(sized: DataFrame) -> DataFrame:
 
     by_size = cut(rated, F.col("rate") * F.col("n"), Window.partitionBy("key").orderBy("size"), "size_copies")
     by_size = materialise(by_size.select("key", "size", "n", "source_size", "target", "size_copies"))
-    buckets = max(1, sized.count() // BUCKET_ROWS)
-    drawn = sized.withColumn("draw", F.xxhash64("doc_id", F.lit("mix"))).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
-    in_bucket = drawn.groupBy("key", "size", "bucket").agg(F.count("*").alias("m")).join(by_size, ["key", "size"])
-    dealt = cut(in_bucket, F.col("size_copies") * F.col("m") / F.col("n"), Window.partitionBy("key", "size").orderBy("bucket"), "bucket_copies").drop("n", "size_copies")
-    rows = drawn.join(dealt, ["key", "size", "bucket"])
-    rank = F.row_number().over(Window.partitionBy("key", "size", "bucket").orderBy("draw", "doc_id", "tie"))
-    each = F.floor(F.col("bucket_copies") / F.col("m"))
-    copies = each + F.when(rank <= F.col("bucket_copies") - each * F.col("m"), 1).otherwise(0)
+    fixed = by_size.join(made_up(by_size), ["key", "size"], "left")
+    parts = materialise(fixed.select("key", "size", "source_size", "target", F.col("n").alias("rows"), (F.col("size_copies") + F.coalesce("more", F.lit(0))).alias("share")))
+    buckets, levels = max(1, sized.count() // BUCKET_ROWS), 1
+    while FAN_OUT**levels < buckets:
+        levels += 1
+    fan_out = ceil(buckets ** (1 / levels))
+    place = lambda k: F.pmod(F.shiftrightunsigned(F.xxhash64("draw", F.lit(k)), 1), F.lit(fan_out))
+    drawn = sized.withColumn("draw", F.xxhash64("doc_id", F.lit("mix"))).withColumns({f"bucket{k}": place(k) for k in range(levels)})
+    by = ["key", "size"]
+    for k in range(levels):
+        # Parts grow with the documents, so they are never broadcast.
+        counted = drawn.groupBy(*by, f"bucket{k}").agg(F.count("*").alias("m")).join(parts.hint("merge"), by)
+        dealt = cut(counted, F.col("share") * F.col("m") / F.col("rows"), Window.partitionBy(*by).orderBy(f"bucket{k}"), "part")
+        by = [*by, f"bucket{k}"]
+        parts = dealt.select(*by, "source_size", "target", F.col("m").alias("rows"), F.col("part").alias("share"))
+    rows = drawn.join(parts.hint("merge"), by)
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy("draw", "doc_id", "tie"))
+    each = F.floor(F.col("share") / F.col("rows"))
+    copies = each + F.when(rank <= F.col("share") - each * F.col("rows"), 1).otherwise(0)
     return rows.select(*sized.columns, "source_size", "target", copies.cast("long").alias("copies"))
 
 
@@ -137,13 +172,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as the mix takes it. Documents alike in all these columns share their copies."""
-    names, by = docs.columns, ["_key", "_doc", "_tie"]
-    keyed = docs.select("*", source_key().alias("_key"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_doc"), F.xxhash64("text", "doc_id").alias("_tie"))
-    sized = materialise(keyed.select("doc_id", F.col("_key").alias("key"), word_count(text_of()).alias("size"), F.col("_tie").alias("tie"), "_doc"))
+    """The documents, each as often as the mix takes it. Documents alike in all these columns share their copies.
+
+    A row's own columns travel in one struct, so none of their names can clash.
+    """
+    by = ["_key", "_doc", "_tie"]
+    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    keyed = docs.select(F.struct("*").alias("_row"), source_key().alias("_key"), doc.alias("_doc"), F.xxhash64("text", "doc_id").alias("_tie"))
+    sized = materialise(docs.select("doc_id", source_key().alias("key"), word_count(text_of()).alias("size"), F.xxhash64("text", "doc_id").alias("tie"), doc.alias("_doc")))
     mixed = mix_sizes(sized).groupBy(F.col("key").alias("_key"), "_doc", F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = keyed.join(mixed, by)
-    many = rows.filter("_rows > 1").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(c) for c in names])))
+    rows = keyed.join(mixed.hint("merge"), by)
+    many = rows.filter("_rows > 1").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_row")))
     each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_k") <= F.pmod("_copies", "_rows"), 1).otherwise(0)
-    shared = rows.filter("_rows = 1").select(*names, "_copies").unionByName(many.select(*names, each.alias("_copies")))
-    return shared.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*names)
+    shared = rows.filter("_rows = 1").select("_row", "_copies").unionByName(many.select("_row", each.alias("_copies")))
+    return shared.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

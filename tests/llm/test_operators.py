@@ -10,8 +10,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from corvane.llm import html_text, mixing, neardup, packing, quality, queries, secrets, substrings, token_counts, token_files, vectors
-from corvane.llm.base import scratch_dir
+from corvane.llm.base import materialise, scratch_dir
 from corvane.llm.tokens import encoder, vocabulary_path
 
 DATA = "/root/testdata/sf0.001"
@@ -146,14 +147,83 @@ def test_quality_counts(spark, docs, none):
     assert quality.judge(none, labels.limit(0), "doc_id").count() == 0
 
 
-def test_mixing(spark, docs, given):
+def targets_by_hand(sizes):
+    """Targets of sources with these total sizes, in order, by dealing out the excess again and again."""
+    weight, target, left, open_ = [3, 1, 2], {}, 1.5 * sum(sizes), set(range(len(sizes)))
+    while open_:
+        unit = left / sum(weight[k % 3] for k in open_)
+        over = {k for k in open_ if unit * weight[k % 3] > 2 * sizes[k]}
+        if not over:
+            return [target.get(k, unit * weight[k % 3]) for k in range(len(sizes))]
+        for k in over:
+            target[k] = 2.0 * sizes[k]
+            left -= target[k]
+        open_ -= over
+    return [target[k] for k in range(len(sizes))]
+
+
+@pytest.mark.parametrize("fan_out", [4096, 3])
+def test_mixing_meets_each_target(spark, given, monkeypatch, fan_out):
+    """Against targets recomputed, source by source: within the smallest documents, whatever the levels of buckets."""
+    monkeypatch.setattr(mixing, "FAN_OUT", fan_out)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 8)
     p = mixing.op4_mixing(spark, DATA).toPandas()
-    assert p["size"].tolist() and (p.taken <= 2 * p["size"]).all() and (p["size"].sort_values().tolist() == sorted(len(WORD.findall(t)) for t in given.text))
+    frame = given.assign(size=[len(WORD.findall(t or "")) for t in given.text]).merge(p[["doc_id", "taken", "target", "source_size"]], on="doc_id")
+    assert len(frame) == len(given) and (frame.taken <= 2 * frame["size"]).all() and (frame.taken % frame["size"].clip(lower=1) == 0).all()
+    sources = sorted(frame.source.dropna().unique(), key=lambda s: [ord(c) for c in s])
+    groups = [frame[frame.source == s] for s in sources] + ([frame[frame.source.isna()]] if frame.source.isna().any() else [])
+    for group, want in zip(groups, targets_by_hand([g["size"].sum() for g in groups]), strict=True):
+        assert group.target.iloc[0] == pytest.approx(want) and (group.source_size == group["size"].sum()).all()
+        assert abs(group.taken.sum() - want) <= group["size"].nsmallest(3).max()
     again = mixing.op4_mixing(spark, DATA).toPandas()
     assert sorted(map(tuple, p.values.tolist())) == sorted(map(tuple, again.values.tolist()))
-    assert abs(p.groupby("source_size").target.first().sum() - 1.5 * p["size"].sum()) < 1e-6 * p["size"].sum() or p.source_size.nunique() < given.source.nunique()
+
+
+def test_take_copies(spark, docs, none):
     kept = mixing.take_copies(spark, docs, DATA)
     assert kept.columns == docs.columns and kept.filter("doc_id in (3, 4)").count() == 0
+    assert mixing.take_copies(spark, none, DATA).count() == 0
+
+
+#: Names that the operators use inside, and some that they return.
+INNER = "row words base spans _spans _base _runs candidates runs score kept base_failed ngrams n_words _key _doc _tie _copies _rows _row _k _once _masked _id _content _text _words content component class_id key size tie draw bucket0 share part size_copies copies target trusted h bands id cluster".split()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(d[0], d[1], d[2], d[3], 1, *range(len(INNER))) for d in DOCS if d[0] != 6], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(f'`{n}` int' for n in INNER)}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, DATA)
+        assert out.columns == rows.columns, name
+        assert all(list(r)[5:] == list(range(len(INNER))) for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, DATA).count() == 8
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage's decisions by definition: on whole small tables with copies, secrets, short and repeated texts."""
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(400)]
+    fresh = lambda n: " ".join(rng.choice(words, n))
+    texts = [fresh(int(rng.integers(60, 200))) for _ in range(40)]
+    rows = [(k, t, "en", "ab"[k % 2], len(t)) for k, t in enumerate(texts)] + [(100 + k, t, "en", "a", len(t)) for k, t in enumerate(texts[:8])]
+    rows += [(200, "too short", "en", "a", 9), (201, "same thing " * 90, "en", "b", 990), (202, None, None, None, None), (203, texts[9] + " changed", "en", "b", 1)]
+    rows += [(204, fresh(80) + " password=abcdefgh12345", "en", "a", 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, str(tmp_path)))
+        seen.append(docs.toPandas())
+    good, single, masked, mixed, packed = seen
+    judged = quality.judge(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"), "doc_id").toPandas()
+    assert sorted(good.doc_id) == sorted(judged.doc_id[judged.kept]) and not {200, 201, 202} & set(good.doc_id)
+    assert not {100 + k for k in range(8)} & set(single.doc_id) and 203 not in set(single.doc_id) and set(single.doc_id) == set(good.doc_id) - {100 + k for k in range(8)} - {203}
+    assert masked.text[masked.doc_id == 204].iloc[0].endswith(secrets.MASK) and set(masked.doc_id) == set(single.doc_id)
+    assert set(mixed.doc_id) <= set(masked.doc_id) and mixed.doc_id.value_counts().max() <= 2
+    known = encoder(vocabulary_path())
+    want = Counter(zlib.crc32(known.encode(t) + b"\1\0\0\0") for t in mixed.text)
+    assert Counter(packed.ids_crc32) == want and packed.groupby("sequence_id").length.sum().max() <= 4096
+    last = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert Counter(last.ids_crc32) == want
 
 
 @pytest.mark.parametrize("seed", range(60))
