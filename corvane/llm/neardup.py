@@ -18,7 +18,8 @@ Jaccard). Steps, each a Spark stage over all documents:
 
 Result: ``doc_id, class_id`` (the least id in the class, null if it has none) for every document. Cases: a null text is
 empty; texts of under five words have no shingles and match equal texts only; rows alike in id stay rows, and their texts
-are classed apart unless they are alike; an empty table gives no rows; other columns are ignored.
+are classed apart unless they are alike; very long texts are signed and compared whole; an empty table gives no rows; other
+columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -233,7 +234,8 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without near copies: of each class one row, the first by id (null last), then by text."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "content")).alias("f")
     least = near_duplicates(docs).groupBy("component").agg(first).select(F.col("f.id").alias("_id"), F.col("f.content").alias("_content"))
-    rows = docs.withColumn("_content", F.md5(text_of()))
+    # A row's own columns travel in one struct, so none of their names can clash.
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.md5(text_of()).alias("_text"))
     # Ids take part in the join, so that the copies of a text are dealt out.
-    kept = rows.alias("d").join(least.alias("l"), (F.col("d._content") == F.col("l._content")) & F.col("d.doc_id").eqNullSafe(F.col("l._id"))).select("d.*")
-    return kept.dropDuplicates(["_content"]).select(*docs.columns)
+    kept = rows.join(least, (F.col("_text") == F.col("_content")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", "_text")
+    return kept.dropDuplicates(["_text"]).select("_row.*")

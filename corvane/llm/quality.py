@@ -7,7 +7,7 @@ on their order, per n-gram. Every document is kept or rejected by the same fixed
 
 Cases: a null text has no words and is rejected, as any text under ``min_words`` words; without trusted documents both
 models are alike, every score is 0 and only the base rules decide; repeated rows are scored one by one; an empty table gives
-no rows; columns of other names are ignored.
+no rows; very long texts are counted whole in one row; columns of other names are kept or ignored.
 """
 
 from __future__ import annotations
@@ -135,11 +135,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass, with their own columns.
+    """The documents that pass, with their own columns, which travel in one struct, so that none of their names can clash.
 
     Rejected rows go by an explode of none or one element: a filter would be pushed below the columns that ``kept`` comes from
     and compute each of them again wherever it is named.
     """
-    judged = judge(docs, table(spark, sf_dir, "labels"), *docs.columns)
+    judged = judge(docs.select(F.struct("*").alias("_row"), "doc_id", "text"), table(spark, sf_dir, "labels"), "_row")
     once = F.explode(F.when(F.col("kept"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    return judged.select(*docs.columns, once.alias("_once")).select(*docs.columns)
+    return judged.select("_row", once.alias("_once")).select("_row.*")
