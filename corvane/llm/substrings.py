@@ -42,7 +42,7 @@ WINDOW = 35
 #: Words of an anchor, and of the longer ones by which segments of hot anchors are parted again.
 ANCHORS = (8, 20, 30, WINDOW)
 #: Distinct segments of one anchor that a shard takes, and of all its anchors on average.
-MOST_KINDS, SHARD_SEGMENTS = 256, 4096
+MOST_KINDS, SHARD_SEGMENTS = 256, 1024
 BATCH_BYTES = 500_000
 SEGMENT = "start:int,size:int,anchor:long,content:long,weight:int,hot:boolean"
 STRETCHES = "anchor long, content long, start int, end int"
