@@ -2,49 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from corvane.scratch import materialise
+from corvane.scratch import discard, materialise
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def _told(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges, written, with their number and a checksum that doesn't depend on their order, both taken by the same job."""
+    seen = Observation()
+    table = materialise(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")))
+    return table, (seen.get["n"], seen.get["x"])
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Every vertex of an undirected edge table with the least vertex of its component: ``id, component``.
 
     Alternates large-star and small-star steps: each points a vertex's neighbours to the least vertex it knows, by one
-    aggregation and one join, until no edge changes. Edges are written after each round, so lineage stays short.
+    aggregation and one join, until no edge changes; every round at least halves the way to the least vertex or so, so rounds
+    grow with the logarithm of the longest chain. Edges are written after each round, so lineage stays short, and the job that
+    writes them also tells whether they changed; the round before is then deleted.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    pairs = materialise(pairs)
-    for _ in range(rounds):
+    pairs, state = _told(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
+    while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
-        after = materialise(moved.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
-        same = after.count() == pairs.count() and after.join(pairs, ["u", "v"], "left_anti").isEmpty()
+        after, now = _told(moved.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
+        discard(pairs)
         pairs = after
-        if same:
+        if now == state:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        state = now
     roots = pairs.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
 
 
-def closure(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, reached, depth``: every vertex that can be reached along edges, with the fewest steps; safe on cycles.
 
-    Breadth first: each round joins the last round's pairs with the edges and leaves out pairs known already.
+    Breadth first: each round joins the last round's pairs with the edges and leaves out pairs known already, which ends when
+    nothing new is reached. Rounds are written one by one, and what is known is read from all of them.
     """
     steps = materialise(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL").distinct())
-    last = steps.select(F.col("a").alias("id"), F.col("b").alias("reached")).filter("id <> reached")
-    found = last.withColumn("depth", F.lit(1))
-    for depth in range(2, rounds + 1):
+    last = materialise(steps.select(F.col("a").alias("id"), F.col("b").alias("reached")).filter("id <> reached").withColumn("depth", F.lit(1)))
+    spark, paths, depth = edges.sparkSession, [last.scratch_path], 1
+    while not last.isEmpty():
+        depth += 1
+        known = spark.read.schema(last.schema).parquet(*paths)
         further = last.join(steps, F.col("reached") == F.col("a")).select("id", F.col("b").alias("reached")).filter("id <> reached").distinct()
-        last = materialise(further.join(found, ["id", "reached"], "left_anti"))
-        if last.isEmpty():
-            return found
-        found = found.unionByName(last.withColumn("depth", F.lit(depth)))
-    raise RuntimeError(f"closure did not end in {rounds} rounds")
+        last = materialise(further.join(known, ["id", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
+        paths.append(last.scratch_path)
+    return spark.read.schema(last.schema).parquet(*paths)

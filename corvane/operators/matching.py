@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corvane.scratch import materialise
 
 
 def bigrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """``keys, gram``: a text's word bigrams as they occur; a single word stands for itself."""
+    """``keys, gram``: 64-bit hashes of a text's word bigrams as they occur; a single word stands for itself."""
     words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda w: w != "")
-    pairs = F.when(F.size("w") == 1, F.col("w")).otherwise(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b)))
+    pairs = F.when(F.size("w") == 1, F.transform("w", lambda w: F.xxhash64(w))).otherwise(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
     return df.select(*keys, words.alias("w")).select(*keys, F.explode(pairs).alias("gram"))
 
 
@@ -20,28 +21,33 @@ def bigram_bags(df: DataFrame, key: str, text: str) -> DataFrame:
     return bigrams(df, [key], text).groupBy(key, "gram").agg(F.count("*").alias("c"))
 
 
-def dice_pairs(left: DataFrame, right: DataFrame, a: str, b: str, least: float, distinct: bool = False) -> DataFrame:
+def _prefixes(bags: DataFrame, key: str, counts: DataFrame, share: float) -> DataFrame:
+    """``gram, key, n``: of each bag of size n, the rarest grams among its first n - ceil(n * share) + 1 occurrences that others have too."""
+    w = Window.partitionBy(key)
+    rows = bags.join(counts, "gram").withColumn("n", F.sum("c").over(w))
+    before = F.coalesce(F.sum("c").over(w.orderBy("f", "gram").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = rows.withColumn("before", before).filter(F.col("before") < F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
+    return materialise(first.filter("f > c").select("gram", key, "n"))
+
+
+def dice_pairs(left: DataFrame, right: DataFrame | None, a: str, b: str, least: float) -> DataFrame:
     """Pairs of bags with Dice similarity, 2 * sum of least counts / sum of sizes, of ``least`` or more.
 
-    ``left`` has ``a, gram, c`` and ``right`` has ``b, gram, c``; with ``distinct``, only pairs a < b of one table. Bags meet
-    on their rarest grams only: two bags that reach the bound share one of the first size - ceil(size * p) + 1 occurrences
-    in order of rarity, p = least / (2 - least), so frequent grams join nothing. Those pairs are then summed exactly.
+    ``left`` has ``a, gram, c`` and ``right`` has ``b, gram, c``, both written tables; without ``right``, pairs a < b of ``left``.
+    Bags meet on their rarest grams only: two bags that reach the bound share one of the first size - ceil(size * p) + 1
+    occurrences in order of rarity, p = least / (2 - least), so frequent grams join nothing. Prefixes are written once, the
+    joins are of written tables, so that a hot gram can be split, and pairs that meet are then summed exactly.
     """
     share = least / (2 - least)
-    from pyspark.sql.window import Window
-
-    counts = left.select("gram", "c").union(right.select("gram", "c")).groupBy("gram").agg(F.sum("c").alias("f"))
-
-    def sized(bag: DataFrame, key: str) -> DataFrame:
-        w = Window.partitionBy(key)
-        rows = bag.join(counts, "gram").withColumn("n", F.sum("c").over(w))
-        before = F.sum("c").over(w.orderBy("f", "gram").rowsBetween(Window.unboundedPreceding, -1))
-        return rows.withColumn("prefix", F.coalesce(before, F.lit(0)) < F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
-
-    l, r = sized(left, a).withColumnRenamed("n", "n1"), sized(right, b).withColumnRenamed("n", "n2")
-    met = l.filter("prefix").select("gram", a, "n1").join(r.filter("prefix").select("gram", b, "n2"), "gram").filter(2 * F.least("n1", "n2") >= least * (F.col("n1") + F.col("n2")))
-    met = (met.filter(F.col(a) < F.col(b)) if distinct else met).select(a, b, "n1", "n2").distinct()
-    common = met.join(left.withColumnRenamed("c", "c1"), a).join(right.withColumnRenamed("c", "c2"), [b, "gram"]).groupBy(a, b, "n1", "n2").agg(F.sum(F.least("c1", "c2")).alias("m"))
+    every = left.select("gram", "c") if right is None else left.select("gram", "c").union(right.select("gram", "c"))
+    counts = every.groupBy("gram").agg(F.sum("c").alias("f"))
+    l = _prefixes(left, a, counts, share)
+    r = l.withColumnRenamed(a, b) if right is None else _prefixes(right, b, counts, share)
+    other = left.withColumnRenamed(a, b) if right is None else right
+    l, r = l.withColumnRenamed("n", "n1"), r.withColumnRenamed("n", "n2")
+    met = l.join(r, "gram").filter(2 * F.least("n1", "n2") >= least * (F.col("n1") + F.col("n2")))
+    met = materialise((met.filter(F.col(a) < F.col(b)) if right is None else met).select(a, b, "n1", "n2").distinct())
+    common = met.join(left.withColumnRenamed("c", "c1"), a).join(other.withColumnRenamed("c", "c2"), [b, "gram"]).groupBy(a, b, "n1", "n2").agg(F.sum(F.least("c1", "c2")).alias("m"))
     return common.withColumn("dice", 2 * F.col("m") / (F.col("n1") + F.col("n2"))).filter(F.col("dice") >= least).select(a, b, F.round("dice", 6).alias("dice"))
 
 
@@ -51,8 +57,6 @@ def contained_bags(docs: DataFrame, items: DataFrame, a: str, b: str, least: flo
     ``docs`` has ``a, gram, c`` and ``items`` has ``b, gram, c``. An item's rarest size - ceil(size * least) + 1 occurrences
     can't all be missing, so pairs meet on those only and are then summed exactly; a document's length plays no part.
     """
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(b)
     rows = items.join(docs.groupBy("gram").agg(F.count("*").alias("f")), "gram", "left").fillna(0, ["f"]).withColumn("n", F.sum("c").over(w))
     before = F.coalesce(F.sum("c").over(w.orderBy("f", "gram").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

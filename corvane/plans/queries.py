@@ -30,7 +30,7 @@ def near_dup_bag_dice(spark, d):
     copies = materialise(copies_of(docs, "doc_id", "text"))
     firsts = docs.join(copies.filter("first = doc_id").select("doc_id"), "doc_id", "left_semi")
     bags = materialise(bigram_bags(firsts, "doc_id", "text"))
-    pairs = dice_pairs(bags.withColumnRenamed("doc_id", "doc_a"), bags.withColumnRenamed("doc_id", "doc_b"), "doc_a", "doc_b", 0.85, distinct=True)
+    pairs = dice_pairs(bags.withColumnRenamed("doc_id", "doc_a"), None, "doc_a", "doc_b", 0.85)
     return pairs.unionByName(copies.filter("doc_id > first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("dice")))
 
 
