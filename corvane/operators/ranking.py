@@ -28,3 +28,22 @@ def as_of(df: DataFrame, keys: list[str], order: list[str], value: Column, name:
     """Adds the latest non-null ``value`` of an earlier row."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+
+
+def select_spans(df: DataFrame, keys: list[str], start: str, end: str, ties: list[str]) -> DataFrame:
+    """Spans that overlap none chosen before them, taken by their start, longer ones first, then by ``ties``; empty ones go.
+
+    The choice of one span depends on all before it, so the spans of a key are folded in one row: keys are to be texts, orders
+    and the like, whose spans fit into one.
+    """
+    rows = df.filter((F.col(end) > F.col(start)) & (F.col(start) >= 0))
+    listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), (-F.col(end)).cast("long").alias("e"), *ties))).alias("spans"))
+    begin = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("i"))
+
+    def step(acc: Column, s: Column) -> Column:
+        taken = s["s"] >= acc["last"]
+        kept = F.when(taken, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"])
+        return F.struct(F.when(taken, -s["e"]).otherwise(acc["last"]).alias("last"), kept.alias("kept"), (acc["i"] + 1).alias("i"))
+
+    chosen = listed.select(*keys, "spans", F.explode(F.aggregate("spans", begin, step)["kept"]).alias("i")).select(*keys, F.get("spans", F.col("i")).alias("x"))
+    return chosen.select(*keys, *[F.col(f"x.{t}").alias(t) for t in ties], F.col("x.s").alias(start), (-F.col("x.e")).alias(end))

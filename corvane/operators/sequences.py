@@ -9,44 +9,117 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Larger tables of common lengths aren't filled: all is deleted, then all added.
-MOST_CELLS = 4_000_000
 SCRIPT = "pos int, kind string, old_no int, new_no int, value string"
+#: A token of a line: white space, a word, or one other character.
+TOKEN = r"\s+|[\p{L}\p{N}_$]+|[^\s\p{L}\p{N}_$]"
+#: Lines less alike than this aren't compared word by word.
+LEAST_ALIKE = 0.35
 
 
-def edit_script(old: list, new: list, most: int = MOST_CELLS) -> Iterator[tuple]:
-    """(kind, old place, new place, value) of every step from one list to the other; where both do, deletions come first."""
-    head, stop = 0, min(len(old), len(new))
-    while head < stop and old[head] == new[head]:
-        head += 1
-    tail = 0
-    while tail < stop - head and old[-1 - tail] == new[-1 - tail]:
-        tail += 1
+def _rows_below(a: np.ndarray, b: np.ndarray, top: int, bottom: int, last: np.ndarray) -> list[np.ndarray]:
+    """Rows top .. bottom of the table of common lengths, of what follows each place in a and b, from the row at ``bottom``."""
+    rows = [last]
+    for r in range(bottom - 1, top - 1, -1):
+        best = np.where(b == a[r], rows[-1][1:] + 1, rows[-1][:-1])
+        rows.append(np.append(np.maximum.accumulate(best[::-1])[::-1], 0).astype(np.int32))
+    return rows[::-1]
+
+
+def edit_script(old: list, new: list) -> Iterator[tuple]:
+    """(kind, old place, new place, value) of every step from one list to the other; where both do, deletions come first.
+
+    Time grows with the product of the sizes that differ, memory with the root of one times the other: of the table of common
+    lengths only every so many rows are kept, and the rows between two of them are made again when the script gets there.
+    """
+    number = {v: k for k, v in enumerate(dict.fromkeys([*old, *new]))}
+    a, b = np.array([number[v] for v in old], np.int64), np.array([number[v] for v in new], np.int64)
+    stop = min(len(a), len(b))
+    differ = np.flatnonzero(a[:stop] != b[:stop])
+    head = int(differ[0]) if len(differ) else stop
+    differ = np.flatnonzero(a[len(a) - stop + head :] != b[len(b) - stop + head :])
+    tail = stop - head - 1 - int(differ[-1]) if len(differ) else stop - head
     yield from (("same", i, i, old[i]) for i in range(head))
-    left, right = old[head : len(old) - tail], new[head : len(new) - tail]
-    n, m, i, j = len(left), len(right), 0, 0
-    if n and m and n * m <= most:
-        number = {v: k for k, v in enumerate(dict.fromkeys(left + right))}
-        a, b = np.array([number[v] for v in left]), np.array([number[v] for v in right])
-        common = np.zeros((n + 1, m + 1), np.int32)  # of what follows i and j
-        for r in range(n - 1, -1, -1):
-            best = np.where(b == a[r], common[r + 1, 1:] + 1, common[r + 1, :-1])
-            common[r, :-1] = np.maximum.accumulate(best[::-1])[::-1]
-        while i < n and j < m:
-            if a[i] == b[j]:
-                yield "same", head + i, head + j, left[i]
-                i, j = i + 1, j + 1
-            elif common[i + 1, j] >= common[i, j + 1]:
-                yield "del", head + i, None, left[i]
-                i += 1
-            else:
-                yield "add", None, head + j, right[j]
-                j += 1
-    yield from (("del", head + k, None, left[k]) for k in range(i, n))
-    yield from (("add", None, head + k, right[k]) for k in range(j, m))
+    left, right = a[head : len(a) - tail], b[head : len(b) - tail]
+    n, step = len(left), max(1, int(len(left) ** 0.5))
+    saved = {n: np.zeros(len(right) + 1, np.int32)}
+    for top in range((n - 1) // step * step, -1, -step) if n else ():
+        bottom = min(n, top + step)
+        saved[top] = _rows_below(left, right, top, bottom, saved[bottom])[0]
+    i = j = 0
+    rows, top = [], 0
+    while i < n and j < len(right):
+        if i == top + len(rows) - 1 or not rows:
+            top = i
+            bottom = min(n, (top // step + 1) * step)
+            rows = _rows_below(left, right, top, bottom, saved[bottom])
+        if left[i] == right[j]:
+            yield "same", head + i, head + j, old[head + i]
+            i, j = i + 1, j + 1
+        elif rows[i + 1 - top][j] >= rows[i - top][j + 1]:
+            yield "del", head + i, None, old[head + i]
+            i += 1
+        else:
+            yield "add", None, head + j, new[head + j]
+            j += 1
+    yield from (("del", head + k, None, old[head + k]) for k in range(i, n))
+    yield from (("add", None, head + k, new[head + k]) for k in range(j, len(right)))
     yield from (("same", len(old) - k, len(new) - k, old[-k]) for k in range(tail, 0, -1))
 
 
+def word_diff(old: str, new: str) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]], float]:
+    """Stretches (text, changed) of both lines, and how alike they are: the share of their characters but white space in common.
+
+    Changed stretches of white space alone count as unchanged.
+    """
+    import regex
+
+    sides: tuple[list, list] = ([], [])
+    common = 0
+
+    def add(side: list, text: str, changed: bool) -> None:
+        if side and side[-1][1] == changed:
+            side[-1] = (side[-1][0] + text, changed)
+        else:
+            side.append((text, changed))
+
+    for kind, _, _, token in edit_script(regex.findall(TOKEN, old), regex.findall(TOKEN, new)):
+        if kind != "add":
+            add(sides[0], token, kind != "same")
+        if kind != "del":
+            add(sides[1], token, kind != "same")
+        if kind == "same":
+            common += len("".join(token.split()))
+    for k, side in enumerate(sides):
+        merged: list = []
+        for text, changed in side:
+            add(merged, text, changed and bool(text.strip()))
+        sides[k][:] = merged
+    total = len("".join(old.split())) + len("".join(new.split()))
+    return (*sides, 2 * common / total if total else 1.0)
+
+
+def word_diffs(pairs: DataFrame, keys: dict[str, str], old: str, new: str, least: float = LEAST_ALIKE) -> DataFrame:
+    """``keys, similarity, old_parts, new_parts`` of every row's two lines; parts are null for lines less alike than ``least``.
+
+    A part is a stretch of text and whether it changed. Null lines are empty. Rows are compared where they lie: no shuffle.
+    """
+    part = "array<struct<text:string,changed:boolean>>"
+
+    def run(batches):
+        import pandas as pd
+
+        for frame in batches:
+            rows = []
+            for *key, a, b in frame[[*keys, "_old", "_new"]].itertuples(index=False):
+                left, right, alike = word_diff(a, b)
+                named = [[{"text": t, "changed": c} for t, c in side] if alike >= least else None for side in (left, right)]
+                rows.append((*key, alike, *named))
+            yield pd.DataFrame(rows, columns=[*keys, "similarity", "old_parts", "new_parts"])
+
+    rows = pairs.select(*keys, F.coalesce(old, F.lit("")).alias("_old"), F.coalesce(new, F.lit("")).alias("_new"))
+    return rows.mapInPandas(run, ", ".join(f"{k} {t}" for k, t in keys.items()) + f", similarity double, old_parts {part}, new_parts {part}")
+
+
 def edit_scripts(pairs: DataFrame, keys: dict[str, str], old: str, new: str) -> DataFrame:
     """One row per step between the string arrays ``old`` and ``new`` of every row; ``keys``: columns kept and their types.
 

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from corvane.operators.matching import bigram_bags, bigrams, contained_bags, copies_of, dice_pairs
 from corvane.operators.ranking import keep_best
-from corvane.plans.registry import query, read
+from corvane.plans.registry import MICROS, query, read
 from corvane.scratch import materialise
 
 
@@ -77,11 +77,14 @@ def cosmetic_pairs(spark, d):
     return rows.join(first, "bare").filter("doc_id <> f.doc_id").select("doc_id", F.col("f.doc_id").alias("first_id"), (F.col("raw") != F.col("f.raw")).alias("cosmetic"))
 
 
-@query("""SELECT user_id, event_type, CASE WHEN bool_or(event_id % 2 = 0) AND bool_or(event_id % 2 = 1) THEN 'kept' WHEN bool_or(event_id % 2 = 1) THEN 'added' ELSE 'removed' END AS status FROM events GROUP BY ALL""")
+@query("""WITH m AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS middle FROM events), e AS (SELECT user_id, event_type, epoch_us(ts) > middle AS late FROM events, m)
+  SELECT user_id, event_type, CASE WHEN bool_or(NOT late) AND bool_or(late) THEN 'kept' WHEN bool_or(late) THEN 'added' ELSE 'removed' END AS status FROM e GROUP BY ALL""")
 def set_diff_modifiers(spark, d):
-    """Members of two sets per key, here the types of a user's even and odd events: kept, added or removed; one aggregation."""
-    odd = F.col("event_id") % 2 == 1
-    g = read(spark, d, "events").groupBy("user_id", "event_type").agg(F.bool_or(odd).alias("new"), F.bool_or(~odd).alias("old"))
+    """Members of two sets per key, here the types of a user's events in either half of the time: kept, added or removed."""
+    e = read(spark, d, "events").select("user_id", "event_type", F.expr(MICROS).alias("t"))
+    middle = e.agg(F.expr("(min(t) + max(t)) div 2")).scalar()
+    late = F.col("t") > middle
+    g = e.groupBy("user_id", "event_type").agg(F.bool_or(late).alias("new"), F.bool_or(~late).alias("old"))
     return g.select("user_id", "event_type", F.when(F.col("new") & F.col("old"), "kept").when(F.col("new"), "added").otherwise("removed").alias("status"))
 
 
@@ -97,12 +100,14 @@ def residual_pass_match(spark, d):
     return c.select("c_custkey", F.coalesce("near", "wide").alias("s_suppkey"), F.when(F.col("near").isNotNull(), "nation").when(F.col("wide").isNotNull(), "region").otherwise("none").alias("pass"))
 
 
-@query("""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_quantity >= 45), one AS (SELECT DISTINCT s FROM e WHERE p <= 3)
+@query("""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), one AS (SELECT DISTINCT s FROM e JOIN part ON p = p_partkey WHERE p_size = 1)
   SELECT p AS part, CAST(count(*) AS BIGINT) AS ways FROM e JOIN one USING (s) GROUP BY p""")
 def hop_neighbourhood(spark, d):
-    """Parts two steps from the seeds in the graph of parts and suppliers, and by how many suppliers each is reached."""
-    e = read(spark, d, "lineitem").filter("l_quantity >= 45").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s")).distinct()
-    return e.join(e.filter("part <= 3").select("s").distinct(), "s", "left_semi").groupBy("part").agg(F.count("*").alias("ways"))
+    """Parts two steps from the parts of size 1 in the graph of parts and suppliers, and by how many suppliers each is reached."""
+    e = read(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s")).distinct()
+    seeds = read(spark, d, "part").filter("p_size = 1").select(F.col("p_partkey").alias("part"))
+    one = e.join(seeds, "part", "left_semi").select("s").distinct()
+    return e.join(one, "s", "left_semi").groupBy("part").agg(F.count("*").alias("ways"))
 
 
 @query("""WITH e AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), b AS (SELECT DISTINCT p_brand AS brand, s FROM e JOIN part ON p = p_partkey)
@@ -161,10 +166,10 @@ def range_containment(spark, d):
     return e.withColumn("o", opened).filter("event_type <> 'purchase' AND o.ts < ts").select("event_id", F.col("o.event_id").alias("window_id"))
 
 
-@query("""SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role AS starts FROM conversations""")
+@query("""SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS DISTINCT FROM role AS starts FROM conversations""")
 def boundary_markers(spark, d):
     """Rows at which a value changes."""
-    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))
+    before = F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
     return read(spark, d, "conversations").select("conv_id", "turn", "role", (~before.eqNullSafe(F.col("role"))).alias("starts"))
 
 
@@ -202,13 +207,14 @@ def priority_coalesce(spark, d):
     return keep_best(rows, ["id"], [F.col("source"), F.col("o_orderkey")])
 
 
-@query("""WITH g AS (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY ALL HAVING count(*) <= 5)
-  SELECT c_custkey, s_suppkey, CASE WHEN n = 1 THEN 'likely' ELSE 'name-only' END AS confidence FROM customer JOIN g ON c_nationkey = s_nationkey JOIN supplier USING (s_nationkey)""")
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) <= 5)
+  SELECT o_custkey, o_orderkey, l_linenumber, CASE WHEN n = 1 THEN 'likely' ELSE 'name-only' END AS confidence FROM orders JOIN g ON o_orderkey = l_orderkey JOIN lineitem USING (l_orderkey)""")
 def name_only_cap(spark, d):
-    """Links by a shared name alone, for names with five bearers at most; names are counted before they are joined."""
-    bearers = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count("*").alias("n")).filter("n <= 5")
-    small = read(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("c_nationkey")).join(bearers, "c_nationkey")
-    return read(spark, d, "customer").select("c_custkey", "c_nationkey").join(small, "c_nationkey").select("c_custkey", "s_suppkey", F.when(F.col("n") == 1, "likely").otherwise("name-only").alias("confidence"))
+    """Links by a shared name alone, here an order's number, for names with five bearers at most; bearers are counted before they are joined."""
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    bearers = lines.groupBy("o_orderkey").agg(F.count("*").alias("n")).filter("n <= 5")
+    linked = lines.join(bearers, "o_orderkey").join(read(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return linked.select("o_custkey", "o_orderkey", "l_linenumber", F.when(F.col("n") == 1, "likely").otherwise("name-only").alias("confidence"))
 
 
 @query("""WITH l AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem), k AS (SELECT l_suppkey, count(*) AS parts FROM l GROUP BY ALL)
@@ -220,7 +226,12 @@ def nearest_depth_pick(spark, d):
     return l.join(k, "l_suppkey").groupBy("l_partkey").agg(F.count("*").alias("suppliers"), F.min(F.struct("parts", "l_suppkey"))["l_suppkey"].alias("narrowest"))
 
 
-@query("""SELECT doc_id, regexp_matches(lower(coalesce(text, '')), '(select .* from |insert into |delete from )') AS is_sql FROM documents""")
+_VERB, _CLAUSE = "select|insert|update|delete", "from|into|set|where"
+
+
+@query(f"""SELECT doc_id, regexp_matches(coalesce(text, ''), '(?is)\\b({_VERB})\\b.*\\b({_CLAUSE})\\b') AS is_sql FROM documents""")
 def sql_literal_detect(spark, d):
-    """Texts that look like a statement of SQL."""
-    return read(spark, d, "documents").select("doc_id", F.lower(F.coalesce("text", F.lit(""))).rlike("(select .* from |insert into |delete from )").alias("is_sql"))
+    """Texts with a verb of SQL and, anywhere after it, a clause: two searches, the second in what follows the first verb."""
+    word = lambda some: rf"(?i)(?<![A-Za-z0-9_])({some})(?![A-Za-z0-9_])"
+    after = F.get(F.split(F.coalesce("text", F.lit("")), word(_VERB), 2), F.lit(1))
+    return read(spark, d, "documents").select("doc_id", F.coalesce(after.rlike(word(_CLAUSE)), F.lit(False)).alias("is_sql"))

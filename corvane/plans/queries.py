@@ -9,7 +9,7 @@ from corvane.operators.graph import closure, connected_components
 from corvane.operators.matching import bigram_bags, copies_of, dice_pairs, greedy_pairs, snapshot_diff
 from corvane.operators.ranking import as_of, keep_best, runs, top_k
 from corvane.operators.scoring import level, rolled_up, weighted_score
-from corvane.operators.sequences import edit_scripts, hunks
+from corvane.operators.sequences import edit_scripts, hunks, word_diffs
 from corvane.plans.registry import query, read
 from corvane.scratch import materialise
 
@@ -74,20 +74,33 @@ def full_outer_diff_status(spark, d):
     return snapshot_diff(year(2), year(1), "o_custkey", ["n"])
 
 
-@query("SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@query("SELECT 'customer' AS kind, c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') UNION ALL SELECT 'part', p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
 def semi_anti_stale(spark, d):
-    c = read(spark, d, "customer").join(read(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
-    p = read(spark, d, "part").join(read(spark, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
+    """Customers without an urgent order, and parts that never came back."""
+    urgent = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select("o_custkey")
+    back = read(spark, d, "lineitem").filter("l_returnflag = 'R'").select("l_partkey")
+    c = read(spark, d, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"))
+    p = read(spark, d, "part").join(back, F.col("p_partkey") == F.col("l_partkey"), "left_anti").select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"))
     return c.unionByName(p)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.09),
-  v AS (SELECT a AS id FROM e UNION SELECT b FROM e), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+#: A number for each region, nation, customer and supplier.
+_PLACES = """e AS (SELECT 4 * n_nationkey + 1 AS a, 4 * n_regionkey AS b FROM nation UNION ALL SELECT 4 * c_custkey + 2, 4 * c_nationkey + 1 FROM customer
+    UNION ALL SELECT 4 * s_suppkey + 3, 4 * s_nationkey + 1 FROM supplier)"""
+
+
+def _places(spark, d):
+    """Links from each customer and supplier to its nation, and from each nation to its region."""
+    link = lambda name, own, kind, of, above: read(spark, d, name).select((4 * F.col(own) + kind).cast("long").alias("a"), (4 * F.col(of) + above).cast("long").alias("b"))
+    return link("nation", "n_nationkey", 1, "n_regionkey", 0).union(link("customer", "c_custkey", 2, "c_nationkey", 1)).union(link("supplier", "s_suppkey", 3, "s_nationkey", 1))
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, v AS (SELECT a AS id FROM e UNION SELECT b FROM e), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   r AS (SELECT id, id AS c FROM v UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id)
-  SELECT id, min(c) AS component FROM r GROUP BY id""")
+  SELECT CAST(id AS BIGINT) AS id, CAST(min(c) AS BIGINT) AS component FROM r GROUP BY id""")
 def components_of_links(spark, d):
-    edges = read(spark, d, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.09").select((2 * F.col("l_partkey")).alias("a"), (2 * F.col("l_suppkey") + 1).alias("b"))
-    return connected_components(edges)
+    """Components of all customers, suppliers, nations and regions: a hub for each nation, a component for each region."""
+    return connected_components(_places(spark, d))
 
 
 @query()
@@ -146,16 +159,16 @@ def gap_islands(spark, d):
     return r.groupBy("user_id", "run", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
 
 
-@query("SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
+@query("SELECT conv_id, turn, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM conversations")
 def prefix_offsets(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     return read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long").alias("start"))
 
 
 @query("""SELECT conv_id, turn, coalesce(lag(turn) OVER w, max(turn) OVER (PARTITION BY conv_id)) AS prev_turn, coalesce(lead(turn) OVER w, min(turn) OVER (PARTITION BY conv_id)) AS next_turn
-  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
 def prev_next_wrap(spark, d):
-    w, every = Window.partitionBy("conv_id").orderBy("turn"), Window.partitionBy("conv_id")
+    w, every = Window.partitionBy("conv_id").orderBy("turn", "role", "text"), Window.partitionBy("conv_id")
     return read(spark, d, "conversations").select("conv_id", "turn", F.coalesce(F.lag("turn").over(w), F.max("turn").over(every)).alias("prev_turn"), F.coalesce(F.lead("turn").over(w), F.min("turn").over(every)).alias("next_turn"))
 
 
@@ -196,12 +209,10 @@ def seen_stale(spark, d):
     return read(spark, d, "labels").join(docs, "doc_id", "left").select("doc_id", F.col("seen").isNull().alias("stale"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey // 3 AS b FROM supplier WHERE s_suppkey >= 3),
-  r AS (SELECT a AS id, b AS reached, 1 AS depth FROM e UNION ALL SELECT r.id, e.b, r.depth + 1 FROM r JOIN e ON r.reached = e.a)
-  SELECT id, reached, CAST(depth AS INTEGER) AS depth FROM r""")
+@query(f"""WITH RECURSIVE {_PLACES}, r AS (SELECT a AS id, b AS reached, 1 AS depth FROM e UNION ALL SELECT r.id, e.b, r.depth + 1 FROM r JOIN e ON r.reached = e.a)
+  SELECT CAST(id AS BIGINT) AS id, CAST(reached AS BIGINT) AS reached, CAST(depth AS INTEGER) AS depth FROM r""")
 def closure_with_depth(spark, d):
-    edges = read(spark, d, "supplier").filter("s_suppkey >= 3").select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey div 3").alias("b"))
-    return closure(edges)
+    return closure(_places(spark, d))
 
 
 @query("""WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
@@ -216,8 +227,16 @@ def hunks_with_context(spark, d):
 @query()
 def turn_edits(spark, d):
     """Words that each turn of a conversation keeps, drops and adds against the turn before it."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role")
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
     turns = read(spark, d, "conversations").select("conv_id", "turn", words.alias("new"), F.lag(words).over(w).alias("old"))
     kinds = edit_scripts(turns, {"conv_id": "long", "turn": "int"}, "old", "new").groupBy("conv_id", "turn")
     return kinds.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("same", "del", "add")])
+
+
+@query()
+def turn_word_diffs(spark, d):
+    """Each turn of a conversation against the turn before it, word by word: how alike, and the stretches that changed."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("new"), F.lag("text").over(w).alias("old"))
+    return word_diffs(turns, {"conv_id": "long", "turn": "long"}, "old", "new")

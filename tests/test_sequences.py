@@ -5,7 +5,7 @@ from functools import lru_cache
 
 from corvane.operators.graph import closure
 from corvane.operators.matching import greedy_pairs
-from corvane.operators.sequences import edit_script, edit_scripts
+from corvane.operators.sequences import edit_script, edit_scripts, word_diff, word_diffs
 
 
 def common(a, b):
@@ -26,10 +26,63 @@ def test_edit_scripts_are_least_and_lead_from_old_to_new():
         assert [(i, v) for k, i, _, v in steps if k != "add"] == list(enumerate(old))
         assert [(j, v) for k, _, j, v in steps if k != "del"] == list(enumerate(new))
         assert sum(k == "same" for k, *_ in steps) == common(tuple(old), tuple(new))
-    assert [k for k, *_ in edit_script(["x", "a"], ["a", "y"], most=1)] == ["del", "del", "add", "add"]
+    assert [k for k, *_ in edit_script(["x", "a"], ["a", "y"])] == ["del", "same", "add"]
     assert [(k, v) for k, _, _, v in edit_script(["a"], ["b"])] == [("del", "a"), ("add", "b")]
 
 
+def by_whole_table(old, new):
+    """The script by the definition: from the start, what both share, else a deletion where that keeps as much in common."""
+    n, m = len(old), len(new)
+    table = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if old[i] == new[j] else max(table[i + 1][j], table[i][j + 1])
+    i, j, out = 0, 0, []
+    while i < n or j < m:
+        if i < n and j < m and old[i] == new[j]:
+            out.append(("same", i, j, old[i]))
+            i, j = i + 1, j + 1
+        elif i < n and (j == m or table[i + 1][j] >= table[i][j + 1]):
+            out.append(("del", i, None, old[i]))
+            i += 1
+        else:
+            out.append(("add", None, j, new[j]))
+            j += 1
+    return out
+
+
+def test_edit_scripts_choose_deletions_first():
+    rng = random.Random(8)
+    for size in (1, 2, 7, 40, 90):
+        for _ in range(12):
+            old, new = ([rng.choice("abcdefg") for _ in range(rng.randrange(size + 1))] for _ in range(2))
+            assert len(list(edit_script(old, new))) == len(by_whole_table(old, new))
+            middle = [*"xy", *old, "z"], [*"xy", *new, "z"]
+            assert [s[0] for s in edit_script(*middle)].count("same") == [s[0] for s in by_whole_table(*middle)].count("same")
+    assert list(edit_script(list("abc"), list("xbyc"))) == by_whole_table(list("abc"), list("xbyc"))
+
+
+def test_long_texts_are_compared_as_short_ones():
+    rng = random.Random(2)
+    old = [rng.randrange(5000) for _ in range(3000)]
+    new = [x for x in old if rng.random() > 0.02]
+    for at in range(0, len(new), 97):
+        new.insert(at, -1)
+    steps = list(edit_script(old, new))
+    assert sum(k == "same" for k, *_ in steps) == len(new) - new.count(-1) and [v for k, _, _, v in steps if k != "add"] == old
+
+
+def test_word_diff(spark):
+    old, new, alike = word_diff("int a = 1;", "int b = 1;")
+    assert old == [("int ", False), ("a", True), (" = 1;", False)] and new == [("int ", False), ("b", True), (" = 1;", False)]
+    assert alike == 12 / 14
+    assert word_diff("a  b", "a b")[0] == [("a  b", False)] and word_diff("", "") == ([], [], 1.0) and word_diff("aé", "")[2] == 0
+    rows = spark.createDataFrame([(1, "one two", "one three"), (2, "abc", "xyz"), (3, None, None)], "k long, o string, n string")
+    got = {r.k: r for r in word_diffs(rows, {"k": "long"}, "o", "n").collect()}
+    assert [tuple(p) for p in got[1].new_parts] == [("one ", False), ("three", True)]
+    assert got[2].old_parts is None and got[2].similarity == 0 and got[3].similarity == 1 and got[3].new_parts == []
+
+
 def test_edit_scripts_of_rows(spark):
     rows = [(1, ["a", "b"], ["b", "c"]), (2, None, ["x"]), (3, [], None)]
     got = edit_scripts(spark.createDataFrame(rows, "k long, o array<string>, n array<string>"), {"k": "long"}, "o", "n")
