@@ -381,6 +381,30 @@ def test_top_k_edges(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 3, 131072), (2, 1, 65536), (3, 2, 65536), (4, 8, -65536)]
 
 
+@pytest.mark.parametrize("lengths", ["alike", "skewed"])
+def test_top_k_by_definition(spark, monkeypatch, lengths):
+    """Many blocks, levels and runs; ids repeat, vectors tie, lengths are alike or fall steeply."""
+    for name, value in (("BLOCK", 16), ("QUERY_BLOCK", 8), ("RUN_BLOCKS", 2), ("AT_ONCE", 7), ("LEVELS", 5)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(300, 6))
+    data /= np.linalg.norm(data, axis=1)[:, None]
+    if lengths == "skewed":
+        data *= (100.0 / np.arange(1, 301))[:, None]
+    data[50:60] = data[7]
+    data[60] = 0
+    rows = [(int(k % 280), [float(x) for x in v], "x") for k, v in enumerate(np.float32(data))]
+    got = vectors.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string"), vectors.F.col("vec_id") % 20 == 0).collect()
+    whole, want = np.floor(256 * np.float32(data).astype(float)).astype(np.int64), Counter()
+    for k, (vec_id, *_) in enumerate(rows):
+        if vec_id % 20 == 0:
+            best = sorted((-int(whole[k] @ whole[j]), rows[j][0], j) for j in range(300) if j != k)[:5]
+            want.update((vec_id, r + 1, v, -s) for r, (s, v, _) in enumerate(best))
+    assert Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert vectors.top_k(none, vectors.F.col("vec_id") == 0).count() == 0
+
+
 def html_rows(spark, rows, columns="page_id long, url string, html string"):
     return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, columns)).collect()}
 
