@@ -26,12 +26,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     pairs, state = _told(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written, so that the join is of two exchanges and a vertex of many links can be split.
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         after, now = _told(moved.select(F.col("e.v").alias("u"), F.col("e.m").alias("v")).filter("u <> v").distinct())
         discard(pairs)
+        discard(least)
         pairs = after
         if now == state:
             break
