@@ -1,17 +1,18 @@
 """Best-fit packing (operator 2): bin completion, branch and bound, inside groups of pieces.
 
-A document's ids (with its end id) are cut into pieces of at most ``capacity`` tokens. Pieces are dealt to groups by a hash,
-so many that a group holds about ``GROUP_SEQUENCES`` sequences' worth of tokens and ``GROUP_ROWS`` rows at most on average;
+A document's ids (with its end id) are cut into pieces of at most ``capacity`` tokens. Pieces are dealt to groups by a hash
+that their number in the table takes part in, so that rows alike are dealt out too; so many that a group holds about ``GROUP_SEQUENCES`` sequences' worth of tokens and ``GROUP_ROWS`` rows at most on average;
 each group is packed by one task, and wastes less than one sequence against its own bound.
 
 In a group, best-fit decreasing gives the first incumbent. If it uses more sequences than total size allows, bin completion
 searches for fewer: take the largest piece left, enumerate the undominated fillings of the room beside it (a filling is
 dominated if another one's pieces can hold its pieces), fullest first, and cut a branch once its waste exceeds what one
 sequence fewer than the incumbent would leave over. The search stops at the bound or after ``NODES`` nodes and then keeps its
-best incumbent.
+best incumbent; it tries ``FAN_OUT`` fillings a node, of which it searches ``DEPTH`` pieces and fills the rest by best fit. So
+groups above their bound need not be packed as well as can be: ``gap`` tells by how many sequences a group is above it.
 
-Cases: null texts are empty, so their one piece is the end id; repeated ids are packed as separate documents; an empty table
-gives no rows; columns of other names are ignored.
+Cases: null texts are empty, so their one piece is the end id; repeated ids are packed as separate documents; very long texts
+are cut into as many pieces as they need; an empty table gives no rows; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ NODES = 5000
 FAN_OUT, DEPTH = 6, 3
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = f"{PIECES}, sequence_id long, offset long"
+PACKED = f"{PIECES}, sequence_id long, offset long, gap int"
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:
@@ -118,13 +119,18 @@ def fillings(sizes: list[int], counts: Counter, room: int, fan_out: int = FAN_OU
     return kept
 
 
+def least_sequences(sizes: list[int], capacity: int = CAPACITY) -> int:
+    """No packing has fewer: by their total, and by the pieces of which no two fit together."""
+    return max(-(-sum(sizes) // capacity), sum(2 * s > capacity for s in sizes))
+
+
 def pack_sizes(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Sizes by sequence, as few sequences as the search finds."""
     whole = [[s] for s in sizes if s == capacity]
     rest = [s for s in sizes if s < capacity]
     incumbent = best_fit(rest, capacity)
     total = sum(rest)
-    bound = max(-(-total // capacity), sum(s > capacity / 2 for s in rest))
+    bound = least_sequences(rest, capacity)
     if len(incumbent) > bound:
         counts = Counter(rest)
         ascending = sorted(counts)
@@ -183,13 +189,15 @@ def pack_group(frame: pd.DataFrame, capacity: int = CAPACITY) -> pd.DataFrame:
     order = {int(s): iter(np.flatnonzero(lengths == s)) for s in np.unique(lengths)}
     sequence, offset = np.empty(len(frame), "int64"), np.empty(len(frame), "int64")
     first = int(frame["group_id"].iloc[0]) << 32
-    for k, content in enumerate(pack_sizes(lengths.tolist(), capacity)):
+    packed = pack_sizes(lengths.tolist(), capacity)
+    for k, content in enumerate(packed):
         at = 0
         for s in content:
             row = next(order[s])
             sequence[row], offset[row] = first + k, at
             at += s
-    return frame.drop(columns="group_id").assign(sequence_id=sequence, offset=offset)
+    gap = len(packed) - least_sequences(lengths.tolist(), capacity)
+    return frame.drop(columns="group_id").assign(sequence_id=sequence, offset=offset, gap=np.int32(gap))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -197,7 +205,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = materialise(pieces)
     total, n = rows.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     groups = max(1, -(-total // (capacity * GROUP_SEQUENCES)), -(-n // GROUP_ROWS))
-    dealt = rows.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = rows.withColumn("group_id", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("group_id").applyInPandas(lambda frame: pack_group(frame, capacity), PACKED)
 
 

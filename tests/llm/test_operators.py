@@ -289,6 +289,23 @@ def test_token_counts_follow_the_tokenizers_ties(given):
             assert sum(own[w] for w in text.split()) == len(t.encode(text, add_special_tokens=False).ids)
 
 
+def test_token_counts_of_a_table(docs, none):
+    """Nulls, empty and very long texts, repeated rows, an empty table."""
+    path = vocabulary_path(token_counts.VOCABULARY)
+    known = token_counts.PieceCounter(token_counts.zipf_vocabulary(path))
+    got = sorted(map(tuple, token_counts.count_tokens(docs, path).collect()))
+    assert got == sorted((d[0], sum(known[w] for w in (d[1] or "").split())) for d in DOCS)
+    assert token_counts.count_tokens(none, path).count() == 0
+
+
+def test_packing_tells_its_gap(spark):
+    rows = spark.createDataFrame([(1, "a " * 5000)] * 40 + [(None, None)] * 30, "doc_id long, text string")
+    p = packing.pack(packing.token_pieces(rows, vocabulary_path())).toPandas()
+    # 40 whole pieces; of the 40 rests of 905 four fit into a sequence, so ten are needed where their total asks for nine.
+    assert len(p) == 40 * 2 + 30 and p.sequence_id.nunique() == 50
+    assert packing.least_sequences(p.length.tolist()) == 49 and set(p.gap) == {1}
+
+
 def test_near_duplicates(docs, none):
     got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
     assert got == {1: 1, 2: 1, 5: 1, 3: 3, 4: 3, 6: 6, 7: 7, 8: 8}
