@@ -147,6 +147,18 @@ def test_quality_counts(spark, docs, none):
     assert quality.judge(none, labels.limit(0), "doc_id").count() == 0
 
 
+def test_quality_on_labels_it_has_not_seen(spark):
+    """Trained on one half of the good labels; of the other half most stay, and of the bad ones that pass the base rules most go."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{n}.parquet") for n in ("documents", "labels"))
+    half = labels.filter(quality.F.pmod(quality.F.xxhash64("doc_id"), quality.F.lit(2)) == 0)
+    judged = quality.judge(docs, half, "doc_id").join(labels.join(half, "doc_id", "left_anti"), "doc_id").select("quality", "kept", "base_failed").toPandas()
+    rest = judged[~judged.base_failed]
+    good, bad = rest[rest.quality == 1], rest[rest.quality == 0]
+    print(f"held out: {good.kept.sum()} of {len(good)} good kept, {(~bad.kept).sum()} of {len(bad)} bad rejected")
+    assert good.kept.mean() >= 0.95 and (~bad.kept).mean() >= 0.6
+
+
 def targets_by_hand(sizes):
     """Targets of sources with these total sizes, in order, by dealing out the excess again and again."""
     weight, target, left, open_ = [3, 1, 2], {}, 1.5 * sum(sizes), set(range(len(sizes)))
@@ -312,6 +324,32 @@ def test_near_duplicates(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_by_all_pairs(spark, given):
+    """All pairs of the smallest table's documents by the measure itself, and the classes that they connect."""
+    import pyarrow as pa
+
+    texts = sorted({t or "" for t in given.text})
+    bags = list(neardup.shingles(pa.array(texts)))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if find(i) != find(j) and neardup.probability_jaccard(bags[i], bags[j]) >= 0.8:
+                root[find(i)] = find(j)
+    of_text, least = {t: find(k) for k, t in enumerate(texts)}, {}
+    for doc_id, text in zip(given.doc_id, given.text, strict=True):
+        c = of_text[text or ""]
+        least[c] = min(least.get(c, doc_id), doc_id)
+    want = {d: least[of_text[t or ""]] for d, t in zip(given.doc_id, given.text, strict=True)}
+    assert {r.doc_id: r.class_id for r in neardup.op9_neardup(spark, DATA).collect()} == want
+    assert len(set(want.values())) < len(texts)
+
+
 def test_keep_one_keeps_each_class_once(spark, docs, none):
     kept = neardup.keep_one(spark, docs, DATA)
     assert kept.columns == docs.columns
