@@ -11,9 +11,11 @@ Jaccard). Steps, each a Spark stage over all documents:
 2. Bands of ``ROWS`` registers; texts that share a band with the least one there are joined into coarse clusters, by
    connected components. A band holds near copies with probability 1 - (1 - 0.8^4)^16 > 0.999 in all.
 3. Each cluster is verified whole, so links within it don't depend on bands: small ones in one task, larger ones cut into
-   blocks of bounded size and all pairs of blocks, each in a task. In a task, matrix products over the blocks' shingles give
+   blocks of bounded size, a pair of blocks in a task. In a task, matrix products over the blocks' shingles give
    an upper bound for every pair, and pairs that may reach 0.8 and aren't connected yet are compared exactly. A task returns a
-   spanning forest of its links, not the links.
+   spanning forest of its links, not the links. Larger clusters take two passes: one block meets all blocks, which connects
+   most near copies of one text in time linear in their number; then what is outside of the cluster's largest component by
+   then meets the whole cluster. Pairs inside that component need no comparison, so no link between components is lost.
 4. Connected components of the forests are the classes.
 
 Result: ``doc_id, class_id`` (the least id in the class, null if it has none) for every document. Cases: a null text is
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.graph import connected_components
@@ -121,9 +123,13 @@ def reaches(left: list, right: list, least: float) -> Iterator[tuple[int, int]]:
     return zip(*(x.tolist() for x in np.nonzero(np.minimum(of_a, of_b) >= least - 1e-4)), strict=True)
 
 
-def forest(ids: list[int], bags: list, split: int, least: float = SIMILARITY) -> list[tuple[int, int]]:
-    """Links that connect what similarity connects: among all bags if ``split`` is 0, else between those before and after it."""
-    root = list(range(len(ids)))
+def forest(ids: list[int], bags: list, split: int, least: float = SIMILARITY, joined: list[int] | None = None) -> list[tuple[int, int]]:
+    """Links that connect what similarity connects: among all bags if ``split`` is 0, else between those before and after it.
+
+    Bags of one number in ``joined`` count as connected from the start.
+    """
+    first: dict[int, int] = {}
+    root = [first.setdefault(k, i) for i, k in enumerate(ids if joined is None else joined)]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -177,16 +183,25 @@ def clusters(texts: DataFrame) -> DataFrame:
     return connected_components(edges).withColumnRenamed("component", "cluster")
 
 
-def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """Links ``a, b`` that connect each cluster's near copies; ``members``: ``id, content, cluster, n_shingles`` of distinct texts."""
-    members = materialise(members)
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
-    blocks = F.greatest(F.when(F.col("n") <= 2 * BLOCK_TEXTS, 1).otherwise(F.ceil(F.col("n") / BLOCK_TEXTS)), F.when(F.col("m") <= 2 * BLOCK_SHINGLES, 1).otherwise(F.ceil(F.col("m") / BLOCK_SHINGLES)))
-    placed = members.join(sizes.select("cluster", blocks.cast("int").alias("blocks")), "cluster")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("id", F.lit(9)), "blocks").cast("int"))
+def _blocks(n: str, m: str) -> Column:
+    """Blocks that ``n`` texts of ``m`` shingles are cut into; twice a block's size still goes whole."""
+    by = lambda size, most: F.when(F.col(size) <= 2 * most, 1).otherwise(F.ceil(F.col(size) / most))
+    return F.greatest(by(n, BLOCK_TEXTS), by(m, BLOCK_SHINGLES)).cast("int")
+
+
+def _within(blocks: str) -> Column:
+    return F.pmod(F.xxhash64("id", F.lit(9)), blocks).cast("int")
+
+
+def compare(docs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b, wide`` between texts that meet: ``id, content, cluster, block, least_other, last_other, component, wide``.
+
+    A block meets the blocks of its cluster from ``least_other`` to ``last_other``, each pair in a task of its own; texts of one
+    ``component`` are connected already.
+    """
+    names = ["id", "cluster", "block", "least_other", "last_other", "component", "wide"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "cluster", "block", "blocks"]
         for batch in slices(batches, "text", 2_000_000):
             bags = list(shingles(batch.column("text")))
             columns = [pa.array([x.astype(kind).tobytes() for x in col], pa.binary()) for col, kind in ((tuple(h for h, _ in bags), "<u8"), (tuple(c for _, c in bags), "<u4"))]
@@ -195,22 +210,47 @@ def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> Dat
     # Copies collapse before they are shuffled, and the join finds the texts dealt by content already.
     texts = docs.select(F.md5(text_of()).alias("content"), text_of().alias("text")).groupBy("content").agg(F.first("text").alias("text"))
     # Members grow with the corpus, so they are never broadcast: the plan is one and the same at every size.
-    bags = texts.join(placed.hint("merge"), "content").select("id", "cluster", "block", "blocks", "text").mapInArrow(cut, "id long, cluster long, block int, blocks int, hashes binary, counts binary")
-    # Block x of a cluster takes part in the tasks (x, y) and (y, x) for every y; the task of a pair is (less, more).
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tasks = bags.select("*", other).select("id", "cluster", "block", "hashes", "counts", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    bags = texts.join(placed.hint("merge"), "content").select(*names, "text")
+    bags = bags.mapInArrow(cut, "id long, cluster long, block int, least_other int, last_other int, component long, wide boolean, hashes binary, counts binary")
+    # The pair of blocks x and y is the task (less, more), and both blocks name each other.
+    tasks = bags.select("*", F.explode(F.sequence("least_other", "last_other")).alias("other"))
+    tasks = tasks.select("id", "cluster", "block", "component", "wide", "hashes", "counts", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def verify(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
         frame = frame.sort_values(["block", "id"], kind="stable")
         bags = [(np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)) for h, c in zip(frame["hashes"], frame["counts"], strict=True)]
         split = int((frame["block"] == low).sum()) if low != high else 0
-        if low != high and split in (0, len(bags)):
-            return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        found = forest(frame["id"].tolist(), bags, split, least)
-        return pd.DataFrame({"a": pd.Series([a for a, _ in found], dtype="int64"), "b": pd.Series([b for _, b in found], dtype="int64")})
+        found = [] if low != high and split in (0, len(bags)) else forest(frame["id"].tolist(), bags, split, least, frame["component"].tolist())
+        return pd.DataFrame({"a": pd.Series([a for a, _ in found], dtype="int64"), "b": pd.Series([b for _, b in found], dtype="int64"), "wide": bool(frame["wide"].iloc[0])})
+
+    return tasks.groupBy("cluster", "low", "high").applyInPandas(verify, "a long, b long, wide boolean")
+
 
-    return tasks.groupBy("cluster", "low", "high").applyInPandas(verify, "a long, b long")
+def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Links ``a, b`` that connect each cluster's near copies; ``members``: ``id, content, cluster, n_shingles`` of distinct texts."""
+    members = materialise(members)
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    placed = members.join(sizes.select("cluster", _blocks("n", "m").alias("blocks")), "cluster").withColumn("block", _within("blocks"))
+    # First a cluster's block 0 meets itself and every other block: most near copies of one text are connected by that.
+    last = F.when(F.col("block") == 0, F.col("blocks") - 1).otherwise(0)
+    first = placed.select("id", "content", "cluster", "block", F.lit(0).alias("least_other"), last.alias("last_other"), F.col("id").alias("component"), (F.col("blocks") > 1).alias("wide"))
+    found = materialise(compare(docs, first, least))
+    # Then, in clusters of several blocks, only texts outside of the largest component so far still have pairs to be compared.
+    several = placed.filter("blocks > 1").select("id", "content", "cluster", "n_shingles")
+    if several.isEmpty():
+        return found.select("a", "b")
+    joined = connected_components(found.filter("wide").select("a", "b"))
+    wide = materialise(several.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = wide.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    top = parts.groupBy("cluster").agg(F.max(F.struct("n", "m", "component")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > top.n")
+    top = top.select("cluster", F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("n"), (F.col("m") - F.col("top.m")).alias("m"), F.col("top.n").alias("main_n"), F.col("top.m").alias("main_m"))
+    top = top.select("cluster", "main", _blocks("n", "m").alias("rest_blocks"), _blocks("main_n", "main_m").alias("main_blocks"))
+    others = F.col("component") != F.col("main")
+    block = F.when(others, _within("rest_blocks")).otherwise(F.col("rest_blocks") + _within("main_blocks"))
+    last = F.when(others, F.col("rest_blocks") + F.col("main_blocks") - 1).otherwise(F.col("rest_blocks") - 1)
+    second = wide.join(top, "cluster").select("id", "content", "cluster", block.alias("block"), F.lit(0).alias("least_other"), last.alias("last_other"), "component", F.lit(True).alias("wide"))
+    return found.union(compare(docs, second, least)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

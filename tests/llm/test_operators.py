@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -326,8 +327,6 @@ def test_near_duplicates(docs, none):
 
 def test_near_duplicates_by_all_pairs(spark, given):
     """All pairs of the smallest table's documents by the measure itself, and the classes that they connect."""
-    import pyarrow as pa
-
     texts = sorted({t or "" for t in given.text})
     bags = list(neardup.shingles(pa.array(texts)))
     root = list(range(len(texts)))
@@ -397,6 +396,34 @@ def test_large_clusters_in_blocks_lose_no_link(spark, monkeypatch):
     assert {r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
 
 
+@pytest.mark.parametrize("groups", [1, 5])
+def test_wide_cluster_of_several_components_against_all_pairs(spark, monkeypatch, groups):
+    """Texts of one cluster, whether bands were right or not: links must connect what all pairs connect, and nothing else."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 4)
+    rng = np.random.default_rng(groups)
+    texts = []
+    for k in range(48):
+        words = [f"g{k % groups}w{j}" for j in range(70)]
+        for at in rng.choice(70, rng.integers(0, 3), replace=False):
+            words[at] = f"r{k}"
+        texts.append(" ".join([*words, f"t{k}"]))
+    bags = list(neardup.shingles(pa.array(texts)))
+    rows = [(k, t, hashlib.md5(t.encode()).hexdigest(), 0, len(h)) for k, (t, (h, _)) in enumerate(zip(texts, bags, strict=True))]
+    df = spark.createDataFrame(rows, "id long, text string, content string, cluster long, n_shingles long")
+    got = [(r.a, r.b) for r in neardup.links(df.select("text"), df.drop("text")).collect()]
+
+    def classes(pairs):
+        least = list(range(len(texts)))
+        for _ in texts:
+            for a, b in pairs:
+                least[a] = least[b] = min(least[a], least[b])
+        return least
+
+    every = [(a, b) for a in range(48) for b in range(a) if neardup.probability_jaccard(bags[a], bags[b]) >= 0.8]
+    assert classes(got) == classes(every)
+    assert {frozenset(p) for p in got} <= {frozenset(p) for p in every}
+
+
 def test_substrings_edges(docs, none):
     got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substrings.drop_repeats(docs).collect())
     assert got == brute_repeats(DOCS)
