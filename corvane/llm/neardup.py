@@ -193,13 +193,9 @@ def _within(blocks: str) -> Column:
     return F.pmod(F.xxhash64("id", F.lit(9)), blocks).cast("int")
 
 
-def compare(docs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
-    """Links ``a, b, wide`` between texts that meet: ``id, content, cluster, block, least_other, last_other, component, wide``.
-
-    A block meets the blocks of its cluster from ``least_other`` to ``last_other``, each pair in a task of its own; texts of one
-    ``component`` are connected already.
-    """
-    names = ["id", "cluster", "block", "least_other", "last_other", "component", "wide"]
+def bags_of(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """``placed`` with its texts' shingles: ``hashes, counts``. Texts are shuffled for this once, and never again."""
+    names = ["id", "cluster", "block", "blocks"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
@@ -210,11 +206,18 @@ def compare(docs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
     # Copies collapse before they are shuffled, and the join finds the texts dealt by content already.
     texts = docs.select(F.md5(text_of()).alias("content"), text_of().alias("text")).groupBy("content").agg(F.first("text").alias("text"))
     # Members grow with the corpus, so they are never broadcast: the plan is one and the same at every size.
-    bags = texts.join(placed.hint("merge"), "content").select(*names, "text")
-    bags = bags.mapInArrow(cut, "id long, cluster long, block int, least_other int, last_other int, component long, wide boolean, hashes binary, counts binary")
+    return texts.join(placed.hint("merge"), "content").select(*names, "text").mapInArrow(cut, "id long, cluster long, block int, blocks int, hashes binary, counts binary")
+
+
+def compare(bags: DataFrame, least: float) -> DataFrame:
+    """Links ``a, b`` between texts that meet: ``id, cluster, block, last_other, component, hashes, counts``.
+
+    A block meets the blocks of its cluster up to ``last_other``, each pair in a task of its own; texts of one ``component`` are
+    connected already.
+    """
     # The pair of blocks x and y is the task (less, more), and both blocks name each other.
-    tasks = bags.select("*", F.explode(F.sequence("least_other", "last_other")).alias("other"))
-    tasks = tasks.select("id", "cluster", "block", "component", "wide", "hashes", "counts", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    tasks = bags.select("*", F.explode(F.sequence(F.lit(0), "last_other")).alias("other"))
+    tasks = tasks.select("id", "cluster", "block", "component", "hashes", "counts", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
     def verify(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, low, high = key
@@ -222,9 +225,9 @@ def compare(docs: DataFrame, placed: DataFrame, least: float) -> DataFrame:
         bags = [(np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)) for h, c in zip(frame["hashes"], frame["counts"], strict=True)]
         split = int((frame["block"] == low).sum()) if low != high else 0
         found = [] if low != high and split in (0, len(bags)) else forest(frame["id"].tolist(), bags, split, least, frame["component"].tolist())
-        return pd.DataFrame({"a": pd.Series([a for a, _ in found], dtype="int64"), "b": pd.Series([b for _, b in found], dtype="int64"), "wide": bool(frame["wide"].iloc[0])})
+        return pd.DataFrame({"a": pd.Series([a for a, _ in found], dtype="int64"), "b": pd.Series([b for _, b in found], dtype="int64")})
 
-    return tasks.groupBy("cluster", "low", "high").applyInPandas(verify, "a long, b long, wide boolean")
+    return tasks.groupBy("cluster", "low", "high").applyInPandas(verify, "a long, b long")
 
 
 def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -232,15 +235,16 @@ def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> Dat
     members = materialise(members)
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     placed = members.join(sizes.select("cluster", _blocks("n", "m").alias("blocks")), "cluster").withColumn("block", _within("blocks"))
+    # Written, as both passes read it; this table holds what bands connect, not the corpus.
+    bags = materialise(bags_of(docs, placed.select("id", "content", "cluster", "block", "blocks")))
     # First a cluster's block 0 meets itself and every other block: most near copies of one text are connected by that.
     last = F.when(F.col("block") == 0, F.col("blocks") - 1).otherwise(0)
-    first = placed.select("id", "content", "cluster", "block", F.lit(0).alias("least_other"), last.alias("last_other"), F.col("id").alias("component"), (F.col("blocks") > 1).alias("wide"))
-    found = materialise(compare(docs, first, least))
+    found = materialise(compare(bags.select("id", "cluster", "block", last.alias("last_other"), F.col("id").alias("component"), "hashes", "counts"), least))
     # Then, in clusters of several blocks, only texts outside of the largest component so far still have pairs to be compared.
-    several = placed.filter("blocks > 1").select("id", "content", "cluster", "n_shingles")
+    several = placed.filter("blocks > 1").select("id", "cluster", "n_shingles")
     if several.isEmpty():
-        return found.select("a", "b")
-    joined = connected_components(found.filter("wide").select("a", "b"))
+        return found
+    joined = connected_components(found.join(several.select(F.col("id").alias("a")), "a", "left_semi"))
     wide = materialise(several.join(joined, "id", "left").withColumn("component", F.coalesce("component", "id")))
     parts = wide.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
     top = parts.groupBy("cluster").agg(F.max(F.struct("n", "m", "component")).alias("top"), F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n > top.n")
@@ -249,8 +253,9 @@ def links(docs: DataFrame, members: DataFrame, least: float = SIMILARITY) -> Dat
     others = F.col("component") != F.col("main")
     block = F.when(others, _within("rest_blocks")).otherwise(F.col("rest_blocks") + _within("main_blocks"))
     last = F.when(others, F.col("rest_blocks") + F.col("main_blocks") - 1).otherwise(F.col("rest_blocks") - 1)
-    second = wide.join(top, "cluster").select("id", "content", "cluster", block.alias("block"), F.lit(0).alias("least_other"), last.alias("last_other"), "component", F.lit(True).alias("wide"))
-    return found.union(compare(docs, second, least)).select("a", "b")
+    second = wide.join(top, "cluster").select("id", "cluster", block.alias("block"), last.alias("last_other"), "component")
+    left = bags.filter("blocks > 1").select("id", "hashes", "counts").join(second.hint("merge"), "id")
+    return found.union(compare(left, least))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
