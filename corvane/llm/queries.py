@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, mixing, neardup, packing, quality, secrets, substrings, token_counts, token_files, vectors
+from . import fill_in_middle, filter_audit, html_text, mixing, neardup, packing, personal, quality, secrets, substrings, token_counts, token_files, vectors
 from .base import table, text_of
 
 
@@ -13,6 +13,13 @@ def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.base_digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
 
 
+def personal_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pattern spans of ``op13_personal``."""
+    found = personal.base_spans(table(spark, sf_dir, "documents"), "doc_id")
+    by_kind = F.sort_array(F.transform("_base", lambda s: F.struct(s["rank"].alias("rank"), s["start"].alias("start"), s["end"].alias("end"))))
+    return personal.base_digest(found.select("doc_id", by_kind.alias("_spans"))).drop("_spans")
+
+
 def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base counts of ``op3_quality``."""
     return quality.base_counts(table(spark, sf_dir, "documents"), "doc_id").drop("ngrams")
@@ -43,6 +50,22 @@ SECRET_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM document
 SELECT doc_id, CAST(len(list_filter(spans, lambda x: x.rank = 0)) AS BIGINT) AS n_assign, CAST(len(list_filter(spans, lambda x: x.rank = 1)) AS BIGINT) AS n_access, CAST(len(list_filter(spans, lambda x: x.rank = 2)) AS BIGINT) AS n_hex,
   sha256(array_to_string(list_transform(spans, lambda x: ['assign', 'access', 'hex'][x.rank + 1] || ':' || x.start || ':' || x.end), ',')) AS base_sha256 FROM s"""
 
+def _valid_spans_sql(pattern: str, valid: str, rank: int) -> str:
+    """SQL for the spans of a pattern's matches x for which ``valid`` holds, in t."""
+    p = "'" + pattern + "'"
+    begin = "CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS BIGINT)"
+    return f"""(SELECT list_transform(list_filter(range(1, len(found) + 1), lambda i: list_transform(found, lambda x: {valid})[i]), lambda i: {{'rank': {rank}, 'start': {begin}, 'end': {begin} + length(found[i])}})
+      FROM (SELECT regexp_extract_all(t, {p}, 0) AS found, regexp_split_to_array(t, {p}) AS gaps))"""
+
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN (length({_DIGITS}) - k) % 2 = 1 THEN 2 * CAST({_DIGITS}[k] AS INTEGER) - CASE WHEN CAST({_DIGITS}[k] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST({_DIGITS}[k] AS INTEGER) END)) % 10 = 0"
+PERSONAL_SQL = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+  s AS (SELECT doc_id, list_concat(list_concat({_valid_spans_sql(personal.EMAIL, "true", 0)}, {_valid_spans_sql(personal.IP, "list_max(list_transform(string_split(x, '.'), lambda y: CAST(y AS HUGEINT))) <= 255", 1)}),
+    list_concat({_valid_spans_sql(personal.CARD, f"CASE WHEN length({_DIGITS}) BETWEEN 16 AND 19 THEN {_LUHN} ELSE false END", 2)}, {_valid_spans_sql(personal.PHONE, f"length({_DIGITS}) BETWEEN 8 AND 15", 3)})) AS spans FROM d)
+SELECT doc_id, {", ".join(f"CAST(len(list_filter(spans, lambda x: x.rank = {k})) AS BIGINT) AS n_{kind}" for k, kind in enumerate(personal.KINDS[:4]))},
+  sha256(array_to_string(list_transform(list_sort(spans), lambda x: ['email', 'ip', 'card', 'phone'][x.rank + 1] || ':' || x.start || ':' || x.end), ',')) AS base_sha256 FROM s"""
+
 QUALITY_SQL = f"""WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
   l AS (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
   g AS (SELECT n, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT n, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
@@ -69,9 +92,13 @@ QUERIES = {
     "op8_html_text": html_text.op8_html_text,
     "op9_neardup": neardup.op9_neardup,
     "op10_substrings": substrings.op10_substrings,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_fill_in_middle": fill_in_middle.op12_fill_in_middle,
+    "op13_personal": personal.op13_personal,
     "secret_base_spans": secret_base_spans,
+    "personal_base_spans": personal_base_spans,
     "quality_base_counts": quality_base_counts,
     "mix_targets": mix_targets,
 }
 
-ORACLES = {"op6_topk": vectors.ORACLE, "op10_substrings": substrings.ORACLE, "secret_base_spans": SECRET_SQL, "quality_base_counts": QUALITY_SQL, "mix_targets": MIX_SQL}
+ORACLES = {"op6_topk": vectors.ORACLE, "op10_substrings": substrings.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_fill_in_middle": fill_in_middle.ORACLE, "secret_base_spans": SECRET_SQL, "personal_base_spans": PERSONAL_SQL, "quality_base_counts": QUALITY_SQL, "mix_targets": MIX_SQL}

@@ -83,10 +83,10 @@ def matches(text: Column, pattern: str, least: int, rank: int, group: int = 0) -
     return F.when(text.rlike(pattern), F.filter(let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans), lambda x: F.length(x["value"]) >= least)).otherwise(none)
 
 
-def apart(runs: Column, base: Column) -> Column:
-    """The runs that overlap no base span; both ascend by their start, and runs don't overlap each other."""
+def apart(runs: Column, base: Column, first_run: int = 3) -> Column:
+    """The runs, of ranks from ``first_run``, that overlap no base span."""
     far = 2**31 - 1
-    inner = lambda order, of: F.transform(order, lambda s: F.when(s["rank"] == 3, -far).otherwise(of(s)))
+    inner = lambda order, of: F.transform(order, lambda s: F.when(s["rank"] >= first_run, -far).otherwise(of(s)))
     most = lambda a, b: F.greatest(a, b)
 
     def free(every: Column) -> Column:
@@ -94,7 +94,7 @@ def apart(runs: Column, base: Column) -> Column:
         upto = running(inner(every, lambda s: s["end"]), most)
         after = F.reverse(running(inner(F.reverse(every), lambda s: -s["start"]), most))
         told = F.zip_with(every, F.arrays_zip(upto.alias("upto"), after.alias("after")), lambda s, x: F.struct(s.alias("s"), ((x["upto"] <= s["start"]) & (-x["after"] >= s["end"])).alias("free")))
-        return F.transform(F.filter(told, lambda x: (x["s"]["rank"] == 3) & x["free"]), lambda x: x["s"])
+        return F.transform(F.filter(told, lambda x: (x["s"]["rank"] >= first_run) & x["free"]), lambda x: x["s"])
 
     return F.when((F.size(runs) == 0) | (F.size(base) == 0), runs).otherwise(let(F.sort_array(F.concat(runs, base)), free))
 
@@ -191,8 +191,8 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 MASK = "[secret]"
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each stretch of overlapping spans replaced by ``MASK``.
+def masked(text: Column, spans: Column, mask: str = MASK) -> Column:
+    """The text with each stretch of overlapping spans, which ascend by their start, replaced by ``mask``.
 
     A text is cut into sections at every so many spans first, so that no piece is looked for from the text's beginning.
     """
@@ -204,7 +204,7 @@ def masked(text: Column, spans: Column) -> Column:
 
         def section(some: Column) -> Column:
             begin, end = F.element_at(some, 1)["before"], F.element_at(some, -1)["end"]
-            piece = lambda t, c: F.when(c["start"] >= c["before"], F.concat(F.substring(t, c["before"] - begin + 1, c["start"] - c["before"]), F.lit(MASK))).otherwise("")
+            piece = lambda t, c: F.when(c["start"] >= c["before"], F.concat(F.substring(t, c["before"] - begin + 1, c["start"] - c["before"]), F.lit(mask))).otherwise("")
             return let(F.substring(text, begin + 1, end - begin), lambda t: F.array_join(F.transform(some, lambda c: piece(t, c)), ""))
 
         sections = let(pieces, lambda p: F.transform(F.sequence(F.lit(1), F.size(p), step), lambda k: let(F.slice(p, k, step), section)))
