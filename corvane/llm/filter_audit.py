@@ -36,7 +36,7 @@ from .tokens import slices
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 100, 80, 10, "#$%&*|"
 #: Characters of a shard; one text may have more.
-SHARD_CHARS = 16_000_000
+SHARD_CHARS = 4_000_000
 
 
 def _shards_of(batches, most: int):
@@ -106,6 +106,7 @@ def term_shards(docs: DataFrame, keep: list[str], buckets: int, text: str = "tex
             rows = pa.StructArray.from_arrays([*own.flatten(), pa.array(capitals), pa.array(signs)], [*(f.name for f in own.type), "_capitals", "_signs"])
             matrix = {"indptr": _one(indptr, pa.int32()), "codes": _one(new[codes] if len(codes) else [], pa.int32()), "counts": _one(counts, pa.int32()), "rows": _one(rows, rows.type)}
             yield _as(schema, 1, shard=pa.array([shard], pa.int64()), **matrix)
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.struct(*keep).alias("_row"), text_of(text).alias("_text"))
     fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in rows.schema["_row"].dataType)
@@ -122,21 +123,33 @@ def _as(schema: pa.Schema, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-def term_ids(shards: DataFrame) -> DataFrame:
+def term_ids(shards: DataFrame, buckets: int) -> DataFrame:
     """``shard, ids``: the global number of each of a shard's words, in the shard's order; all words are numbered without gaps.
 
-    Lists of words travel to their bucket whole, and are ranked there by a sort that can spill; no word's rows are more than
-    there are shards.
+    Lists of words travel to their bucket whole, and a bucket numbers its words as they come. A task holds its bucket's
+    distinct words, so buckets are to grow with the vocabulary. Numbers are written before they are used: a task that runs
+    again may number otherwise.
     """
-    words = shards.filter("bucket IS NOT NULL").select("bucket", "shard", "words").repartition("bucket").select("bucket", "shard", F.posexplode("words").alias("pos", "word"))
-    ranked = words.withColumn("rank", F.dense_rank().over(Window.partitionBy("bucket").orderBy("word")))
-    lists = materialise(ranked.groupBy("bucket", "shard").agg(F.sort_array(F.collect_list(F.struct("pos", "rank"))).alias("l"), F.max("rank").alias("top")))
+
+    def run(batches):
+        known: dict[int, dict[str, int]] = {}
+        for batch in batches:
+            bucket, words, numbers, tops = batch.column("bucket").to_pylist(), batch.column("words"), [], []
+            for i, k in enumerate(bucket):
+                own = known.setdefault(k, {})
+                numbers.append(np.array([own.setdefault(w, len(own)) for w in words[i].values.to_pylist()], np.int32))
+                tops.append(len(own))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, numbers)]), pa.int32()), pa.array(np.concatenate(numbers) if numbers else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("shard"), lists, pa.array(tops, pa.int32())], ["bucket", "shard", "numbers", "top"])
+
+    words = shards.filter("bucket IS NOT NULL").select("bucket", "shard", "words").repartition(buckets, "bucket")
+    lists = materialise(words.mapInArrow(run, "bucket int, shard long, numbers array<int>, top int"))
     # As many rows as there are buckets, a parameter.
     sizes = lists.groupBy("bucket").agg(F.max("top").cast("long").alias("size"))
     bases = sizes.select("bucket", (F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).alias("base"))
-    based = lists.join(F.broadcast(bases), "bucket").select("shard", "bucket", F.transform("l", lambda x: F.col("base") + x["rank"] - 1).alias("ids"))
-    parts = based.groupBy("shard").agg(F.sort_array(F.collect_list(F.struct("bucket", "ids"))).alias("parts"))
-    return parts.select("shard", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    based = lists.join(F.broadcast(bases), "bucket").select("shard", F.struct("bucket", "base", "numbers").alias("part"))
+    parts = based.groupBy("shard").agg(F.sort_array(F.collect_list("part")).alias("parts"))
+    return parts.select("shard", F.flatten(F.transform("parts", lambda p: F.transform(p["numbers"], lambda k: p["base"] + k))).alias("ids"))
 
 
 def term_matrix(docs: DataFrame, keep: list[str], text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
@@ -147,7 +160,7 @@ def term_matrix(docs: DataFrame, keep: list[str], text: str = "text", shard_char
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = term_shards(docs, keep, buckets, text, shard_chars)
     matrix = shards.filter("bucket IS NULL").select("shard", "indptr", "codes", "counts", "rows")
-    joined = matrix.join(term_ids(shards).hint("merge"), "shard", "left")
+    joined = matrix.join(term_ids(shards, buckets).hint("merge"), "shard", "left")
     kind = matrix.schema["rows"].dataType.simpleString()
 
     def run(batches):
@@ -207,14 +220,16 @@ def failure_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def in_every_order(counts: DataFrame) -> DataFrame:
     """The audit of every order of the filters from numbers of documents by what they fail."""
     n, failed = F.col("n"), F.col("failed")
-    step = lambda order, k: F.struct(F.lit(order).alias("filter_order"), F.lit(k + 1).alias("step"), F.lit(1 << FILTERS.index(order[k])).alias("bit"), F.lit(sum(1 << FILTERS.index(x) for x in order[:k])).alias("before"))
-    steps = F.array(*(step("".join(o), k) for o in permutations(FILTERS) for k in range(len(FILTERS))))
-    bit, before = F.col("s.bit"), F.col("s.before")
+    bits = {f: 1 << k for k, f in enumerate(FILTERS)}
+    steps = (f"{''.join(o)}:{k + 1}:{bits[o[k]]}:{sum(bits[x] for x in o[:k])}" for o in permutations(FILTERS) for k in range(len(o)))
+    step = F.split(F.col("s"), ":")
+    bit, before = step[2].cast("int"), step[3].cast("int")
     fails, alive = failed.bitwiseAND(bit) != 0, failed.bitwiseAND(before) == 0
     of = lambda holds: F.sum(F.when(holds, n).otherwise(0)).cast("long")
     # Of the orders, as many remove a document by each of the filters that it fails.
     share = F.when(fails, n * (F.lit(120) / F.bit_count(failed)).cast("long")).otherwise(0)
-    return counts.select("part", "failed", "good", "toxic", "n", F.explode(steps).alias("s")).groupBy("part", F.col("s.filter_order").alias("filter_order"), F.col("s.step").alias("step")).agg(
+    every = F.explode(F.split(F.lit(",".join(steps)), ",")).alias("s")
+    return counts.select("part", "failed", "good", "toxic", "n", every).groupBy("part", step[0].alias("filter_order"), step[1].cast("int").alias("step")).agg(
         of(alive & ~fails).alias("kept"), of(alive & fails).alias("removed"), of(~alive & fails).alias("redundant"), of(failed == bit).alias("unique_fails"),
         of(alive & fails & F.col("good")).alias("good_lost"), of(alive & fails & F.col("toxic")).alias("toxic_lost"), F.sum(share).cast("long").alias("shapley"),
     )

@@ -85,7 +85,7 @@ def test_audit_of_nothing(spark, none):
 def test_matrix_is_the_words_counts_with_global_numbers(docs):
     """Every shard's entries are its documents' words; a word has one number everywhere, and numbers have no gaps."""
     shards = filter_audit.term_shards(docs.repartition(3), ["doc_id", "n"], 5, shard_chars=400)
-    ids = filter_audit.term_ids(shards).collect()
+    ids = filter_audit.term_ids(shards, 5).collect()
     words = {r.shard: [] for r in shards.filter("bucket IS NOT NULL").collect()}
     for r in shards.filter("bucket IS NOT NULL").orderBy("shard", "bucket").collect():
         words[r.shard] += r.words
