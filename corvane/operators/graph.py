@@ -1,4 +1,4 @@
-"""Graph operators over edge tables: connected components, closures with depth."""
+"""Graph operators over edge tables: components, cycles, levels, closures with depth, inherited properties."""
 
 from __future__ import annotations
 
@@ -58,3 +58,114 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         last = materialise(further.join(known, ["id", "reached"], "left_anti").withColumn("depth", F.lit(depth)))
         paths.append(last.scratch_path)
     return spark.read.schema(last.schema).parquet(*paths)
+
+
+def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``id, component``: of each vertex on an edge the least vertex of its strongly connected component.
+
+    Each round colours every vertex with the greatest vertex that reaches it; a vertex of its own colour is a pivot, and those of
+    its colour that reach it back are its component. Colours part components, so edges between colours go, as do the
+    components found, until no edge is left; all pivots of a round work at once. Waves run as many steps as their longest
+    way; each writes its table and deletes the one before.
+    """
+    spark = edges.sparkSession
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    vertices = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    left = materialise(pairs.filter("u <> v").distinct())
+    found = []
+    while not left.isEmpty():
+        colour = _spread(left, left.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("c", F.col("id")))
+        alike = left.join(colour.withColumnRenamed("id", "u").withColumnRenamed("c", "cu"), "u").join(colour.withColumnRenamed("id", "v").withColumnRenamed("c", "cv"), "v")
+        inside = materialise(alike.filter("cu = cv").select("u", "v", "cu"))
+        back = materialise(colour.filter("id = c"))
+        wave, waves = back, [back]
+        while not wave.isEmpty():
+            known = spark.read.schema(back.schema).parquet(*(w.scratch_path for w in waves))
+            step = inside.join(wave.select(F.col("id").alias("v"), F.col("c").alias("cu")), ["v", "cu"]).select(F.col("u").alias("id"), F.col("cu").alias("c")).distinct()
+            wave = materialise(step.join(known, "id", "left_anti"))
+            waves.append(wave)
+        done = materialise(spark.read.schema(back.schema).parquet(*(w.scratch_path for w in waves)))
+        found.append(done)
+        after = materialise(inside.join(done.select(F.col("id").alias("u")), "u", "left_anti").join(done.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"))
+        for old in (left, colour, inside, *waves):
+            discard(old)
+        left = after
+    if not found:
+        return vertices.select("id", F.col("id").alias("component"))
+    roots = spark.read.schema(found[0].schema).parquet(*(f.scratch_path for f in found))
+    least = roots.groupBy("c").agg(F.min("id").alias("component"))
+    named = roots.join(least, "c").select("id", F.col("component").alias("_least"))
+    return vertices.join(named, "id", "left").select("id", F.coalesce("_least", "id").alias("component"))
+
+
+def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """``id, c``: the greatest ``c`` of the vertices that reach each vertex, its own included. Only vertices that rose go on."""
+    colour = materialise(start)
+    risen = colour
+    while not risen.isEmpty():
+        offered = edges.join(risen.select(F.col("id").alias("u"), "c"), "u").groupBy(F.col("v").alias("id")).agg(F.max("c").alias("new"))
+        after = materialise(colour.join(offered, "id", "left").select("id", F.greatest("c", "new").alias("c"), (F.coalesce(F.col("new") > F.col("c"), F.lit(False))).alias("rose")))
+        risen = after.filter("rose").select("id", "c")
+        discard(colour)
+        colour = after
+    return colour
+
+
+def levels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``id, level``: the most edges on a way that ends at each vertex of an acyclic edge table, by rounds of Kahn's algorithm.
+
+    Each round takes all vertices that no edge leads to any more, and drops their edges. Raises if edges form a cycle.
+    """
+    spark = edges.sparkSession
+    left = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct())
+    waiting = materialise(left.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    empty = waiting.withColumn("level", F.lit(0))
+    taken: list[str] = []
+    while not waiting.isEmpty():
+        ready = materialise(waiting.join(left.select(F.col("v").alias("id")), "id", "left_anti").withColumn("level", F.lit(len(taken))))
+        if ready.isEmpty():
+            raise ValueError("the edges form a cycle")
+        taken.append(ready.scratch_path)
+        fewer = materialise(left.join(ready.select(F.col("id").alias("u")), "u", "left_anti"))
+        rest = materialise(waiting.join(ready, "id", "left_anti"))
+        discard(left)
+        discard(waiting)
+        left, waiting = fewer, rest
+    return spark.read.schema(empty.schema).parquet(*taken) if taken else empty
+
+
+def levels_of_cyclic(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``id, component, level``: cycles count as one vertex, named by its least member; levels are those between them."""
+    named = materialise(strong_components(edges, a, b))
+    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    of = lambda end, name: named.select(F.col("id").alias(end), F.col("component").alias(name))
+    between = ends.join(of("u", "cu"), "u").join(of("v", "cv"), "v").filter("cu <> cv").select("cu", "cv").distinct()
+    ranked = levels(between, "cu", "cv").select(F.col("id").alias("component"), "level")
+    return named.join(ranked, "component", "left").select("id", "component", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+def nearest_above(parents: DataFrame, holds: DataFrame, barriers: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """``id, found, depth``: of each vertex the nearest ancestor that ``holds``, unless a barrier lies on every way before it.
+
+    ``holds`` and ``barriers`` have a column ``id``. An ancestor that holds ends the search, itself no matter whether it is a barrier; a barrier that
+    doesn't hold is a dead end. Of several at one depth the least is taken. A way goes up level by level, all vertices at once;
+    vertices already passed for a start aren't passed again, so cycles end.
+    """
+    spark = parents.sparkSession
+    up = materialise(parents.select(F.col(child).alias("at"), F.col(parent).alias("above")).filter("at IS NOT NULL AND above IS NOT NULL").distinct())
+    goal, wall = (materialise(t.select("id").filter("id IS NOT NULL").distinct()) for t in (holds, barriers))
+    wave = materialise(up.select(F.col("at").alias("id"), "at").distinct())
+    passed, answers, depth = [wave.scratch_path], [], 0
+    seen_schema = wave.schema
+    while not wave.isEmpty():
+        depth += 1
+        met = materialise(wave.join(up, "at").select("id", F.col("above").alias("at")).distinct())
+        hit = met.join(goal.withColumnRenamed("id", "at"), "at", "left_semi").groupBy("id").agg(F.min("at").alias("found"))
+        answers.append(materialise(hit.withColumn("depth", F.lit(depth))))
+        known = spark.read.schema(seen_schema).parquet(*passed)
+        on = met.join(answers[-1].select("id"), "id", "left_anti").join(wall.withColumnRenamed("id", "at"), "at", "left_anti").select("id", "at")
+        wave = materialise(on.join(known, ["id", "at"], "left_anti"))
+        passed.append(wave.scratch_path)
+    if not answers:
+        return up.select(F.col("at").alias("id"), F.col("above").alias("found"), F.lit(1).alias("depth")).limit(0)
+    return spark.read.schema(answers[0].schema).parquet(*(t.scratch_path for t in answers))

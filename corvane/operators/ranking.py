@@ -36,12 +36,12 @@ def select_spans(df: DataFrame, keys: list[str], start: str, end: str, ties: lis
     The choice of one span depends on all before it, so the spans of a key are folded in one row: keys are to be texts, orders
     and the like, whose spans fit into one.
     """
-    rows = df.filter((F.col(end) > F.col(start)) & (F.col(start) >= 0))
+    rows = df.filter(F.col(end) > F.col(start))
     listed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("long").alias("s"), (-F.col(end)).cast("long").alias("e"), *ties))).alias("spans"))
-    begin = F.struct(F.lit(-1).cast("long").alias("last"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("i"))
+    begin = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("kept"), F.lit(0).alias("i"))
 
     def step(acc: Column, s: Column) -> Column:
-        taken = s["s"] >= acc["last"]
+        taken = acc["last"].isNull() | (s["s"] >= acc["last"])
         kept = F.when(taken, F.concat(acc["kept"], F.array(acc["i"]))).otherwise(acc["kept"])
         return F.struct(F.when(taken, -s["e"]).otherwise(acc["last"]).alias("last"), kept.alias("kept"), (acc["i"] + 1).alias("i"))
 
