@@ -1,4 +1,4 @@
-"""Sequences against each other: edit scripts by longest common subsequence, changed stretches with context."""
+"""Sequences against each other: edit scripts by longest common subsequence, word by word differences, changed stretches with context."""
 
 from __future__ import annotations
 
@@ -9,11 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.ranking import runs
+from corvane.scratch import materialise
+
 SCRIPT = "pos int, kind string, old_no int, new_no int, value string"
-#: A token of a line: white space, a word, or one other character.
-TOKEN = r"\s+|[\p{L}\p{N}_$]+|[^\s\p{L}\p{N}_$]"
-#: Lines less alike than this aren't compared word by word.
+#: A token of a line, which is white space, a word, or one other character; lines less alike aren't compared by word.
+TOKEN = r"(?U)\s+|[\p{L}\p{N}_$]+|[^\s\p{L}\p{N}_$]"
 LEAST_ALIKE = 0.35
+_SPACE = r"(?U)\s+"
 
 
 def _rows_below(a: np.ndarray, b: np.ndarray, top: int, bottom: int, last: np.ndarray) -> list[np.ndarray]:
@@ -66,58 +69,55 @@ def edit_script(old: list, new: list) -> Iterator[tuple]:
     yield from (("same", len(old) - k, len(new) - k, old[-k]) for k in range(tail, 0, -1))
 
 
-def word_diff(old: str, new: str) -> tuple[list[tuple[str, bool]], list[tuple[str, bool]], float]:
-    """Stretches (text, changed) of both lines, and how alike they are: the share of their characters but white space in common.
+def word_diffs(pairs: DataFrame, keys: dict[str, str], old: str, new: str, least: float = LEAST_ALIKE) -> DataFrame:
+    """``keys, similarity, old_parts, new_parts`` of every row's two lines; parts are null for lines less alike than ``least``.
 
-    Changed stretches of white space alone count as unchanged.
+    A part is a stretch of text and whether it changed; changed stretches of white space alone count as unchanged. Lines are as
+    alike as the share of their characters, white space left out, that both have in common; two lines without such characters
+    are the same. Null lines are empty. ``keys`` must tell rows apart: steps are told apart by them, and a shuffle by them
+    brings the steps of a line together again.
     """
-    import regex
+    tokens = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0))
+    named = list(keys)
+    steps = materialise(edit_scripts(pairs.select(*named, tokens(F.col(old)).alias("_a"), tokens(F.col(new)).alias("_b")), keys, "_a", "_b"))
 
-    sides: tuple[list, list] = ([], [])
-    common = 0
+    solid = F.length(F.regexp_replace("value", _SPACE, ""))
+    weight = lambda kinds: F.sum(F.when(F.col("kind").isin(kinds), solid).otherwise(0))
+    alike = steps.groupBy(*named).agg(weight(["same"]).alias("_both"), weight(["del", "add"]).alias("_one"))
 
-    def add(side: list, text: str, changed: bool) -> None:
-        if side and side[-1][1] == changed:
-            side[-1] = (side[-1][0] + text, changed)
-        else:
-            side.append((text, changed))
-
-    for kind, _, _, token in edit_script(regex.findall(TOKEN, old), regex.findall(TOKEN, new)):
-        if kind != "add":
-            add(sides[0], token, kind != "same")
-        if kind != "del":
-            add(sides[1], token, kind != "same")
-        if kind == "same":
-            common += len("".join(token.split()))
-    for k, side in enumerate(sides):
-        merged: list = []
-        for text, changed in side:
-            add(merged, text, changed and bool(text.strip()))
-        sides[k][:] = merged
-    total = len("".join(old.split())) + len("".join(new.split()))
-    return (*sides, 2 * common / total if total else 1.0)
+    sides = F.explode(F.filter(F.array(*(F.struct(F.lit(s).alias("side"), (F.col("kind") != other).alias("on")) for s, other in (("old", "add"), ("new", "del")))), lambda x: x["on"])).alias("s")
+    tokens_of = steps.select(*named, "pos", F.col("value").alias("text"), (F.col("kind") != "same").alias("changed"), sides).select(*named, "s.side", "pos", "text", "changed")
+    stretches = _joined(tokens_of, [*named, "side"])
+    real = F.col("changed") & (F.regexp_replace("text", _SPACE, "") != "")
+    parts = _joined(stretches.withColumn("changed", real), [*named, "side"])
+    of = lambda side: F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("pos", "text", "changed")))), lambda p: F.struct(p["text"].alias("text"), p["changed"].alias("changed")))
+    both = parts.groupBy(*named).agg(of("old").alias("_old"), of("new").alias("_new"))
 
+    told = pairs.select(*named).join(alike, named, "left").join(both, named, "left")
+    none = F.array().cast("array<struct<text:string,changed:boolean>>")
+    total = 2 * F.col("_both") + F.col("_one")
+    rated = told.withColumn("similarity", F.coalesce(F.when(total > 0, 2 * F.col("_both") / total), F.lit(1.0)))
+    close = lambda c: F.when(F.col("similarity") >= least, F.coalesce(F.col(c), none))
+    return rated.select(*named, "similarity", close("_old").alias("old_parts"), close("_new").alias("new_parts"))
 
-def word_diffs(pairs: DataFrame, keys: dict[str, str], old: str, new: str, least: float = LEAST_ALIKE) -> DataFrame:
-    """``keys, similarity, old_parts, new_parts`` of every row's two lines; parts are null for lines less alike than ``least``.
 
-    A part is a stretch of text and whether it changed. Null lines are empty. Rows are compared where they lie: no shuffle.
-    """
-    part = "array<struct<text:string,changed:boolean>>"
+def _joined(tokens: DataFrame, keys: list[str]) -> DataFrame:
+    """Neighbours that are both changed or both not, as one: ``keys, pos, text, changed``."""
+    numbered = runs(tokens, keys, ["pos"], "changed")
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    return numbered.groupBy(*keys, "run", "changed").agg(F.min("pos").alias("pos"), F.array_join(texts, "").alias("text")).drop("run")
 
-    def run(batches):
-        import pandas as pd
 
-        for frame in batches:
-            rows = []
-            for *key, a, b in frame[[*keys, "_old", "_new"]].itertuples(index=False):
-                left, right, alike = word_diff(a, b)
-                named = [[{"text": t, "changed": c} for t, c in side] if alike >= least else None for side in (left, right)]
-                rows.append((*key, alike, *named))
-            yield pd.DataFrame(rows, columns=[*keys, "similarity", "old_parts", "new_parts"])
+def replaced_lines(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, old_no, new_no, old, new``: of each stretch of deletions and the additions right after it, the k-th with the k-th.
 
-    rows = pairs.select(*keys, F.coalesce(old, F.lit("")).alias("_old"), F.coalesce(new, F.lit("")).alias("_new"))
-    return rows.mapInPandas(run, ", ".join(f"{k} {t}" for k, t in keys.items()) + f", similarity double, old_parts {part}, new_parts {part}")
+    ``steps`` are edit scripts of lines. What a stretch has more than the other stays alone.
+    """
+    numbered = runs(steps.select(*keys, "pos", "kind", "old_no", "new_no", "value"), keys, ["pos"], "kind").filter("kind <> 'same'")
+    placed = numbered.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys, "run").orderBy("pos")))
+    gone = placed.filter("kind = 'del'").select(*keys, (F.col("run") + 1).alias("run"), "_nth", "old_no", F.col("value").alias("old"))
+    come = placed.filter("kind = 'add'").select(*keys, "run", "_nth", "new_no", F.col("value").alias("new"))
+    return gone.join(come, [*keys, "run", "_nth"]).select(*keys, "old_no", "new_no", "old", "new")
 
 
 def edit_scripts(pairs: DataFrame, keys: dict[str, str], old: str, new: str) -> DataFrame:

@@ -9,7 +9,7 @@ from corvane.operators.graph import closure, connected_components
 from corvane.operators.matching import bigram_bags, copies_of, dice_pairs, greedy_pairs, snapshot_diff
 from corvane.operators.ranking import as_of, keep_best, runs, top_k
 from corvane.operators.scoring import level, rolled_up, weighted_score
-from corvane.operators.sequences import edit_scripts, hunks, word_diffs
+from corvane.operators.sequences import edit_scripts, hunks, replaced_lines, word_diffs
 from corvane.plans.registry import query, read
 from corvane.scratch import materialise
 
@@ -240,3 +240,14 @@ def turn_word_diffs(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = read(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("new"), F.lag("text").over(w).alias("old"))
     return word_diffs(turns, {"conv_id": "long", "turn": "long"}, "old", "new")
+
+
+@query()
+def replaced_line_diffs(spark, d):
+    """Of the lines that a turn has in place of the turn before it, the k-th of a stretch with the k-th, word by word."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    turns = read(spark, d, "conversations").select("conv_id", "turn", lines.alias("new"), F.lag(lines).over(w).alias("old"))
+    steps = materialise(edit_scripts(turns, {"conv_id": "long", "turn": "long"}, "old", "new"))
+    pairs = materialise(replaced_lines(steps, ["conv_id", "turn"]))
+    return word_diffs(pairs, {"conv_id": "long", "turn": "long", "old_no": "int", "new_no": "int"}, "old", "new")

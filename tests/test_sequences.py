@@ -2,10 +2,11 @@
 
 import random
 from functools import lru_cache
+from itertools import groupby
 
 from corvane.operators.graph import closure
 from corvane.operators.matching import greedy_pairs
-from corvane.operators.sequences import edit_script, edit_scripts, word_diff, word_diffs
+from corvane.operators.sequences import edit_script, edit_scripts, replaced_lines, word_diffs
 
 
 def common(a, b):
@@ -52,14 +53,18 @@ def by_whole_table(old, new):
 
 
 def test_edit_scripts_choose_deletions_first():
+    """Step by step: what both begin and end with is kept, and the rest between follows the definition."""
     rng = random.Random(8)
-    for size in (1, 2, 7, 40, 90):
-        for _ in range(12):
+    for size in (1, 2, 3, 7, 40, 90):
+        for _ in range(30):
             old, new = ([rng.choice("abcdefg") for _ in range(rng.randrange(size + 1))] for _ in range(2))
-            assert len(list(edit_script(old, new))) == len(by_whole_table(old, new))
-            middle = [*"xy", *old, "z"], [*"xy", *new, "z"]
-            assert [s[0] for s in edit_script(*middle)].count("same") == [s[0] for s in by_whole_table(*middle)].count("same")
-    assert list(edit_script(list("abc"), list("xbyc"))) == by_whole_table(list("abc"), list("xbyc"))
+            head = next((k for k, (x, y) in enumerate(zip(old, new)) if x != y), min(len(old), len(new)))
+            tail = next((k for k, (x, y) in enumerate(zip(old[head:][::-1], new[head:][::-1])) if x != y), min(len(old), len(new)) - head)
+            middle = by_whole_table(old[head : len(old) - tail], new[head : len(new) - tail])
+            want = [("same", k, k, old[k]) for k in range(head)]
+            want += [(kind, None if i is None else i + head, None if j is None else j + head, v) for kind, i, j, v in middle]
+            want += [("same", len(old) - k, len(new) - k, old[-k]) for k in range(tail, 0, -1)]
+            assert list(edit_script(old, new)) == want
 
 
 def test_long_texts_are_compared_as_short_ones():
@@ -72,15 +77,49 @@ def test_long_texts_are_compared_as_short_ones():
     assert sum(k == "same" for k, *_ in steps) == len(new) - new.count(-1) and [v for k, _, _, v in steps if k != "add"] == old
 
 
-def test_word_diff(spark):
-    old, new, alike = word_diff("int a = 1;", "int b = 1;")
-    assert old == [("int ", False), ("a", True), (" = 1;", False)] and new == [("int ", False), ("b", True), (" = 1;", False)]
-    assert alike == 12 / 14
-    assert word_diff("a  b", "a b")[0] == [("a  b", False)] and word_diff("", "") == ([], [], 1.0) and word_diff("aé", "")[2] == 0
-    rows = spark.createDataFrame([(1, "one two", "one three"), (2, "abc", "xyz"), (3, None, None)], "k long, o string, n string")
-    got = {r.k: r for r in word_diffs(rows, {"k": "long"}, "o", "n").collect()}
-    assert [tuple(p) for p in got[1].new_parts] == [("one ", False), ("three", True)]
-    assert got[2].old_parts is None and got[2].similarity == 0 and got[3].similarity == 1 and got[3].new_parts == []
+def words_by_hand(old, new):
+    """Both sides' stretches and the share in common, from the script by the definition."""
+    import regex
+
+    cut = lambda t: regex.findall(r"\s+|[\p{L}\p{N}_$]+|[^\s\p{L}\p{N}_$]", t)
+    steps = list(edit_script(cut(old), cut(new)))
+    out = []
+    for gone in ("add", "del"):
+        flags = [(v, k != "same") for k, _, _, v in steps if k != gone]
+        for _ in range(2):
+            grouped = [(c, "".join(v for v, _ in g)) for c, g in groupby(flags, key=lambda x: x[1])]
+            flags = [(t, c and not t.isspace()) for c, t in grouped]
+        out.append([(t, c) for t, c in flags])
+    size = lambda t: len("".join(t.split()))
+    total = size(old) + size(new)
+    return *out, 2 * sum(size(v) for k, _, _, v in steps if k == "same") / total if total else 1.0
+
+
+def test_word_diffs(spark):
+    rng = random.Random(4)
+    rows = [("int a = 1;", "int b = 1;"), ("one two", "one three"), ("abc", "xyz"), (None, None), ("a  b", "a b"), ("aé", ""), (" ", "\t"), ("x y", "x  z y"), ("\u00a0a", "a")]
+    rows += [tuple("".join(rng.choice(["a", "b1", " ", "  ", ";", "é_", "(", "\t"]) for _ in range(rng.randrange(14))) for _ in range(2)) for _ in range(60)]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, o string, n string")
+    got = {r.k: r for r in word_diffs(frame, {"k": "long"}, "o", "n").collect()}
+    assert len(got) == len(rows)
+    for k, (o, n) in enumerate(rows):
+        old, new, alike = words_by_hand(o or "", n or "")
+        assert got[k].similarity == alike
+        if alike >= 0.35:
+            assert ([tuple(p) for p in got[k].old_parts], [tuple(p) for p in got[k].new_parts]) == (old, new)
+        else:
+            assert got[k].old_parts is None and got[k].new_parts is None
+    assert [tuple(p) for p in got[0].old_parts] == [("int ", False), ("a", True), (" = 1;", False)]
+    assert [tuple(p) for p in got[4].old_parts] == [("a  b", False)]
+    assert word_diffs(frame.limit(0), {"k": "long"}, "o", "n").count() == 0
+
+
+def test_replaced_lines_pair_in_order(spark):
+    """The k-th deletion of a stretch with the k-th addition after it; what is left over has no partner."""
+    rows = [(1, list("abcxd"), list("ABxyd")), (2, list("ab"), list("XYZ")), (3, list("ab"), list("b")), (4, list("a"), list("xa"))]
+    steps = edit_scripts(spark.createDataFrame(rows, "k long, o array<string>, n array<string>"), {"k": "long"}, "o", "n")
+    got = sorted((r.k, r.old_no, r.new_no, r.old, r.new) for r in replaced_lines(steps, ["k"]).collect())
+    assert got == [(1, 0, 0, "a", "A"), (1, 1, 1, "b", "B"), (2, 0, 0, "a", "X"), (2, 1, 1, "b", "Y")]
 
 
 def test_edit_scripts_of_rows(spark):
