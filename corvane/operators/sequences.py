@@ -74,8 +74,8 @@ def word_diffs(pairs: DataFrame, keys: dict[str, str], old: str, new: str, least
 
     A part is a stretch of text and whether it changed; changed stretches of white space alone count as unchanged. Lines are as
     alike as the share of their characters, white space left out, that both have in common; two lines without such characters
-    are the same. Null lines are empty. ``keys`` must tell rows apart: steps are told apart by them, and a shuffle by them
-    brings the steps of a line together again.
+    are the same. Null lines are empty. ``keys`` must tell rows apart, and not be named as columns of scripts are: a shuffle by
+    them brings the steps of a line together again.
     """
     tokens = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0))
     named = list(keys)

@@ -249,5 +249,5 @@ def replaced_line_diffs(spark, d):
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     turns = read(spark, d, "conversations").select("conv_id", "turn", lines.alias("new"), F.lag(lines).over(w).alias("old"))
     steps = materialise(edit_scripts(turns, {"conv_id": "long", "turn": "long"}, "old", "new"))
-    pairs = materialise(replaced_lines(steps, ["conv_id", "turn"]))
-    return word_diffs(pairs, {"conv_id": "long", "turn": "long", "old_no": "int", "new_no": "int"}, "old", "new")
+    pairs = materialise(replaced_lines(steps, ["conv_id", "turn"]).withColumnsRenamed({"old_no": "old_line", "new_no": "new_line"}))
+    return word_diffs(pairs, {"conv_id": "long", "turn": "long", "old_line": "int", "new_line": "int"}, "old", "new")
