@@ -11,7 +11,10 @@ without a winning path keep their own choice.
 What isn't article: by element (menus, headers outside an article, footers, asides, scripts, styles, buttons, the head), by
 role, or by name: a whole class or id with a word such as sidebar in it, not one that says of a page that it has a sidebar.
 What is only named so, and forms, count as article if they hold most of the page's text and its heading, few links and few
-fields; reader comments never do. Elements that HTML closes by itself (p, li, dd, dt, td, tr, option) are closed.
+fields; what is named as reader comments only if it holds the page's first heading too. Tools make ids from headings, so ids of
+sections, headings, paragraphs and the like say nothing, unless the whole id is such a word and most of the text is links; nor does
+any id that is its first heading's text. Classes of headings and paragraphs are read as whole names. Elements that HTML
+closes by itself (p, li, dd, dt, td, tr, option) are closed.
 
 Line breaks end a block; character references are decoded; white space in a block becomes one space.
 
@@ -53,7 +56,11 @@ NOISE = ADVERTS | COMMENTS | frozenset(
 )
 #: A name with one of these before the word, or one of those at its end, speaks of the page.
 BEFORE = frozenset("has have with without no not non is".split())
-AT_END = frozenset("layout page free template theme enabled article story post".split())
+OF_PAGE = frozenset("layout page free template theme enabled".split())
+AT_END = OF_PAGE | frozenset("article story post".split())
+#: Headings, and elements of running text whose ids are made from it.
+TITLES = frozenset("h1 h2 h3 h4 h5 h6".split())
+OF_TEXT = TITLES | frozenset("p li dt dd pre blockquote figure figcaption caption table td th section".split())
 #: Words that count as a whole name only, and those before "header" that make it an article's.
 WHOLE = frozenset("widget widgets hidden".split())
 OF_ARTICLE = frozenset("post entry article story content".split())
@@ -79,7 +86,7 @@ SEMANTIC, ENTERED, WITH_HEADING = 0.25, 2 / 3, 0.8
 #: Least characters for each field of a form that counts as article; of a container named otherwise that does, and its share of
 #: the page's text where an article, main element or first heading lies elsewhere.
 FIELD_CHARS, LIFTED_CHARS, ALONE = 100, 200, 0.9
-PLAIN, NAMED, FORM, ADVERT, COMMENT, NEVER = range(6)
+PLAIN, LINKS, NAMED, FORM, ADVERT, COMMENT, NEVER = range(7)
 
 
 class Element(NamedTuple):
@@ -87,6 +94,7 @@ class Element(NamedTuple):
     path: str
     kind: int
     parent: int
+    name: str = ""  # its id, where nothing else speaks against it
 
 
 class Page:
@@ -96,10 +104,11 @@ class Page:
         self.elements: list[Element] = []
         self.stack: list[int] = []
         self.fields: Counter[int] = Counter()
-        self.raw: list[tuple[int, str, int, bool]] = []
+        self.raw: list[tuple[int, str, int, bool, bool]] = []
         self.parts: list[str] = []
         self.links = 0
-        self.in_link = self.in_heading = False
+        self.in_link = self.in_heading = self.in_title = False
+        self.name = ""
         at = 0
         for m in _TOKEN.finditer(source):
             if m.start() > at:
@@ -127,17 +136,17 @@ class Page:
         if self.parts:
             text = " ".join(html.unescape("".join(self.parts)).split())
             if text:
-                self.raw.append((self.stack[-1] if self.stack else -1, text, self.links, self.in_heading))
+                self.raw.append((self.stack[-1] if self.stack else -1, text, self.links, self.in_heading, self.in_title))
         self.parts, self.links = [], 0
 
     def _field(self) -> None:
         self.fields.update(k for k in self.stack if self.elements[k].kind == FORM)
 
-    def _push(self, tag: str, path: str, kind: int) -> None:
+    def _push(self, tag: str, path: str, kind: int, name: str = "") -> None:
         parent = self.stack[-1] if self.stack else -1
         if parent >= 0 and self.elements[parent].kind == NEVER:
             kind = NEVER
-        self.elements.append(Element(tag, path, kind, parent))
+        self.elements.append(Element(tag, path, kind, parent, name))
         self.stack.append(len(self.elements) - 1)
 
     def _open(self, tag: str, attributes: str) -> None:
@@ -157,14 +166,14 @@ class Page:
             here = self.elements[self.stack[-1]].path if self.stack else ""
         if tag in VOID:
             return
-        self.in_heading = tag == "h1"
+        self.in_heading, self.in_title = tag == "h1", tag in TITLES
         kind = self._kind(tag, attributes, NOISE)
         if tag in CONTAINERS or tag in SILENT:
             self.in_link = False
             classes = ".".join(sorted({w.lower() for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() == "class" for w in re.findall(r"[^\W\d]+", a or b or c)})) if attributes else ""
             own = f"{tag}.{classes}" if classes else tag
             here = f"{here}>{own}" if here else own
-        self._push(tag, here, kind)
+        self._push(tag, here, kind, self.name if kind in (NAMED, ADVERT, COMMENT) else "")
 
     def _inside(self, *tags: str) -> bool:
         return any(self.elements[k].tag in tags for k in self.stack)
@@ -172,7 +181,7 @@ class Page:
     def _kind(self, tag: str, attributes: str, words: frozenset) -> int:
         if tag in SILENT or (tag == "header" and not self._inside("article", "main")):
             return NEVER
-        found = FORM if tag == "form" else PLAIN
+        found, of_id, self.name = FORM if tag == "form" else PLAIN, PLAIN, ""
         for name, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
             name, value = name.lower(), a or b or c
             if words is ADVERTS and name not in ("class", "id"):
@@ -189,9 +198,15 @@ class Page:
                     allowed = COMMENTS
                 elif words is NOISE and self._inside("article", "main"):
                     allowed = NOISE - {"header", "tags"}
+                if name == "id":
+                    of_id, self.name = (LINKS if value.lower() in allowed else PLAIN) if tag in OF_TEXT else max(PLAIN, *(named(t, allowed) for t in value.split())) if value.strip() else PLAIN, value
+                    continue
                 for token in value.split():
-                    found = max(found, named(token, allowed))
-        return found
+                    if tag not in TITLES and tag != "p" or token.lower() in allowed:
+                        found = max(found, named(token, allowed))
+        if found != PLAIN:
+            self.name = ""
+        return max(found, of_id)
 
     def _close_open(self, tags: frozenset, until: frozenset) -> None:
         for k in range(len(self.stack) - 1, -1, -1):
@@ -207,7 +222,7 @@ class Page:
             self.in_link = False
         if tag in BREAKS or tag in SILENT:
             self._flush()
-            self.in_heading = False
+            self.in_heading = self.in_title = False
         for k in range(len(self.stack) - 1, -1, -1):
             found = self.elements[self.stack[k]].tag
             if found == tag:
@@ -218,10 +233,17 @@ class Page:
 
     def _sift(self) -> None:
         """Leave out the blocks that aren't article: of elements that never are, and of those named so that don't hold the page's text."""
-        chars, links, marked = Counter(), Counter(), Counter()
-        for at, text, linked, heading in self.raw:
+        kinds = self._without_own_headings()
+        chars, links, marked, whole, headed = Counter(), Counter(), Counter(), Counter(), Counter()
+        for at, text, linked, heading, _ in self.raw:
             chain = list(self._chain(at))
-            if any(self.elements[k].kind in (COMMENT, NEVER) for k in chain):
+            if any(kinds[k] == NEVER for k in chain):
+                continue
+            for k in (-1, *chain):
+                whole[k] += len(text)
+                headed[k] += heading
+            # A wrapper of the whole page may be named for the comments that it holds too.
+            if any(kinds[k] == COMMENT and not headed[k] for k in chain):
                 continue
             marks = sum(self.elements[k].tag in ("article", "main") for k in chain) + heading
             for k in (-1, *chain):
@@ -232,15 +254,30 @@ class Page:
         def holds_article(k: int, kind: int) -> bool:
             if 2 * links[k] >= chars[k] or chars[k] < FIELD_CHARS * self.fields[k]:
                 return False
+            if kind == LINKS:
+                return True
+            if kind == COMMENT:
+                return headed[k] > 0 and 2 * whole[k] > whole[-1]
             if marked[k]:
                 return 2 * chars[k] > chars[-1]
             return kind != ADVERT and chars[k] >= LIFTED_CHARS and chars[k] > (ALONE if marked[-1] else 0.5) * chars[-1]
 
         silent: list[bool] = []
         for k, e in enumerate(self.elements):
-            out = e.kind in (COMMENT, NEVER) or (e.kind != PLAIN and not holds_article(k, e.kind))
+            out = kinds[k] == NEVER or (kinds[k] != PLAIN and not holds_article(k, kinds[k]))
             silent.append(out or (e.parent >= 0 and silent[e.parent]))
-        self.blocks = [(self.elements[at].path if at >= 0 else "", text, linked, heading) for at, text, linked, heading in self.raw if at < 0 or not silent[at]]
+        self.blocks = [(self.elements[at].path if at >= 0 else "", text, linked, heading) for at, text, linked, heading, _ in self.raw if at < 0 or not silent[at]]
+
+    def _without_own_headings(self) -> list[int]:
+        """The elements' kinds, but plain for those that only an id speaks against which is the text of the heading they begin with."""
+        kinds, begun = [e.kind for e in self.elements], set()
+        for at, text, _, _, title in self.raw:
+            for k in self._chain(at):
+                if k not in begun:
+                    begun.add(k)
+                    if title and self.elements[k].name and slug(self.elements[k].name) == slug(text):
+                        kinds[k] = PLAIN
+        return kinds
 
     def _chain(self, at: int) -> Iterator[int]:
         while at >= 0:
@@ -290,6 +327,11 @@ class Page:
         return "\n".join(t for p, t, _, _ in self.blocks if not path or p == path or p.startswith(inner))
 
 
+def slug(text: str) -> str:
+    """Letters and digits of a text in lower case, as ids made from headings have them."""
+    return "".join(c for c in text.lower() if c.isalnum())
+
+
 def named(token: str, words: frozenset) -> int:
     """What a class or id says of its element: PLAIN, NAMED, ADVERT or COMMENT."""
     if token.lower() in WHOLE and words is not ADVERTS:
@@ -298,7 +340,7 @@ def named(token: str, words: frozenset) -> int:
     for k, part in enumerate(parts):
         if part in words:
             if part in COMMENTS:
-                return COMMENT if not BEFORE & set(parts[:k]) else PLAIN
+                return PLAIN if BEFORE & set(parts[:k]) or (parts[-1] in OF_PAGE and k < len(parts) - 1) else COMMENT
             if BEFORE & set(parts[:k]) or (parts[-1] in AT_END and k < len(parts) - 1) or (part == "header" and OF_ARTICLE & set(parts[:k])):
                 return PLAIN
             return ADVERT if part in ADVERTS else NAMED

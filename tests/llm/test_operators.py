@@ -515,6 +515,15 @@ ARTICLES = {
     "<article><table><tr><td>a<td>b<tr><td class=sidebar>c<td>d</table></article>": "a\nb\nd",
     f"<article>{'<p>x' * 30_000}</article>": "\n".join(["x"] * 30_000),
     f'<article><p hidden>secret<p>{LONG}': LONG,
+    f'<article><h1>T</h1><section id="discussion"><h2>Discussion</h2><p>{LONG}</section><section id="related-work"><p>Earlier</section><section id="search-algorithms"><p>Found</section></article>': f"T\nDiscussion\n{LONG}\nEarlier\nFound",
+    f'<article><h2 id="social-impact">Impact</h2><p>a<h2 id="rail-transport">Rail</h2><p>b<h3 id="share-prices">Prices</h3><p>c<h2 id="discussion">Talk</h2><p>{LONG}</article>': f"Impact\na\nRail\nb\nPrices\nc\nTalk\n{LONG}",
+    f'<article><p class="note-comment">Note<p id="promotions-and-demotions">Up and down<p>{LONG}</article>': f"Note\nUp and down\n{LONG}",
+    f'<article><h1>T</h1><section id="results-and-discussion"><p>{LONG}</section></article>': f"T\n{LONG}",
+    f'<div class="post-reply-page"><h1>T</h1><p>{LONG}</p></div>': f"T\n{LONG}",
+    f'<div class="discussion-wrap"><h1>T</h1><p>{LONG}</p><div class="comments"><p>said so</div></div>': f"T\n{LONG}",
+    f'<div class="main"><h1>T</h1><div id="Related_tags"><h2>Related tags</h2><p>{LONG}</div><div id="related"><a href=x>more and more</a></div></div>': f"T\nRelated tags\n{LONG}",
+    f'<article><p>{LONG}<section id="related"><h2>Related</h2><ul><li><a href=x>one of these</a><li><a href=y>another of those</a></ul></section><div id="comments"><h2>Two readers said</h2><p>yes</div></article>': LONG,
+    f'<article><p>{LONG}<div class="newsletter"><h3>Newsletter</h3><p>Get our mail</div></article>': LONG,
 }
 
 
@@ -536,7 +545,7 @@ def test_html_hosts_with_several_templates(spark):
     assert html_rows(spark, pages) == texts
 
 
-def test_html_of_all_pages_is_their_article():
+def test_html_of_all_pages_is_their_article(spark):
     """Against a plain reader of the given template: the blocks in the article element."""
     from html.parser import HTMLParser
 
@@ -568,9 +577,12 @@ def test_html_of_all_pages_is_their_article():
             if self.inside and not self.skip:
                 self.parts.append(data)
 
-    for source in pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html:
+    want = {}
+    for page_id, source in pd.read_parquet("/root/testdata/sf0.01/pages.parquet")[["page_id", "html"]].itertuples(index=False):
         reader = Reader()
         reader.feed(source)
         reader.flush()
-        page = html_text.Page(source)
-        assert page.text(page.choice()) == "\n".join(reader.blocks)
+        want[page_id] = "\n".join(reader.blocks)
+    got = html_text.op8_html_text(spark, "/root/testdata/sf0.01")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema] == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    assert {r.page_id: (r.text, r.n_chars) for r in got.collect()} == {k: (t, len(t)) for k, t in want.items()}
