@@ -60,33 +60,67 @@ def closure(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return spark.read.schema(last.schema).parquet(*paths)
 
 
+def _counted(df: DataFrame, which: str = "true") -> tuple[DataFrame, int]:
+    """A table, written, and how many of its rows ``which`` holds for, by the same job."""
+    seen = Observation()
+    table = materialise(df.observe(seen, F.count_if(F.expr(which)).alias("n")))
+    return table, seen.get["n"]
+
+
+def _peeled(edges: DataFrame, source: str, target: str) -> tuple[list[DataFrame], int]:
+    """The edges ``source, target`` left after each round that drops those from vertices which no edge leads to, and how many are last.
+
+    The first table is all edges; rounds end when they drop nothing, so what is last lies on cycles or behind them. A round is
+    one job.
+    """
+    left, n = _counted(edges)
+    rounds, before = [left], None
+    while n and n != before:
+        left, before = rounds[-1], n
+        met = left.select(F.col(target).alias(source)).distinct()
+        after, n = _counted(left.join(met, source, "left_semi").select(source, target))
+        rounds.append(after)
+    return rounds, n
+
+
+def _core(edges: DataFrame) -> tuple[DataFrame, int]:
+    """The edges ``u, v`` that lie on cycles or between them, and their number; the rest can't be part of a component of two vertices."""
+    forth, _ = _peeled(edges, "u", "v")
+    back, n = _peeled(forth[-1], "v", "u")
+    for old in (*forth, *back[:-1]):
+        discard(old)
+    return back[-1].select("u", "v"), n
+
+
 def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, component``: of each vertex on an edge the least vertex of its strongly connected component.
 
-    Each round colours every vertex with the greatest vertex that reaches it; a vertex of its own colour is a pivot, and those of
-    its colour that reach it back are its component. Colours part components, so edges between colours go, as do the
-    components found, until no edge is left; all pivots of a round work at once. Waves run as many steps as their longest
-    way; each writes its table and deletes the one before.
+    Edges outside of cycles are peeled off. Each round then colours every vertex with the greatest vertex that reaches it; a
+    vertex of its own colour is a pivot, and those of its colour that reach it back are its component. Colours part components,
+    so edges between colours go, as do the components found, until no edge is left; all pivots of a round work at once. Waves
+    and peeling run as many steps as their longest way, a job each; tables that are done with are deleted.
     """
     spark = edges.sparkSession
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     vertices = materialise(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    left = materialise(pairs.filter("u <> v").distinct())
+    left, n = _core(pairs.filter("u <> v").distinct())
     found = []
-    while not left.isEmpty():
+    while n:
+        left = materialise(left)
         colour = _spread(left, left.select(F.explode(F.array("u", "v")).alias("id")).distinct().withColumn("c", F.col("id")))
-        alike = left.join(colour.withColumnRenamed("id", "u").withColumnRenamed("c", "cu"), "u").join(colour.withColumnRenamed("id", "v").withColumnRenamed("c", "cv"), "v")
+        alike = left.join(colour.withColumnsRenamed({"id": "u", "c": "cu"}), "u").join(colour.withColumnsRenamed({"id": "v", "c": "cv"}), "v")
         inside = materialise(alike.filter("cu = cv").select("u", "v", "cu"))
-        back = materialise(colour.filter("id = c"))
-        wave, waves = back, [back]
-        while not wave.isEmpty():
-            known = spark.read.schema(back.schema).parquet(*(w.scratch_path for w in waves))
+        wave, met = _counted(colour.filter("id = c").select("id", "c"))
+        waves = [wave]
+        while met:
+            known = spark.read.schema(wave.schema).parquet(*(w.scratch_path for w in waves))
             step = inside.join(wave.select(F.col("id").alias("v"), F.col("c").alias("cu")), ["v", "cu"]).select(F.col("u").alias("id"), F.col("cu").alias("c")).distinct()
-            wave = materialise(step.join(known, "id", "left_anti"))
+            wave, met = _counted(step.join(known, "id", "left_anti"))
             waves.append(wave)
-        done = materialise(spark.read.schema(back.schema).parquet(*(w.scratch_path for w in waves)))
+        done = materialise(spark.read.schema(wave.schema).parquet(*(w.scratch_path for w in waves)))
         found.append(done)
-        after = materialise(inside.join(done.select(F.col("id").alias("u")), "u", "left_anti").join(done.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v"))
+        rest = inside.join(done.select(F.col("id").alias("u")), "u", "left_anti").join(done.select(F.col("id").alias("v")), "v", "left_anti").select("u", "v")
+        after, n = _core(rest)
         for old in (left, colour, inside, *waves):
             discard(old)
         left = after
@@ -100,12 +134,12 @@ def strong_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame
 
 def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``id, c``: the greatest ``c`` of the vertices that reach each vertex, its own included. Only vertices that rose go on."""
-    colour = materialise(start)
-    risen = colour
-    while not risen.isEmpty():
-        offered = edges.join(risen.select(F.col("id").alias("u"), "c"), "u").groupBy(F.col("v").alias("id")).agg(F.max("c").alias("new"))
-        after = materialise(colour.join(offered, "id", "left").select("id", F.greatest("c", "new").alias("c"), (F.coalesce(F.col("new") > F.col("c"), F.lit(False))).alias("rose")))
-        risen = after.filter("rose").select("id", "c")
+    colour = materialise(start.withColumn("rose", F.lit(True)))
+    rose = 1
+    while rose:
+        offered = edges.join(colour.filter("rose").select(F.col("id").alias("u"), "c"), "u").groupBy(F.col("v").alias("id")).agg(F.max("c").alias("new"))
+        higher = F.coalesce(F.col("new") > F.col("c"), F.lit(False))
+        after, rose = _counted(colour.join(offered, "id", "left").select("id", F.greatest("c", "new").alias("c"), higher.alias("rose")), "rose")
         discard(colour)
         colour = after
     return colour
@@ -114,24 +148,23 @@ def _spread(edges: DataFrame, start: DataFrame) -> DataFrame:
 def levels(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id, level``: the most edges on a way that ends at each vertex of an acyclic edge table, by rounds of Kahn's algorithm.
 
-    Each round takes all vertices that no edge leads to any more, and drops their edges. Raises if edges form a cycle.
+    Each round drops the edges from vertices that no edge leads to any more; a vertex is of the level of the last round in which
+    an edge led to it. Raises if edges form a cycle.
     """
-    spark = edges.sparkSession
-    left = materialise(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct())
-    waiting = materialise(left.select(F.explode(F.array("u", "v")).alias("id")).distinct())
-    empty = waiting.withColumn("level", F.lit(0))
-    taken: list[str] = []
-    while not waiting.isEmpty():
-        ready = materialise(waiting.join(left.select(F.col("v").alias("id")), "id", "left_anti").withColumn("level", F.lit(len(taken))))
-        if ready.isEmpty():
-            raise ValueError("the edges form a cycle")
-        taken.append(ready.scratch_path)
-        fewer = materialise(left.join(ready.select(F.col("id").alias("u")), "u", "left_anti"))
-        rest = materialise(waiting.join(ready, "id", "left_anti"))
-        discard(left)
-        discard(waiting)
-        left, waiting = fewer, rest
-    return spark.read.schema(empty.schema).parquet(*taken) if taken else empty
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct()
+    rounds, n = _peeled(pairs, "u", "v")
+    if n:
+        raise ValueError("the edges form a cycle")
+    spark, paths = edges.sparkSession, [r.scratch_path for r in rounds]
+    # The number of a round is where its path stands in the list.
+    numbers = F.create_map(*(F.lit(x) for k, p in enumerate(paths) for x in (p.rsplit("/", 1)[-1], k + 1)))
+    name = F.element_at(F.split(F.input_file_name(), "/"), -2)
+    every = spark.read.schema(rounds[0].schema).parquet(*paths).select("u", "v", F.element_at(numbers, name).alias("n"))
+    ends = every.select(F.col("v").alias("id"), F.col("n").alias("level")).union(every.filter("n = 1").select(F.col("u").alias("id"), F.lit(0).alias("level")))
+    out = materialise(ends.groupBy("id").agg(F.max("level").alias("level")))
+    for old in rounds:
+        discard(old)
+    return out
 
 
 def levels_of_cyclic(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

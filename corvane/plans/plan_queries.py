@@ -18,18 +18,17 @@ from corvane.streaming.marks import current, effective, follow, patches
 _FOLLOWERS = """f AS (SELECT l_suppkey AS s, lead(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey) AS t FROM lineitem),
   c AS (SELECT least(s, t) AS lo, greatest(s, t) AS hi, sum(CASE WHEN s < t THEN 1 ELSE -1 END) AS d FROM f WHERE t IS NOT NULL AND s <> t GROUP BY ALL),
   w AS (SELECT CASE WHEN d > 0 THEN lo ELSE hi END AS u, CASE WHEN d > 0 THEN hi ELSE lo END AS v, abs(d) AS w FROM c WHERE d <> 0),
-  e AS (SELECT u, v FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY w DESC, v) AS r FROM w) WHERE r = 1 UNION SELECT u, v FROM (SELECT *, row_number() OVER (PARTITION BY v ORDER BY w DESC, u) AS r FROM w) WHERE r = 1)"""
+  e AS (SELECT u, v FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY w DESC, v) AS r FROM w) WHERE r = 1)"""
 
 
 def followers(spark, d):
-    """``u, v``: of each supplier the one that follows it most, net, in the shipments of a part, and the one that it follows most."""
+    """``u, v``: of each supplier the one that follows it most, net, in the shipments of a part."""
     after = F.lead("l_suppkey").over(Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey"))
     pairs = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), after.alias("t")).filter("t IS NOT NULL AND s <> t")
     net = pairs.groupBy(F.least("s", "t").alias("lo"), F.greatest("s", "t").alias("hi")).agg(F.sum(F.when(F.col("s") < F.col("t"), 1).otherwise(-1)).alias("d")).filter("d <> 0")
     up = F.col("d") > 0
     edges = net.select(F.when(up, F.col("lo")).otherwise(F.col("hi")).alias("u"), F.when(up, F.col("hi")).otherwise(F.col("lo")).alias("v"), F.abs("d").alias("w"))
-    out, back = keep_best(edges, ["u"], [F.desc("w"), F.col("v")]), keep_best(edges, ["v"], [F.desc("w"), F.col("u")])
-    return out.select("u", "v").union(back.select("u", "v")).distinct()
+    return keep_best(edges, ["u"], [F.desc("w"), F.col("v")]).select("u", "v")
 
 
 @query(f"""WITH RECURSIVE {_FOLLOWERS}, r(a, b) AS (SELECT u, v FROM e UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u),
