@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.scratch import materialise, scratch_dir
 
-__all__ = ["SPACES", "SPACE_CLASS", "local_or_remote", "materialise", "scratch_dir", "table", "text_of", "words_of"]
+__all__ = ["SPACES", "SPACE_CLASS", "local_or_remote", "materialise", "row_text", "scratch_dir", "table", "text_of", "words_of"]
 
 #: White space that separates words, as a Java character class body and as characters.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -25,6 +25,11 @@ def text_of(column: str | Column = "text") -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 
 
+def row_text(row: str = "_row") -> Column:
+    """A row in a struct as text, to order rows by that have columns without an order, such as maps."""
+    return F.to_json(row, {"ignoreNullFields": "false"})
+
+
 def words_of(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a non-null text as an array; empty for a text without words."""
     trimmed = F.btrim(text, F.lit(SPACES))

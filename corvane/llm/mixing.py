@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import SPACE_CLASS, SPACES, materialise, table, text_of
+from .base import SPACE_CLASS, SPACES, materialise, row_text, table, text_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -172,7 +172,8 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def take_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents, each as often as the mix takes it. Documents alike in all these columns share their copies.
+    """The documents, each as often as the mix takes it. Documents alike in id, source and text share their copies, in the order of
+    their rows as text.
 
     A row's own columns travel in one struct, so none of their names can clash.
     """
@@ -182,7 +183,7 @@ def take_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     sized = materialise(docs.select("doc_id", source_key().alias("key"), word_count(text_of()).alias("size"), F.xxhash64("text", "doc_id").alias("tie"), doc.alias("_doc")))
     mixed = mix_sizes(sized).groupBy(F.col("key").alias("_key"), "_doc", F.col("tie").alias("_tie")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
     rows = keyed.join(mixed.hint("merge"), by)
-    many = rows.filter("_rows > 1").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_row")))
+    many = rows.filter("_rows > 1").withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(row_text())))
     each = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_k") <= F.pmod("_copies", "_rows"), 1).otherwise(0)
     shared = rows.filter("_rows = 1").select("_row", "_copies").unionByName(many.select("_row", each.alias("_copies")))
     return shared.filter("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("_row.*")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.graph import connected_components
 
-from .base import materialise, table, text_of
+from .base import materialise, row_text, table, text_of
 from .hashing import mix64, window_hashes, word_hashes
 from .tokens import slices
 
@@ -231,11 +231,11 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without near copies: of each class one row, the first by id (null last), then by text."""
+    """The documents without near copies: of each class one row, the first by id (null last), then by text, then by the row as text."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "content")).alias("f")
     least = near_duplicates(docs).groupBy("component").agg(first).select(F.col("f.id").alias("_id"), F.col("f.content").alias("_content"))
     # A row's own columns travel in one struct, so none of their names can clash.
     rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_doc"), F.md5(text_of()).alias("_text"))
     # Ids take part in the join, so that the copies of a text are dealt out.
     kept = rows.join(least, (F.col("_text") == F.col("_content")) & F.col("_doc").eqNullSafe(F.col("_id"))).select("_row", "_text")
-    return kept.dropDuplicates(["_text"]).select("_row.*")
+    return kept.groupBy("_text").agg(F.min_by("_row", row_text()).alias("_row")).select("_row.*")

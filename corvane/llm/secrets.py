@@ -4,8 +4,8 @@ The patterns give spans by kind (assign, access, hex), leftmost and non-overlapp
 runs of ``MIN_RUN`` or more token characters, a letter among them, that touch no pattern span. Two first-order Markov chains
 over characters, upper and lower case apart, are trained from labelled samples. Random: ``RANDOM_STRINGS`` digests of numbers
 written in each of several alphabets, as keys and tokens are, and the values that the patterns found in the corpus. Ordinary:
-words and identifiers of letters in at most ``ORDINARY_DOCUMENTS`` documents, those with the least hash of their text, as they
-stand, joined to identifiers and in capitals. A candidate is a secret if its log-likelihood ratio reaches ``MIN_TOTAL`` and ``MIN_MEAN`` a
+words and identifiers in at most ``ORDINARY_DOCUMENTS`` documents, those with the least hash of their text, as they stand,
+joined to identifiers and paths, with numbers, and in capitals. A candidate is a secret if its log-likelihood ratio reaches ``MIN_TOTAL`` and ``MIN_MEAN`` a
 transition; in whole thousandths of a nat, so that sums don't depend on their order.
 
 Places are code points, ends exclusive. They come from the pieces between matches: the pattern splits the text, and a match
@@ -40,7 +40,7 @@ RANDOM_STRINGS, ORDINARY_DOCUMENTS = 1_000, 500
 #: States of the chains; any other character is the last state.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
-MIN_TOTAL, MIN_MEAN = 12_000, 700
+MIN_TOTAL, MIN_MEAN = 30_000, 2_000
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
@@ -129,10 +129,22 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 
 
 def ordinary_strings(docs: DataFrame, n: int = ORDINARY_DOCUMENTS) -> DataFrame:
-    """``value``: words and identifiers of n documents, each also as two words joined by a capital, by a low line, and in capitals."""
+    """``value``: words and identifiers of n documents, each also joined to the next as names in code, files and links are.
+
+    Numbers of one or two digits stand in them where names have them: at the end, between words, after a capital.
+    """
     some = docs.select(text_of().alias("t")).orderBy(F.xxhash64("t"), "t").limit(n)
     words = F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))
-    joined = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(b.isNotNull(), F.array(F.concat(F.lower(a), F.initcap(b)), F.concat_ws("_", a, b), F.upper(F.concat(a, b)))))
+
+    def forms(a: Column, b: Column) -> Column:
+        number = F.pmod(F.xxhash64(a, b), F.lit(100)).cast("string")
+        low, high, title = F.lower, F.upper, F.initcap
+        return F.array(
+            F.concat(low(a), title(b)), F.concat(title(a), title(b), number), F.concat_ws("_", a, b), F.concat_ws("_", high(a), high(b), number), high(F.concat(a, b)),
+            F.concat_ws("/", low(a), F.concat(low(b), number)), F.concat(low(a), number, F.lit("/"), low(b)), F.concat_ws("-", low(a), number, low(b)), F.concat(F.substring(high(a), 1, 3), title(b)), F.concat(low(a), F.lit("="), low(b)),
+        )
+
+    joined = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda a, b: F.when(b.isNotNull(), forms(a, b)))
     listed = some.select(words.alias("w")).select(F.explode(F.concat("w", F.flatten(F.filter(joined, lambda x: x.isNotNull())))).alias("value"))
     return listed.groupBy("value").agg(F.lit(1).alias("one")).select("value")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import table, text_of
-from .tokens import chunks, slices, vocabulary_path
+from .tokens import CACHE_CHARS, chunks, slices, vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
@@ -88,7 +88,7 @@ class PieceCounter(dict):
 
     def __missing__(self, word: str) -> int:
         n = self.count(word if word.startswith(MARK) else MARK + word)
-        if self.room > 0:
+        if self.room > 0 and len(word) <= CACHE_CHARS:
             self.room -= 1
             self[word] = n
         return n

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Chunks a worker remembers (about 130 MB); later ones are encoded each time.
-CACHE_WORDS = 600_000
+#: Chunks a worker remembers, and the most characters of one (about 130 MB in all); others are encoded each time.
+CACHE_WORDS, CACHE_CHARS = 600_000, 32
 #: The id that ends each document.
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
@@ -79,7 +79,7 @@ class WordEncoder(dict):
             ids = self[chunk[:-1]] + (self[chunk[-1]] if len(chunk) > 1 else b"")
         else:
             ids = b"".join([self[p] if p.isalpha() else self._piece(p) for p in self.pieces(chunk)])
-        if self.room > 0:
+        if self.room > 0 and len(chunk) <= CACHE_CHARS:
             self.room -= 1
             self[chunk] = ids
         return ids
