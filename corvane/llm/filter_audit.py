@@ -18,6 +18,7 @@ other names are ignored.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from itertools import permutations
 
 import numpy as np
@@ -37,6 +38,8 @@ FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 100, 80, 10, "#$%&*|"
 #: Characters of a shard; one text may have more.
 SHARD_CHARS = 4_000_000
+#: Bytes that go to a Python task at once, or one shard.
+BATCH_BYTES = 8 << 20
 
 
 def _shards_of(batches, most: int):
@@ -191,8 +194,25 @@ def row_counts(matrix: DataFrame) -> DataFrame:
     return matrix.mapInArrow(run, f"row {kind}, n_words long, n_distinct long")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int):
+    """Jobs that are run inside hand rows to Python in batches of some ``size`` bytes: shards are long rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def failed_filters(docs: DataFrame) -> DataFrame:
-    """``doc_id, part, content, failed``: bits of the filters A to D that a document fails, and a digest of its text."""
+    """``doc_id, part, content, failed``: bits of the filters A to D that a document fails, and a digest of its text; written."""
+    with batches_of(docs.sparkSession, BATCH_BYTES):
+        return materialise(_failed(docs))
+
+
+def _failed(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text_of(), 256)).alias("content"), "text")
     counted = row_counts(term_matrix(named, ["doc_id", "part", "content"]))
     fails = [F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words"), F.col("row._capitals"), F.col("row._signs")]

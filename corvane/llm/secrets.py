@@ -40,7 +40,7 @@ RANDOM_STRINGS, ORDINARY_DOCUMENTS = 1_000, 500
 #: States of the chains; any other character is the last state.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1
-MIN_TOTAL, MIN_MEAN = 30_000, 2_000
+MIN_TOTAL, MIN_MEAN = 30_000, 1_800
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
