@@ -131,10 +131,11 @@ def random_strings(spark: SparkSession, n: int = RANDOM_STRINGS) -> DataFrame:
 def ordinary_strings(docs: DataFrame, n: int = ORDINARY_DOCUMENTS) -> DataFrame:
     """``value``: words and identifiers of n documents, each also joined to the next as names in code, files and links are.
 
-    Numbers of one or two digits stand in them where names have them: at the end, between words, after a capital.
+    Numbers of one or two digits stand in them where names have them: at the end, between words, after a capital. Runs that are
+    candidates themselves are left out: secrets among them would count as ordinary.
     """
     some = docs.select(text_of().alias("t")).orderBy(F.xxhash64("t"), "t").limit(n)
-    words = F.regexp_extract_all("t", F.lit(ORDINARY), F.lit(0))
+    words = F.regexp_extract_all(F.regexp_replace("t", CANDIDATE, " "), F.lit(ORDINARY), F.lit(0))
 
     def forms(a: Column, b: Column) -> Column:
         number = F.pmod(F.xxhash64(a, b), F.lit(100)).cast("string")
