@@ -37,7 +37,7 @@ from .tokens import slices
 FILTERS = "ABCDE"
 MIN_WORDS, DISTINCT_PERCENT, CAPITAL_PERCENT, SIGNS = 100, 80, 10, "#$%&*|"
 #: Characters of a shard; one text may have more.
-SHARD_CHARS = 4_000_000
+SHARD_CHARS = 3_000_000
 #: Bytes that go to a Python task at once, or one shard.
 BATCH_BYTES = 8 << 20
 
@@ -155,43 +155,55 @@ def term_ids(shards: DataFrame, buckets: int) -> DataFrame:
     return parts.select("shard", F.flatten(F.transform("parts", lambda p: F.transform(p["numbers"], lambda k: p["base"] + k))).alias("ids"))
 
 
+def _encoded(docs: DataFrame, keep: list[str], text: str, shard_chars: int) -> DataFrame:
+    """Shards' matrices beside the global numbers of their words."""
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = term_shards(docs, keep, buckets, text, shard_chars)
+    matrix = shards.filter("bucket IS NULL").select("shard", "indptr", "codes", "counts", "rows")
+    return matrix.join(term_ids(shards, buckets).hint("merge"), "shard", "left")
+
+
+def _sparse(batches):
+    """Of each shard: its number, where its rows begin, entries' global terms and counts, its documents."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            one = batch.slice(i, 1)
+            ids, codes = (pc.list_flatten(one.column(c)) for c in ("ids", "codes"))
+            yield one, (ids.take(codes) if len(ids) else pa.array([], pa.int64()))
+        pa.default_memory_pool().release_unused()
+
+
 def term_matrix(docs: DataFrame, keep: list[str], text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """The document-term matrix in compressed sparse rows: ``shard, indptr, terms, counts, rows``, a row for each shard.
 
     Entries indptr[i] to indptr[i + 1] are those of document rows[i]; terms number words globally.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = term_shards(docs, keep, buckets, text, shard_chars)
-    matrix = shards.filter("bucket IS NULL").select("shard", "indptr", "codes", "counts", "rows")
-    joined = matrix.join(term_ids(shards, buckets).hint("merge"), "shard", "left")
-    kind = matrix.schema["rows"].dataType.simpleString()
+    joined = _encoded(docs, keep, text, shard_chars)
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                ids, codes = (pc.list_flatten(one.column(c)) for c in ("ids", "codes"))
-                terms = ids.take(codes) if len(ids) else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([one.column("shard"), one.column("indptr"), _one(terms, pa.int64()), one.column("counts"), one.column("rows")], ["shard", "indptr", "terms", "counts", "rows"])
+        for one, terms in _sparse(batches):
+            yield pa.RecordBatch.from_arrays([one.column("shard"), one.column("indptr"), _one(terms, pa.int64()), one.column("counts"), one.column("rows")], ["shard", "indptr", "terms", "counts", "rows"])
 
-    return joined.mapInArrow(run, f"shard long, indptr array<int>, terms array<long>, counts array<int>, rows {kind}")
+    return joined.mapInArrow(run, f"shard long, indptr array<int>, terms array<long>, counts array<int>, rows {joined.schema['rows'].dataType.simpleString()}")
 
 
-def row_counts(matrix: DataFrame) -> DataFrame:
-    """A row for each document of a matrix: ``row``, its sum ``n_words`` and its nonzero entries ``n_distinct``."""
-    kind = matrix.schema["rows"].dataType.elementType.simpleString()
+def row_counts(docs: DataFrame, keep: list[str], text: str = "text", shard_chars: int = SHARD_CHARS) -> DataFrame:
+    """A row for each document of the matrix: ``row``, its sum ``n_words`` and its nonzero entries ``n_distinct``.
+
+    Taken in the tasks that encode the matrix, so that it isn't handed on.
+    """
+    joined = _encoded(docs, keep, text, shard_chars)
 
     def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                indptr, terms, counts, rows = (pc.list_flatten(batch.column(c).slice(i, 1)) for c in ("indptr", "terms", "counts", "rows"))
-                at = np.asarray(indptr, np.int64)
-                # Entries whose count isn't zero, and their sums, between the rows' bounds.
-                found = np.concatenate([[0], np.cumsum(np.asarray(counts) != 0)])[: len(terms) + 1]
-                total = np.concatenate([[0], np.cumsum(np.asarray(counts, np.int64))])
-                yield pa.RecordBatch.from_arrays([rows, pa.array(np.diff(total[at]), pa.int64()), pa.array(np.diff(found[at]), pa.int64())], ["row", "n_words", "n_distinct"])
+        for one, terms in _sparse(batches):
+            indptr, counts, rows = (pc.list_flatten(one.column(c)) for c in ("indptr", "counts", "rows"))
+            at, n = np.asarray(indptr, np.int64), np.asarray(counts, np.int64)
+            # Entries that count, and their sums, between the rows' bounds.
+            real = np.asarray(terms, np.int64) >= 0
+            found, total = (np.concatenate([[0], np.cumsum(x)]) for x in (real & (n > 0), n * real))
+            yield pa.RecordBatch.from_arrays([rows, pa.array(np.diff(total[at]), pa.int64()), pa.array(np.diff(found[at]), pa.int64())], ["row", "n_words", "n_distinct"])
 
-    return matrix.mapInArrow(run, f"row {kind}, n_words long, n_distinct long")
+    return joined.mapInArrow(run, f"row {joined.schema['rows'].dataType.elementType.simpleString()}, n_words long, n_distinct long")
 
 
 @contextmanager
@@ -214,7 +226,7 @@ def failed_filters(docs: DataFrame) -> DataFrame:
 
 def _failed(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), F.unhex(F.sha2(text_of(), 256)).alias("content"), "text")
-    counted = row_counts(term_matrix(named, ["doc_id", "part", "content"]))
+    counted = row_counts(named, ["doc_id", "part", "content"])
     fails = [F.col("n_words") < MIN_WORDS, 100 * F.col("n_distinct") < DISTINCT_PERCENT * F.col("n_words"), F.col("row._capitals"), F.col("row._signs")]
     bits = sum((F.when(f, 1 << k).otherwise(0) for k, f in enumerate(fails)), F.lit(0))
     return counted.select("row.doc_id", "row.part", "row.content", bits.alias("failed"))

@@ -68,7 +68,7 @@ def audit_by_hand(docs, labels):
 @pytest.mark.parametrize("shard_chars", [300, 16_000_000])
 def test_audit_by_hand(spark, docs, monkeypatch, shard_chars):
     """With shards of a few texts each, and with one shard."""
-    monkeypatch.setattr(filter_audit.term_matrix, "__defaults__", ("text", shard_chars))
+    monkeypatch.setattr(filter_audit.row_counts, "__defaults__", ("text", shard_chars))
     labels = spark.createDataFrame(LABELS, "doc_id long, quality int, toxic int")
     got = filter_audit.in_every_order(filter_audit.failure_counts(docs.repartition(3), labels)).collect()
     want = audit_by_hand(DOCS, LABELS)
