@@ -202,3 +202,43 @@ def nearest_above(parents: DataFrame, holds: DataFrame, barriers: DataFrame, chi
     if not answers:
         return up.select(F.col("at").alias("id"), F.col("above").alias("found"), F.lit(1).alias("depth")).limit(0)
     return spark.read.schema(answers[0].schema).parquet(*(t.scratch_path for t in answers))
+
+
+def nearest_sources(edges: DataFrame, sources: DataFrame, hops: int, kinds: list[str] | None = None) -> DataFrame:
+    """``id, source, score, hops``: every vertex within ``hops`` steps of a source, with the nearest; of several the one of the greatest score, then the least id.
+
+    ``edges`` are ``kind, a, b``, taken both ways, of the given kinds alone, or all; ``sources`` are ``id, score``, and those without
+    either take no part. All sources start at once: a round takes the last round's vertices one step on, keeps the best offer of each new vertex, by an aggregation
+    with partial sums, and writes those. A vertex passes on its own best alone, which is enough, as every way through it adds as much.
+    """
+    spark = edges.sparkSession
+    taken = edges if kinds is None else edges.filter(F.col("kind").isin(kinds))
+    pairs = taken.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
+    steps = materialise(pairs.union(pairs.select("b", "a")).distinct())
+    start = sources.filter("id IS NOT NULL AND score IS NOT NULL").groupBy("id").agg(F.max("score").alias("score")).select("id", F.col("id").alias("source"), "score")
+    wave, met = _counted(start.withColumn("hops", F.lit(0)))
+    waves = [wave]
+    for hop in range(1, hops + 1):
+        if not met:
+            break
+        known = spark.read.schema(wave.schema).parquet(*(w.scratch_path for w in waves))
+        offers = wave.join(steps, F.col("id") == F.col("a")).select(F.col("b").alias("id"), "source", "score")
+        # Of one score the least source, then of all scores the greatest.
+        per_score = offers.groupBy("id", "score").agg(F.min("source").alias("source"))
+        won = per_score.groupBy("id").agg(F.max_by("source", "score").alias("source"), F.max("score").alias("score"))
+        wave, met = _counted(won.join(known.select("id"), "id", "left_anti").select("id", "source", "score", F.lit(hop).alias("hops")))
+        waves.append(wave)
+    discard(steps)
+    return spark.read.schema(waves[0].schema).parquet(*(w.scratch_path for w in waves))
+
+
+def best_of(vertices: DataFrame, order: list, most: int) -> DataFrame:
+    """The first ``most`` vertices in an order: the cap of what is shown, whose size is that of its parameter whatever the graph's."""
+    return materialise(vertices.orderBy(*order).limit(most))
+
+
+def induced(edges: DataFrame, vertices: DataFrame, few: bool = False) -> DataFrame:
+    """The edges ``kind, a, b`` of which both ends are among ``vertices``; ``few`` says that those are capped, so they are broadcast."""
+    ids = vertices.select("id").distinct()
+    ids = F.broadcast(ids) if few else ids
+    return edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("kind", "a", "b")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -59,6 +59,11 @@ def _both_names(rest: str) -> tuple[str | None, str | None]:
 
 
 def parse_patch(text: str) -> Iterator[tuple]:
+    """What ``parse_lines`` gives for the lines of a whole patch."""
+    yield from parse_lines(text.replace("\r\n", "\n").split("\n"))
+
+
+def parse_lines(lines: Iterable[str]) -> Iterator[tuple]:
     """(path, old_path, status, hunk, pos, kind, old_no, new_no, text) of every line in a patch; counters end each hunk.
 
     A file without hunks (renamed alone, another mode, binary) has one row of kind ``none``, without a hunk.
@@ -70,7 +75,7 @@ def parse_patch(text: str) -> Iterator[tuple]:
         if file is not None and file.hunk < 0 and file.head()[0] is not None:
             yield *file.head(), None, None, "none", None, None, None
 
-    for line in text.replace("\r\n", "\n").split("\n"):
+    for line in lines:
         if left_old > 0 or left_new > 0:
             sign, body = line[:1], line[1:]
             if sign == "\\":

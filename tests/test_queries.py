@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corvane.plans import matching_queries, plan_queries, queries, review_queries  # noqa: F401  (they register their queries)
+from corvane.plans import flow_queries, matching_queries, plan_queries, queries, review_queries  # noqa: F401  (they register their queries)
 from corvane.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
