@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.scratch import materialise
+
 #: Characters of a chunk, and chunks of a block; both only deal out work, results don't depend on them.
 CHUNK, BLOCK = 1024, 256
 
@@ -40,12 +42,26 @@ class Machine:
         return F.regexp_extract_all(text, F.lit(f"(?s)[{named}]|[^{named}]+"), F.lit(0))
 
     def becomes(self, token: Column) -> Column:
-        steps = F.create_map(*(F.lit(x) for step in self.steps.items() for x in step))
-        return F.coalesce(F.element_at(steps, token), F.lit(self.other))
+        return self._named(token, self.steps)
+
+    def whole(self, text: Column) -> Column:
+        """The map of a text: that of its characters that matter, each with the run behind it, composed."""
+        named = "".join(re.escape(c) for c in self.steps)
+        parts = F.regexp_extract_all(text, F.lit(f"(?s)[{named}][^{named}]*|[^{named}]+"), F.lit(0))
+        behind = {c: m.translate(str.maketrans(self.states, self.other)) for c, m in self.steps.items()}
+        step = lambda t: F.when(F.length(t) == 1, self._named(t, self.steps)).otherwise(self._named(F.left(t, F.lit(1)), behind))
+        return F.aggregate(parts, F.lit(self.states), lambda acc, t: self.composed(acc, step(t)))
+
+    def _named(self, token: Column, steps: dict[str, str]) -> Column:
+        return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for step in steps.items() for x in step)), token), F.lit(self.other))
+
+    def after(self, state: Column, step: Column) -> Column:
+        """The state after a step: what stands in the step at the place of the state."""
+        return F.substring(step, F.instr(F.lit(self.states), state), F.lit(1))
 
-    def after(self, held: Column, step: Column) -> Column:
-        """States, or a whole map of them, after a step: maps are strings, and composing two of them is ``translate``."""
-        return F.call_function("translate", held, F.lit(self.states), step)
+    def composed(self, first: Column, then: Column) -> Column:
+        """One map of states, a string like a step, after another."""
+        return F.concat(*(self.after(F.substring(first, k + 1, 1), then) for k in range(len(self.states))))
 
 
 def _starts(maps: DataFrame, machine: Machine) -> DataFrame:
@@ -58,7 +74,7 @@ def _starts(maps: DataFrame, machine: Machine) -> DataFrame:
     before = lambda start, items: F.aggregate(items, start, lambda acc, m: F.concat(acc, machine.after(F.right(acc, F.lit(1)), m)))
     inside = F.transform(F.array_sort(F.collect_list(F.struct("_no", "_map"))), lambda x: x["_map"])
     blocks = maps.groupBy("_row", F.floor(F.col("_no") / BLOCK).cast("int").alias("_block")).agg(inside.alias("_maps"))
-    blocks = blocks.withColumn("_whole", F.aggregate("_maps", F.lit(machine.states), machine.after))
+    blocks = blocks.withColumn("_whole", F.aggregate("_maps", F.lit(machine.states), machine.composed))
     order = F.array_sort(F.collect_list(F.struct("_block", "_whole")))
     rows = blocks.groupBy("_row").agg(order.alias("_b"))
     rows = rows.select("_row", "_b", before(F.lit(machine.states[0]), F.transform("_b", lambda x: x["_whole"])).alias("_s"))
@@ -71,16 +87,16 @@ def _starts(maps: DataFrame, machine: Machine) -> DataFrame:
 def traces(rows: DataFrame, keys: list[str], text: str, machine: Machine, chunk: int = CHUNK) -> DataFrame:
     """``keys, _row, _no, tokens, states``: the tokens of every chunk of a text and the states around them, one more than tokens.
 
-    Null and empty texts have one chunk without tokens. Rows are numbered, so null or repeated keys do no harm. Texts are
-    shuffled once, by chunk, so that a very long one is spread over tasks; what is joined to them later lies by chunk too.
+    Null and empty texts have one chunk without tokens. Rows are numbered, so null or repeated keys do no harm. Chunks are written
+    with their maps, of which the starts are read without the texts; texts are shuffled once, by chunk, so that the second pass
+    over a very long one is spread over tasks.
     """
     numbered = rows.select(F.monotonically_increasing_id().alias("_row"), *keys, F.coalesce(text, F.lit("")).alias("_text"))
     pieces = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
     chunks = numbered.select("_row", *keys, F.posexplode_outer(pieces).alias("_no", "_chunk"))
-    chunks = chunks.select("_row", *keys, F.coalesce("_no", F.lit(0)).alias("_no"), F.coalesce("_chunk", F.lit("")).alias("_chunk")).repartition("_row", "_no")
-    composed = F.aggregate(machine.tokens(F.col("_chunk")), F.lit(machine.states), lambda acc, t: machine.after(acc, machine.becomes(t)))
-    known = chunks.join(_starts(chunks.select("_row", "_no", composed.alias("_map")), machine), ["_row", "_no"])
-    told = known.select(*keys, "_row", "_no", "_start", machine.tokens(F.col("_chunk")).alias("tokens"))
+    whole = F.coalesce("_chunk", F.lit(""))
+    chunks = materialise(chunks.select("_row", *keys, F.coalesce("_no", F.lit(0)).alias("_no"), machine.tokens(whole).alias("tokens"), machine.whole(whole).alias("_map")))
+    told = chunks.drop("_map").join(_starts(chunks.select("_row", "_no", "_map"), machine), ["_row", "_no"])
     walk = F.aggregate("tokens", F.col("_start"), lambda acc, t: F.concat(acc, machine.after(F.right(acc, F.lit(1)), machine.becomes(t))))
     return told.select(*keys, "_row", "_no", "tokens", F.split(walk, "").alias("states"))
 
