@@ -58,7 +58,7 @@ SHOWN, HOPS = 400, 3
   u AS (SELECT a, b FROM e WHERE kind <> 'contains' AND kind <> 'supplies' UNION SELECT b, a FROM e WHERE kind <> 'contains' AND kind <> 'supplies'),
   h0 AS (SELECT 'p' || p_partkey AS id, 'p' || p_partkey AS source, p_retailprice AS score, 0 AS hops FROM part WHERE p_size <= 3),
   {", ".join(f'''h{k} AS (SELECT * FROM h{k - 1} UNION ALL SELECT id, source, score, {k} FROM (SELECT b AS id, source, score, row_number() OVER (PARTITION BY b ORDER BY score DESC, source) AS r FROM h{k - 1} JOIN u ON id = a WHERE hops = {k - 1} AND b NOT IN (SELECT id FROM h{k - 1})) WHERE r = 1)''' for k in range(1, HOPS + 1))},
-  v AS (SELECT *, row_number() OVER (ORDER BY hops, score DESC, id) AS r FROM h{HOPS}), k AS (SELECT * FROM v WHERE r <= {SHOWN})
+  v AS (SELECT *, row_number() OVER (ORDER BY score DESC, hops, id) AS r FROM h{HOPS}), k AS (SELECT * FROM v WHERE r <= {SHOWN})
   SELECT kind, a, b, x.source AS source_a, y.source AS source_b, greatest(x.hops, y.hops) AS hops, greatest(x.score, y.score) AS score FROM e JOIN k x ON x.id = a JOIN k y ON y.id = b""")
 def impact_subgraph(spark, d):
     """What small parts reach over returns and homes: the nearest source of each vertex, the best vertices under a cap, all edges between those."""
@@ -70,7 +70,7 @@ def impact_subgraph(spark, d):
         edges = edges.union(link(read(spark, d, t), F.lit(kind), a, b))
     edges = materialise(edges)
     sources = read(spark, d, "part").filter("p_size <= 3").select(named("p", "p_partkey").alias("id"), F.col("p_retailprice").alias("score"))
-    shown = best_of(nearest_sources(edges, sources, HOPS, ["returned", "lives"]), ["hops", F.desc("score"), "id"], SHOWN)
+    shown = best_of(nearest_sources(edges, sources, HOPS, ["returned", "lives"]), [F.desc("score"), "hops", "id"], SHOWN)
     of = lambda end: F.broadcast(shown.select(F.col("id").alias(end), F.struct("source", "hops", "score").alias(f"_{end}")))
     told = induced(edges, shown, few=True).join(of("a"), "a").join(of("b"), "b")
     return told.select("kind", "a", "b", F.col("_a.source").alias("source_a"), F.col("_b.source").alias("source_b"), F.greatest("_a.hops", "_b.hops").alias("hops"), F.greatest("_a.score", "_b.score").alias("score"))
