@@ -9,46 +9,82 @@ from pyspark.sql.window import Window
 from corvane.scratch import materialise
 
 
+def _grams(words: str) -> Column:
+    """Hashes of an array's neighbouring words; a single word stands for itself."""
+    many = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.when(F.size(words) == 1, F.transform(words, lambda w: F.xxhash64(w))).otherwise(F.zip_with(F.slice(words, 1, many), F.slice(words, 2, many), lambda a, b: F.xxhash64(a, b)))
+
+
+def _words(text: str) -> Column:
+    return F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda w: w != "")
+
+
 def bigrams(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """``keys, gram``: 64-bit hashes of a text's word bigrams as they occur; a single word stands for itself."""
-    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), " "), lambda w: w != "")
-    pairs = F.when(F.size("w") == 1, F.transform("w", lambda w: F.xxhash64(w))).otherwise(F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    return df.select(*keys, words.alias("w")).select(*keys, F.explode(pairs).alias("gram"))
+    return df.select(*keys, _words(text).alias("w")).select(*keys, F.explode(_grams("w")).alias("gram"))
 
 
-def bigram_bags(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, gram, c``: the multiset of a text's word bigrams; a single word stands for itself."""
-    return bigrams(df, [key], text).groupBy(key, "gram").agg(F.count("*").alias("c"))
+def bigram_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, tokens``: the multiset of a text's word bigrams as a set, of each bigram its first occurrence, its second and so on.
 
+    What two multisets share is then what two sets share. A row's set is made where the row lies; texts without words have none.
+    """
+    rows = df.select(key, _words(text).alias("w")).select(key, F.sort_array(_grams("w")).alias("s")).filter(F.size("s") > 0)
+    firsts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: ~F.get("s", i).eqNullSafe(F.get("s", i - 1)))
+    places = F.transform("firsts", lambda f, j: F.sequence(f, F.coalesce(F.get("firsts", j + 1), F.size("s")) - 1))
+    tokens = F.flatten(F.transform("places", lambda p: F.transform(p, lambda i: F.xxhash64(F.get("s", i), i - F.get(p, F.lit(0))))))
+    return rows.select(key, "s", firsts.alias("firsts")).select(key, "s", places.alias("places")).select(key, tokens.alias("tokens"))
 
-def _prefixes(bags: DataFrame, key: str, counts: DataFrame, share: float) -> DataFrame:
-    """``gram, key, n``: of each bag of size n, the rarest grams among its first n - ceil(n * share) + 1 occurrences that others have too."""
-    w = Window.partitionBy(key)
-    rows = bags.join(counts, "gram").withColumn("n", F.sum("c").over(w))
-    before = F.coalesce(F.sum("c").over(w.orderBy("f", "gram").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = rows.withColumn("before", before).filter(F.col("before") < F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1)
-    return materialise(first.filter("f > c").select("gram", key, "n"))
 
+def distinct_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``id, content, first, text``, written: a numbered row for each different text (null is empty) with the least key of its rows."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    texts = df.groupBy(F.md5(body).alias("content")).agg(F.min(key).alias("first"), F.any_value(body).alias("text"))
+    return materialise(texts.withColumn("id", F.monotonically_increasing_id()))
 
-def dice_pairs(left: DataFrame, right: DataFrame | None, a: str, b: str, least: float) -> DataFrame:
-    """Pairs of bags with Dice similarity, 2 * sum of least counts / sum of sizes, of ``least`` or more.
 
-    ``left`` has ``a, gram, c`` and ``right`` has ``b, gram, c``, both written tables; without ``right``, pairs a < b of ``left``.
-    Bags meet on their rarest grams only: two bags that reach the bound share one of the first size - ceil(size * p) + 1
-    occurrences in order of rarity, p = least / (2 - least), so frequent grams join nothing. Prefixes are written once, the
-    joins are of written tables, so that a hot gram can be split, and pairs that meet are then summed exactly.
+def _prefixes(sets: DataFrame, key: str, counts: DataFrame, share: float) -> DataFrame:
+    """``t, key, n, place``: of a set of n tokens in order of rarity, those of the first n - ceil(n * share) + 1 that others have too.
+
+    Tokens that no other set has come first and join nothing, so they are counted and not kept; ``place`` is from 0.
+    """
+    known = _tokens(sets, key).join(counts, "t").groupBy(key).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "t"))).alias("known"))
+    size = F.size("known")
+    first = F.slice("known", 1, F.greatest(size - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1, F.lit(0)))
+    placed = known.select(key, "n", (F.col("n") - size).alias("_alone"), F.posexplode(first).alias("_at", "_token"))
+    return materialise(placed.select(F.col("_token.t").alias("t"), key, "n", (F.col("_alone") + F.col("_at")).alias("place")))
+
+
+def _tokens(sets: DataFrame, key: str) -> DataFrame:
+    return sets.select(key, F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+
+
+def dice_pairs(left: DataFrame, right: DataFrame | None, a: str, b: str, least: float) -> DataFrame:
+    """Pairs with Dice similarity, 2 * tokens in common / sum of sizes, of ``least`` or more.
+
+    ``left`` has ``a, tokens`` and ``right`` has ``b, tokens``, both written tables of one row a key, tokens without repeats
+    (``bigram_sets``); without ``right``, pairs a < b of ``left``. Sets meet on their rarest tokens only: two that reach the bound
+    share one of the first size - ceil(size * p) + 1 in order of rarity, p = least / (2 - least), so frequent tokens join
+    nothing. What a pair shares after the last token it met on is at most what the shorter rest holds; pairs that can't
+    reach the bound so are dropped before any set is read, the others compare two arrays. Joins are of written tables, so
+    that a hot token can be split.
     """
     share = least / (2 - least)
-    every = left.select("gram", "c") if right is None else left.select("gram", "c").union(right.select("gram", "c"))
-    counts = every.groupBy("gram").agg(F.sum("c").alias("f"))
+    every = _tokens(left, a).select("t")
+    every = every if right is None else every.union(_tokens(right, b).select("t"))
+    counts = materialise(every.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1"))
     l = _prefixes(left, a, counts, share)
     r = l.withColumnRenamed(a, b) if right is None else _prefixes(right, b, counts, share)
     other = left.withColumnRenamed(a, b) if right is None else right
-    l, r = l.withColumnRenamed("n", "n1"), r.withColumnRenamed("n", "n2")
-    met = l.join(r, "gram").filter(2 * F.least("n1", "n2") >= least * (F.col("n1") + F.col("n2")))
-    met = materialise((met.filter(F.col(a) < F.col(b)) if right is None else met).select(a, b, "n1", "n2").distinct())
-    common = met.join(left.withColumnRenamed("c", "c1"), a).join(other.withColumnRenamed("c", "c2"), [b, "gram"]).groupBy(a, b, "n1", "n2").agg(F.sum(F.least("c1", "c2")).alias("m"))
-    return common.withColumn("dice", 2 * F.col("m") / (F.col("n1") + F.col("n2"))).filter(F.col("dice") >= least).select(a, b, F.round("dice", 6).alias("dice"))
+    l, r = l.withColumnsRenamed({"n": "n1", "place": "p1"}), r.withColumnsRenamed({"n": "n2", "place": "p2"})
+    needed = least * (F.col("n1") + F.col("n2")) - 1e-6
+    met = l.join(r, "t").filter(2 * F.least("n1", "n2") >= needed)
+    met = (met.filter(F.col(a) < F.col(b)) if right is None else met).groupBy(a, b, "n1", "n2").agg(F.count("*").alias("_met"), F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    most = F.col("_met") + F.least(F.col("n1") - 1 - F.col("p1"), F.col("n2") - 1 - F.col("p2"))
+    met = materialise(met.filter(2 * most >= needed).select(a, b, "n1", "n2"))
+    common = met.join(left.select(a, F.col("tokens").alias("_l")), a).join(other.select(b, F.col("tokens").alias("_r")), b)
+    dice = 2 * F.size(F.array_intersect("_l", "_r")) / (F.col("n1") + F.col("n2"))
+    return common.select(a, b, dice.alias("dice")).filter(F.col("dice") >= least).select(a, b, F.round("dice", 6).alias("dice"))
 
 
 def contained_bags(docs: DataFrame, items: DataFrame, a: str, b: str, least: float) -> DataFrame:
@@ -73,12 +109,6 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, values: list[str]) -
     return o.join(n, key, "full").select(key, status.alias("status"))
 
 
-def copies_of(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``first, key`` of every row: the least key among the rows of equal text (null is empty)."""
-    named = df.select(key, F.md5(F.coalesce(F.col(text), F.lit(""))).alias("_content"))
-    return named.join(named.groupBy("_content").agg(F.min(key).alias("first")), "_content").select("first", key)
-
-
 def greedy_pairs(scored: DataFrame, a: str, b: str, score: str) -> DataFrame:
     """One-to-one pairs by falling score, ties by ``a`` then ``b``, each side used once.
 

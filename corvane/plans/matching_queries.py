@@ -5,28 +5,26 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corvane.operators.matching import bigram_bags, bigrams, contained_bags, copies_of, dice_pairs
+from corvane.operators.matching import bigram_sets, bigrams, contained_bags, dice_pairs, distinct_texts
 from corvane.operators.ranking import keep_best
 from corvane.plans.registry import MICROS, query, read
 from corvane.scratch import materialise
 
 
 @query("""WITH texts AS (SELECT 'd' AS side, min(doc_id) AS id, coalesce(text, '') AS t FROM documents GROUP BY 3 UNION ALL SELECT 'b', min(item_id), coalesce(text, '') FROM benchmark GROUP BY 3),
-  words AS (SELECT side, id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM texts),
-  bags AS (SELECT side, id, gram, count(*) AS c FROM (SELECT side, id, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS gram FROM words) GROUP BY ALL),
-  sizes AS (SELECT side, id, sum(c) AS n FROM bags GROUP BY ALL),
-  m AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS m FROM bags a JOIN bags b ON a.gram = b.gram AND a.side = 'd' AND b.side = 'b' GROUP BY ALL)
-  SELECT a AS doc_id, b AS item_id, round(CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE), 6) AS dice FROM m JOIN sizes x ON x.side = 'd' AND x.id = a JOIN sizes y ON y.side = 'b' AND y.id = b
+  words AS (SELECT side, id, t, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM texts),
+  bags AS (SELECT side, id, t, gram, count(*) AS c FROM (SELECT side, id, t, unnest(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS gram FROM words) GROUP BY ALL),
+  sizes AS (SELECT side, t, sum(c) AS n FROM bags GROUP BY ALL),
+  m AS (SELECT a.id AS a, b.id AS b, a.t AS ta, b.t AS tb, sum(least(a.c, b.c)) AS m FROM bags a JOIN bags b ON a.gram = b.gram AND a.side = 'd' AND b.side = 'b' GROUP BY ALL)
+  SELECT a AS doc_id, b AS item_id, round(CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE), 6) AS dice FROM m JOIN sizes x ON x.side = 'd' AND x.t = ta JOIN sizes y ON y.side = 'b' AND y.t = tb
   WHERE CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE) >= 0.5""")
 def contamination_bag_overlap(spark, d):
     """Different texts of documents, by their first, and of benchmark items whose bags of word bigrams are alike."""
-
-    def bags(name, key):
-        rows = read(spark, d, name).select(key, "text")
-        firsts = copies_of(rows, key, "text").select("first").distinct()
-        return materialise(bigram_bags(rows.join(firsts, F.col(key) == F.col("first"), "left_semi"), key, "text"))
-
-    return dice_pairs(bags("documents", "doc_id"), bags("benchmark", "item_id"), "doc_id", "item_id", 0.5)
+    docs, items = distinct_texts(read(spark, d, "documents"), "doc_id", "text"), distinct_texts(read(spark, d, "benchmark"), "item_id", "text")
+    sets = lambda texts, key: materialise(bigram_sets(texts, "id", "text").withColumnRenamed("id", key))
+    pairs = dice_pairs(sets(docs, "a"), sets(items, "b"), "a", "b", 0.5)
+    of = lambda texts, key, name: texts.select(F.col("id").alias(key), F.col("first").alias(name))
+    return pairs.join(of(docs, "a", "doc_id"), "a").join(of(items, "b", "item_id"), "b").select("doc_id", "item_id", "dice")
 
 
 @query("""WITH texts AS (SELECT DISTINCT 'd' AS side, coalesce(text, '') AS t FROM documents UNION ALL SELECT DISTINCT 'b', coalesce(text, '') FROM benchmark),
@@ -39,13 +37,14 @@ def contamination_bag_overlap(spark, d):
 def contamination_item_share(spark, d):
     """Every document that has half or more of a benchmark item's word bigrams, however long the document is.
 
-    Rows are numbered, so null or repeated ids neither join nor lose texts. The items' grams are broadcast (a benchmark
-    doesn't grow with the corpus): documents keep only those, and no text is shuffled.
+    Rows are numbered, so null or repeated ids neither join nor lose texts. Documents keep only the items'
+    grams, a written table that Spark broadcasts where it is small enough, as a benchmark's is, and shuffles otherwise.
     """
     items = read(spark, d, "benchmark").select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
     items = materialise(bigrams(items, ["item", "item_id"], "text").groupBy("item", "item_id", "gram").agg(F.count("*").alias("c")))
     docs = read(spark, d, "documents").select(F.monotonically_increasing_id().alias("doc"), "doc_id", "text")
-    hits = bigrams(docs, ["doc", "doc_id"], "text").join(F.broadcast(items.select("gram").distinct()), "gram", "left_semi")
+    grams = materialise(items.select("gram").distinct())
+    hits = bigrams(docs, ["doc", "doc_id"], "text").join(grams, "gram", "left_semi")
     docs = materialise(hits.groupBy("doc", "doc_id", "gram").agg(F.count("*").alias("c")))
     found = contained_bags(docs.select("doc", "gram", "c"), items.select("item", "gram", "c"), "doc", "item", 0.5)
     return found.join(docs.select("doc", "doc_id").distinct(), "doc").join(items.select("item", "item_id").distinct(), "item").select("doc_id", "item_id", "share")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corvane.operators.graph import closure, connected_components
-from corvane.operators.matching import bigram_bags, copies_of, dice_pairs, greedy_pairs, snapshot_diff
+from corvane.operators.matching import bigram_sets, dice_pairs, distinct_texts, greedy_pairs, snapshot_diff
 from corvane.operators.ranking import as_of, keep_best, runs, top_k
 from corvane.operators.scoring import level, rolled_up, weighted_score
 from corvane.operators.sequences import edit_scripts, hunks, replaced_lines, word_diffs
@@ -18,20 +18,28 @@ _BAGS = """bags(id, gram, c) AS (SELECT id, gram, count(*) FROM (SELECT id, unne
   sizes AS (SELECT id, sum(c) AS n FROM bags GROUP BY id)"""
 
 
-@query(f"""WITH firsts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS id FROM documents GROUP BY 1),
+@query(f"""WITH firsts AS (SELECT coalesce(text, '') AS t, md5(coalesce(text, '')) AS id, min(doc_id) AS doc FROM documents GROUP BY ALL),
   words AS (SELECT id, list_filter(string_split(t, ' '), lambda x: x <> '') AS w FROM firsts), {_BAGS},
   m AS (SELECT a.id AS a, b.id AS b, sum(least(a.c, b.c)) AS m FROM bags a JOIN bags b ON a.gram = b.gram AND a.id < b.id GROUP BY ALL)
-  SELECT a AS doc_a, b AS doc_b, round(CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE), 6) AS dice FROM m JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b
-  WHERE CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE) >= 0.85
-  UNION ALL SELECT id, doc_id, CAST(1 AS DOUBLE) FROM documents JOIN firsts ON coalesce(text, '') = t WHERE doc_id > id""")
+  SELECT CASE WHEN v.doc < u.doc THEN v.doc ELSE u.doc END AS doc_a, CASE WHEN v.doc < u.doc THEN u.doc ELSE v.doc END AS doc_b, round(CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE), 6) AS dice
+  FROM m JOIN sizes x ON x.id = a JOIN sizes y ON y.id = b JOIN firsts u ON u.id = a JOIN firsts v ON v.id = b WHERE CAST(2 * m AS DOUBLE) / CAST(x.n + y.n AS DOUBLE) >= 0.85
+  UNION ALL SELECT doc, doc_id, CAST(1 AS DOUBLE) FROM documents JOIN firsts ON coalesce(text, '') = t WHERE doc_id > doc""")
 def near_dup_bag_dice(spark, d):
-    """Pairs of different texts, by their first documents, and each further copy of a text with its first document."""
+    """Pairs of different texts, by their first documents, and each further copy of a text with its first document.
+
+    Texts are told apart by content, so null and repeated ids lose none; of a pair the smaller id comes first.
+    """
     docs = read(spark, d, "documents").select("doc_id", "text")
-    copies = materialise(copies_of(docs, "doc_id", "text"))
-    firsts = docs.join(copies.filter("first = doc_id").select("doc_id"), "doc_id", "left_semi")
-    bags = materialise(bigram_bags(firsts, "doc_id", "text"))
-    pairs = dice_pairs(bags.withColumnRenamed("doc_id", "doc_a"), None, "doc_a", "doc_b", 0.85)
-    return pairs.unionByName(copies.filter("doc_id > first").select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("dice")))
+    firsts = distinct_texts(docs, "doc_id", "text")
+    sets = materialise(bigram_sets(firsts, "id", "text"))
+    pairs = dice_pairs(sets.withColumnRenamed("id", "a"), None, "a", "b", 0.85)
+    of = lambda end: firsts.select(F.col("id").alias(end), F.struct("content", "first").alias(f"_{end}"))
+    ends = pairs.join(of("a"), "a").join(of("b"), "b").select(F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"), "dice")
+    turned = F.col("y.first") < F.col("x.first")
+    end = lambda one, two: F.when(turned, F.col(one)).otherwise(F.col(two))
+    found = ends.select(end("y.first", "x.first").alias("doc_a"), end("x.first", "y.first").alias("doc_b"), "dice")
+    copies = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("content")).join(firsts.select("content", "first"), "content").filter("doc_id > first")
+    return found.unionByName(copies.select(F.col("first").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("dice")))
 
 
 @query()
