@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corvane.operators.ordered import places
 from corvane.operators.ranking import select_spans
+from corvane.operators.sequences import edit_scripts
+from corvane.operators.shown import fold, side_by_side
 from corvane.plans.registry import MICROS, query, read
+from corvane.scratch import materialise
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS old FROM conversations),
@@ -76,3 +80,60 @@ def folded_rows(spark, d):
     runs = marked.withColumn("x", fresh).withColumn("run", F.sum("x").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     g = runs.groupBy("user_id", "shown", "run", F.when(F.col("shown"), F.col("pos")).otherwise(0).alias("own")).agg(F.min("pos").alias("pos"), F.count("*").alias("lines"))
     return g.select("user_id", "pos", F.when(F.col("shown"), "line").otherwise("gap").alias("kind"), "lines")
+
+
+@query("""WITH p AS (SELECT user_id, event_type, CAST(event_id AS VARCHAR) AS value, CASE event_type WHEN 'purchase' THEN 'add' WHEN 'error' THEN 'del' ELSE 'same' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+  n AS (SELECT *, CASE WHEN kind <> 'add' THEN count(*) FILTER (kind <> 'add') OVER w END AS o, CASE WHEN kind <> 'del' THEN count(*) FILTER (kind <> 'del') OVER w END AS n,
+    bool_or(kind <> 'same') OVER (PARTITION BY user_id ORDER BY pos ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM p WINDOW w AS (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  x AS (SELECT *, CASE WHEN lag(near) OVER (PARTITION BY user_id ORDER BY pos) IS NOT DISTINCT FROM near THEN 0 ELSE 1 END AS x FROM n),
+  r AS (SELECT *, sum(x) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM x),
+  u AS (SELECT *, near OR first_value(event_type) OVER (PARTITION BY user_id, run ORDER BY pos) = 'signup' AS shown FROM r),
+  f AS (SELECT user_id, min(pos) AS pos, CASE WHEN shown THEN min(kind) ELSE 'gap' END AS kind, min(o) AS o, min(n) AS n, CASE WHEN shown THEN min(value) END AS value, CASE WHEN NOT shown THEN count(*) END AS hidden FROM u GROUP BY user_id, run, shown, CASE WHEN shown THEN pos END),
+  l AS (SELECT *, coalesce(lag(kind) OVER (PARTITION BY user_id ORDER BY pos), '') AS k FROM f),
+  b AS (SELECT *, sum(CASE WHEN kind = 'del' AND k = 'del' OR kind = 'add' AND k IN ('del', 'add') THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM l),
+  c AS (SELECT *, row_number() OVER (PARTITION BY user_id, block, kind ORDER BY pos) AS nth FROM b),
+  d AS (SELECT * FROM c WHERE kind = 'del'), a AS (SELECT * FROM c WHERE kind = 'add'),
+  e AS (SELECT user_id, block, nth, kind, o, value AS left_value, n, value AS right_value, hidden FROM c WHERE kind IN ('same', 'gap')
+    UNION ALL SELECT coalesce(d.user_id, a.user_id), coalesce(d.block, a.block), coalesce(d.nth, a.nth), CASE WHEN a.user_id IS NULL THEN 'del' WHEN d.user_id IS NULL THEN 'add' ELSE 'changed' END, d.o, d.value, a.n, a.value, NULL FROM d FULL JOIN a ON d.user_id = a.user_id AND d.block = a.block AND d.nth = a.nth)
+  SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY block, nth) AS INTEGER) AS row, kind, CAST(o AS INTEGER) AS left_no, left_value AS left, CAST(n AS INTEGER) AS right_no, right_value AS right, CAST(hidden AS BIGINT) AS hidden FROM e""")
+def event_side_by_side(spark, d):
+    """Users' events as lines of which errors went and purchases came, in two columns; gaps that begin with a signup are open."""
+    w = Window.partitionBy("user_id").orderBy("pos")
+    kind = F.when(F.col("event_type") == "purchase", "add").when(F.col("event_type") == "error", "del").otherwise("same")
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    p = read(spark, d, "events").select("user_id", "event_type", F.col("event_id").cast("string").alias("value"), kind.alias("kind"), pos.alias("pos"))
+    number = lambda other: F.when(F.col("kind") != other, F.count_if(F.col("kind") != other).over(w.rowsBetween(Window.unboundedPreceding, 0))).cast("int")
+    steps = p.select("user_id", "event_type", "pos", "kind", number("add").alias("old_no"), number("del").alias("new_no"), "value")
+    opened = steps.filter("event_type = 'signup'").select("user_id", "new_no")
+    return side_by_side(fold(steps, ["user_id"], 3, opened), ["user_id"])
+
+
+@query()
+def turn_side_by_side(spark, d):
+    """Each turn's words against those of the turn before it in two columns, unchanged stretches folded."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != "")
+    turns = read(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("nth"), words.alias("new"), F.lag(words).over(w).alias("old"))
+    steps = materialise(edit_scripts(turns, {"conv_id": "long", "turn": "int", "nth": "int"}, "old", "new"))
+    return side_by_side(fold(steps, ["conv_id", "turn", "nth"]), ["conv_id", "turn", "nth"])
+
+
+@query("""WITH f AS (SELECT event_type AS category, CASE WHEN value >= 50 THEN 0 WHEN value >= 10 THEN 1 ELSE 2 END AS rank, event_id FROM events), s AS (SELECT * FROM f WHERE rank <= 1),
+  g AS (SELECT category, count(*) AS n, min(rank) AS worst FROM s GROUP BY category), h AS (SELECT *, row_number() OVER (ORDER BY worst, n DESC, category) AS p FROM g),
+  r AS (SELECT p, category, 0 AS item, worst AS rank, n, NULL AS event_id FROM h UNION ALL SELECT p, s.category, 1, s.rank, NULL, event_id FROM s JOIN h ON s.category IS NOT DISTINCT FROM h.category)
+  SELECT CAST(row_number() OVER (ORDER BY p, item, rank, event_id) AS BIGINT) AS place, CASE item WHEN 0 THEN 'cat' ELSE 'finding' END AS kind, category, CASE rank WHEN 0 THEN 'error' ELSE 'warning' END AS severity, CAST(n AS BIGINT) AS items, event_id FROM r""")
+def finding_rows(spark, d):
+    """The list of findings as it is shown: a header for each category, the worst first, and its findings under it, the worst first.
+
+    Categories are few, but one of them may hold most findings: places come from running sums over ranges of the whole order.
+    """
+    severity = F.when(F.col("value") >= 50, 0).when(F.col("value") >= 10, 1).otherwise(2)
+    found = read(spark, d, "events").select(F.col("event_type").alias("category"), severity.alias("rank"), "event_id").filter("rank <= 1")
+    groups = found.groupBy("category").agg(F.count("*").alias("items"), F.min("rank").alias("rank"))
+    # As many rows as categories.
+    heads = materialise(groups.withColumn("p", F.row_number().over(Window.orderBy("rank", F.desc("items"), "category"))))
+    own = heads.select("p", F.col("category").alias("_category"))
+    items = found.join(own, F.col("category").eqNullSafe(F.col("_category"))).select("p", "category", F.lit(1).alias("item"), "rank", F.lit(None).cast("long").alias("items"), "event_id")
+    rows = heads.select("p", "category", F.lit(0).alias("item"), "rank", "items", F.lit(None).cast("long").alias("event_id")).unionByName(items)
+    kind = F.when(F.col("item") == 0, "cat").otherwise("finding")
+    return places(rows, ["p", "item", "rank", "event_id"]).select("place", kind.alias("kind"), "category", F.when(F.col("rank") == 0, "error").otherwise("warning").alias("severity"), "items", "event_id")
