@@ -15,7 +15,8 @@ consecutive windows with one anchor form a segment of some 50 words. Only anchor
 5. Every document loses the words of its repeated windows.
 
 Texts pass one shuffle whole, and those with candidates a second time. Joins on anchors and contents are of written tables, so
-that Spark can split a hot one. Result of ``drop_repeats``: ``doc_id, n_words, n_removed, kept_sha256, kept_text``. Cases: a
+that Spark can split a hot one. Rows go to Python in batches of ``ARROW_BYTES``.
+Result of ``drop_repeats``: ``doc_id, n_words, n_removed, kept_sha256, kept_text``. Cases: a
 null text has no words; texts under ``WINDOW`` words lose nothing; rows alike in id and text are two documents and repeat each
 other; very long texts are one row and a long list of stretches; an empty table gives no rows; other columns are ignored.
 Words are compared as 64-bit hashes, windows thus by 35 of them.
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import materialise, table, text_of
+from .filter_audit import batches_of
 from .fm_index import FMIndex, repeated_windows
 from .hashing import _BASE, _tables, mix64, window_hashes, word_hashes
 from .tokens import slices
@@ -43,21 +45,34 @@ WINDOW = 35
 ANCHORS = (8, 20, 30, WINDOW)
 #: Distinct segments of one anchor that a shard takes, and of all its anchors on average.
 MOST_KINDS, SHARD_SEGMENTS = 256, 1024
-BATCH_BYTES = 500_000
+#: Bytes of text that a task takes at a time, and of the batches in which Spark hands it rows.
+BATCH_BYTES, ARROW_BYTES = 500_000, 4_000_000
 SEGMENT = "start:int,size:int,anchor:long,content:long,weight:int,hot:boolean"
 STRETCHES = "anchor long, content long, start int, end int"
+PARTS = "whole_anchor long, whole long, weight int, first int, anchor long, content long, words binary"
+
+
+def least_places(values: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least of every ``width`` values in a row, the leftmost of equal ones, by stretches of doubled length."""
+    place, length = np.arange(len(values)), 1
+    while length < width:
+        step = min(length, width - length)
+        right = values[step:] < values[:-step]
+        place = np.where(right, place[step:], place[:-step])
+        values = np.where(right, values[step:], values[:-step])
+        length += step
+    return place
 
 
 def segments(words: np.ndarray, at: np.ndarray, window: int = WINDOW, anchor: int = ANCHORS[0]) -> tuple[np.ndarray, ...]:
     """From words' hashes and texts' first words: text number, first word in the text, size, anchor and content of segments."""
     hashes = window_hashes(words, anchor)
-    width = window - anchor + 1
     n = len(words) - window + 1
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
     valid = np.arange(n) + window <= at[text + 1]
-    place = np.arange(n) + np.lib.stride_tricks.sliding_window_view(hashes, width)[:n].argmin(axis=1)
+    place = least_places(hashes, window - anchor + 1)
     fresh = valid.copy()
     fresh[1:] &= ~(valid[:-1] & (place[1:] == place[:-1]) & (text[1:] == text[:-1]))
     first = np.flatnonzero(fresh)
@@ -195,10 +210,9 @@ def search(kinds: DataFrame, n: int) -> DataFrame:
     return kinds.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards))).groupBy("shard").applyInPandas(search_shard, STRETCHES)
 
 
-def search_parts(kinds: DataFrame, anchors: tuple[int, ...]) -> DataFrame:
-    """As ``search``, for segments of hot anchors: their parts are searched, those of anchors still hot after parting again."""
-    shape = "whole_anchor long, whole long, weight int, first int, anchor long, content long, words binary"
-    parts = materialise(kinds.mapInArrow(_parts(anchors[0]), shape))
+def search_parts(parts: DataFrame, anchors: tuple[int, ...]) -> DataFrame:
+    """As ``search``, for ``PARTS`` of segments of hot anchors: those of anchors still hot are parted again by ``anchors``."""
+    parts = materialise(parts)
     alike = materialise(parts.groupBy("anchor", "content").agg(F.least(F.sum("weight"), F.lit(2)).cast("int").alias("weight"), F.first("words").alias("words")))
     live = alike.groupBy("anchor").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).filter("w > 1")
     live = materialise(live.select("anchor", "n", (F.col("n") > MOST_KINDS).alias("hot")))
@@ -206,13 +220,18 @@ def search_parts(kinds: DataFrame, anchors: tuple[int, ...]) -> DataFrame:
     told = alike.join(live.select("anchor", "hot").hint("merge"), "anchor").select("anchor", "content", "weight", "words", "hot")
     found = search(told.filter("NOT hot").drop("hot"), counts.get(False, 0))
     if counts.get(True):
-        found = found.unionByName(search_parts(told.filter("hot").drop("hot"), anchors[1:]))
+        found = found.unionByName(search_parts(told.filter("hot").drop("hot").mapInArrow(_parts(anchors[0]), PARTS), anchors[1:]))
     back = parts.drop("words").join(found.hint("merge"), ["anchor", "content"])
     return back.select(F.col("whole_anchor").alias("anchor"), F.col("whole").alias("content"), (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
 
 
 def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
-    """Every document without the words of repeated windows."""
+    """Every document without the words of repeated windows; written, so that batches are small in every job with Python."""
+    with batches_of(docs.sparkSession, ARROW_BYTES):
+        return _drop_repeats(docs, with_text)
+
+
+def _drop_repeats(docs: DataFrame, with_text: bool) -> DataFrame:
     result = RESULT + (", kept_text string" if with_text else "")
     keyed = _keyed(docs)
     found = found_segments(keyed)
@@ -238,15 +257,17 @@ def drop_repeats(docs: DataFrame, with_text: bool = True) -> DataFrame:
     kinds = {"key": pa.int64(), "doc_id": pa.int64(), "text": pa.string(), "segments": pa.list_(segment), "n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string()} | ({"kept_text": pa.string()} if with_text else {})
     passed = materialise(joined.select("key", "doc_id", "text", "segments").mapInArrow(first_pass, state))
     waiting = passed.filter("segments IS NOT NULL")
-    words = lambda hot: waiting.filter(F.exists("segments", lambda s: s["hot"] == hot)).select("text", "segments").mapInArrow(_contents(hot), "anchor long, content long, weight int, words binary")
-    stretches = search(words(False), n_usual)
+    lists = lambda hot: waiting.filter(F.exists("segments", lambda s: s["hot"] == hot)).select("text", "segments")
+    stretches = search(lists(False).mapInArrow(_contents(False), "anchor long, content long, weight int, words binary"), n_usual)
     if n_hot:
-        stretches = stretches.unionByName(search_parts(words(True), ANCHORS[1:]))
+        contents, part = _contents(True), _parts(ANCHORS[1])
+        # One function, not one on the other: each would hold a worker of its own in every task.
+        stretches = stretches.unionByName(search_parts(lists(True).mapInArrow(lambda batches: part(contents(batches)), PARTS), ANCHORS[2:]))
     placed = found.select("anchor", "content", "key", F.col("start").alias("at")).join(stretches.hint("merge"), ["anchor", "content"])
     covered = placed.groupBy("key").agg(F.collect_set(F.struct((F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))).alias("covered"))
     last = waiting.select("key", "doc_id", "text").join(covered.hint("merge"), "key", "left").select("doc_id", "text", "covered")
     names = [c.split()[0] for c in result.split(", ")]
-    return passed.filter("segments IS NULL").select(*names).unionByName(last.mapInArrow(finish, result))
+    return passed.filter("segments IS NULL").select(*names).unionByName(materialise(last.mapInArrow(finish, result)))
 
 
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -456,6 +456,39 @@ def test_segments_of_hot_anchors_are_parted_again(spark, monkeypatch, seed):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows)
 
 
+def test_substrings_get_small_batches(spark, monkeypatch):
+    """Long texts in one partition: by rows alone they would be one batch of some 8 MB."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+
+    def held(function):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.nbytes < 5_000_000, batch.nbytes
+                    yield batch
+
+            return function(seen())
+
+        return run
+
+    for name in ("_anchors", "_segments"):
+        monkeypatch.setattr(substrings, name, held(getattr(substrings, name)))
+    for name in ("_finish", "_contents"):
+        monkeypatch.setattr(substrings, name, lambda *a, make=getattr(substrings, name): held(make(*a)))
+    rng = np.random.default_rng(0)
+    line = [f"line{k}" for k in range(40)]
+    rows = [(k, " ".join([*(f"w{x}" for x in rng.integers(0, 10**9, 1300)), *line])) for k in range(600)]
+    got = substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), with_text=False).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=repr) == brute_repeats(rows)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 6, 16, 28])
+def test_least_places(width):
+    values = np.random.default_rng(width).integers(0, 9, 200).astype(np.uint64)
+    assert substrings.least_places(values, width).tolist() == [i + int(values[i : i + width].argmin()) for i in range(201 - width)]
+
+
 def test_top_k_edges(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []), (8, [-1.0, 5.0])]
