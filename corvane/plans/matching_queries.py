@@ -114,11 +114,17 @@ def hop_neighbourhood(spark, d):
 def hop_neighbourhood_by_brand(spark, d):
     """Parts two steps from each brand's parts over all links, and by how many suppliers each is reached.
 
-    A brand's seeds are merged at the suppliers first, so a hub gives a row per part and brand, not per pair of parts.
+    Suppliers that the same brands reach are of one kind, numbered by its least supplier. A part's suppliers are counted
+    by kind, and only these counts meet brands: a link stays one row, however many brands its supplier has.
     """
-    e = read(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s")).distinct()
-    brands = read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.col("p_brand").alias("brand"))
-    return e.join(e.join(brands, "part").select("brand", "s").distinct(), "s").groupBy("brand", "part").agg(F.count("*").alias("ways"))
+    links = read(spark, d, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("s")).filter("s IS NOT NULL")
+    brands = read(spark, d, "part").select(F.col("p_partkey").alias("part"), F.struct(F.col("p_brand").alias("brand")).alias("b"))
+    of = materialise(links.join(brands, "part").select("s", "b").distinct().groupBy("s").agg(F.sort_array(F.collect_list("b")).alias("brands")))
+    kinds = materialise(of.groupBy("brands").agg(F.min("s").alias("kind")))
+    kind_of = materialise(of.join(kinds, "brands").select("s", "kind"))
+    # All counts of a part lie in one partition, so that none of them is shuffled again where kinds are few.
+    ways = links.join(kind_of, "s").repartition("part").distinct().groupBy("part", "kind").agg(F.count("*").alias("n"))
+    return ways.join(kinds, "kind").select("part", "n", F.explode("brands").alias("b")).groupBy(F.col("b.brand").alias("brand"), "part").agg(F.sum("n").alias("ways"))
 
 
 @query("""WITH e AS (SELECT 'c' || o_custkey AS source, 'n' || c_nationkey AS target, 'customer' AS kind, 1 AS p FROM orders JOIN customer ON o_custkey = c_custkey
