@@ -2,10 +2,12 @@
 
 import random
 from collections import Counter
+from pathlib import Path
 
+from corvane.operators.alike import alike_texts
 from corvane.operators.matching import bigram_sets, dice_pairs, distinct_texts
 from corvane.plans.queries import near_dup_bag_dice
-from corvane.scratch import materialise
+from corvane.scratch import RELEASE, materialise
 
 
 def bag(text):
@@ -51,3 +53,32 @@ def test_near_copies_of_null_and_repeated_ids(spark, tmp_path):
 def test_distinct_texts_keep_the_least_key(spark):
     rows = [(4, "t"), (2, "t"), (None, "t"), (None, None), (3, "")]
     assert sorted((r.first, r.text) for r in distinct_texts(spark.createDataFrame(rows, "k long, t string"), "k", "t").collect()) == [(2, "t"), (3, "")]
+
+
+def test_alike_texts_in_small_chunks_are_all_that_reach_the_bound(spark):
+    """Rows that repeat a text, texts without words, chunks of a few words and parts of a few tokens included."""
+    rng = random.Random(8)
+    some = dict(enumerate(texts(rng, 60)))
+    first = {}
+    rows = [(bytes([first.setdefault(t or "", i)]), t or "") for i, t in some.items()]
+    by = {k[0]: t for k, t in rows}
+    frame = spark.createDataFrame(rows + rows[:30], "k binary, text string").repartition(3)
+    before = [spark.conf.get(k) for k in (*RELEASE, "spark.sql.execution.arrow.maxBytesPerBatch")]
+    for least, parts, words in ((0.5, 3, 40), (0.85, None, 1 << 20), (0.85, 5, 1), (1.0, 1, 100)):
+        want = {(i, j): round(dice(a, b), 6) for i, a in by.items() for j, b in by.items() if i < j and dice(a, b) >= least}
+        got = alike_texts(frame, "k", "text", least, parts, words).collect()
+        assert {(r.a[0], r.b[0]): round(2 * r.m / r.n, 6) for r in got} == want and len(got) == len(want)
+    assert [spark.conf.get(k) for k in (*RELEASE, "spark.sql.execution.arrow.maxBytesPerBatch")] == before
+
+
+def test_near_copies_write_neither_texts_nor_all_bigrams(spark, tmp_path):
+    """400 texts of 500 words, four near copies: what the query writes to the shared folder is a small part of the texts."""
+    rng = random.Random(9)
+    many = [" ".join(f"{rng.getrandbits(32):08x}" for _ in range(500)) for _ in range(396)]
+    many += [f"{t} end" for t in many[:4]]
+    spark.createDataFrame(list(enumerate(many)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    held = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    before = held()
+    assert sorted((r.doc_a, r.doc_b) for r in near_dup_bag_dice(spark, str(tmp_path)).collect()) == [(i, 396 + i) for i in range(4)]
+    assert held() - before < sum(map(len, many)) / 10
