@@ -64,9 +64,9 @@ def test_alike_texts_in_small_chunks_are_all_that_reach_the_bound(spark):
     by = {k[0]: t for k, t in rows}
     frame = spark.createDataFrame(rows + rows[:30], "k binary, text string").repartition(3)
     before = [spark.conf.get(k) for k in (*RELEASE, "spark.sql.execution.arrow.maxBytesPerBatch")]
-    for least, parts, words in ((0.5, 3, 40), (0.85, None, 1 << 20), (0.85, 5, 1), (1.0, 1, 100)):
+    for least, parts, words, group in ((0.5, 3, 40, 3), (0.85, None, 1 << 20, 256), (0.85, 5, 1, 1), (1.0, 1, 100, 2)):
         want = {(i, j): round(dice(a, b), 6) for i, a in by.items() for j, b in by.items() if i < j and dice(a, b) >= least}
-        got = alike_texts(frame, "k", "text", least, parts, words).collect()
+        got = alike_texts(frame, "k", "text", least, parts, words, group).collect()
         assert {(r.a[0], r.b[0]): round(2 * r.m / r.n, 6) for r in got} == want and len(got) == len(want)
     assert [spark.conf.get(k) for k in (*RELEASE, "spark.sql.execution.arrow.maxBytesPerBatch")] == before
 
