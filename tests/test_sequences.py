@@ -3,6 +3,7 @@
 import random
 from functools import lru_cache
 from itertools import groupby
+from pathlib import Path
 
 from corvane.operators.graph import closure
 from corvane.operators.matching import greedy_pairs
@@ -147,3 +148,13 @@ def test_closure_on_a_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (None, 4)], "a long, b long")
     want = [(1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 1, 2), (2, 3, 1), (2, 4, 2), (3, 1, 1), (3, 2, 2), (3, 4, 1)]
     assert sorted(map(tuple, closure(edges).collect())) == want
+
+
+def test_greedy_rounds_leave_only_the_pairs_taken(spark):
+    """A falling chain of scores takes a round for each pair; no round's remaining pairs stay in the shared folder."""
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:")) / "corvane"
+    rows = [(i, j, 1.0 - i / 10) for i in range(6) for j in (i, i - 1) if j >= 0]
+    frame, before = spark.createDataFrame(rows, "a long, b long, s double"), set(folder.glob("*"))
+    taken = sorted(map(tuple, greedy_pairs(frame, "a", "b", "s").collect()))
+    assert taken == [(i, i, 1.0 - i / 10) for i in range(6)]
+    assert sum(spark.read.parquet(str(p)).count() for p in set(folder.glob("*")) - before) == len(taken)
